@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from presentia.llm.bpe import bpe_round_trip
 from presentia.llm.exact_dedup import exact_dedup
 
 
@@ -22,6 +24,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding and decoding of every whole text of ``documents``."""
+    return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 OP1_SQL = """
 with n as (
   select doc_id, length(coalesce(text, '')) as n_cp,
@@ -37,7 +44,7 @@ from n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op9_byte_level_bpe": op9_byte_level_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
