@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presentia.llm import toxicity
+from presentia.llm.html_extract import html_extract
+from presentia.llm.license_scan import license_scan
 from presentia.llm.bpe import bpe_round_trip
 from presentia.llm.exact_dedup import exact_dedup
 
@@ -26,6 +28,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template matches in every whole text of ``documents``."""
+    return license_scan(_documents(spark, sf_dir))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``."""
+    return html_extract(_pages(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text of ``documents``; the model never sees fold 0 of ``labels``."""
     docs = _documents(spark, sf_dir)
@@ -54,7 +66,7 @@ from n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
