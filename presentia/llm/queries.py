@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from presentia.llm import toxicity
 from presentia.llm.html_extract import html_extract
 from presentia.llm.license_scan import license_scan
+from presentia.llm.warc import warc_round_trip
 from presentia.llm.bpe import bpe_round_trip
 from presentia.llm.exact_dedup import exact_dedup
 
@@ -28,6 +29,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of every row of ``pages``, written to seekable bundles and read back."""
+    return warc_round_trip(spark, _pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template matches in every whole text of ``documents``."""
     return license_scan(_documents(spark, sf_dir))
@@ -65,9 +71,20 @@ from n
 """
 
 
+OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first_id from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
+from f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL}
