@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from presentia.llm import toxicity
 from presentia.llm.html_extract import html_extract
+from presentia.llm.imatch import imatch
 from presentia.llm.license_scan import license_scan
 from presentia.llm.warc import warc_round_trip
 from presentia.llm.bpe import bpe_round_trip
@@ -57,6 +58,11 @@ def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every whole text of ``documents`` and of its edited text."""
+    return imatch(_documents(spark, sf_dir))
+
+
 OP1_SQL = """
 with n as (
   select doc_id, length(coalesce(text, '')) as n_cp,
@@ -83,7 +89,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
