@@ -12,6 +12,7 @@ from presentia.llm import toxicity
 from presentia.llm.html_extract import html_extract
 from presentia.llm.imatch import imatch
 from presentia.llm.license_scan import license_scan
+from presentia.llm.minhash import near_duplicates
 from presentia.llm.mixing import mix, mix_sql
 from presentia.llm.warc import warc_round_trip
 from presentia.llm.bpe import bpe_round_trip
@@ -51,6 +52,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of whole ``documents``: four-word shingles, similarity 0.8."""
+    return near_duplicates(_documents(spark, sf_dir), size=4, percent=80)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every whole text of ``documents``; the model never sees fold 0 of ``labels``."""
     docs = _documents(spark, sf_dir)
@@ -95,7 +101,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
