@@ -31,7 +31,8 @@ from presentia.llm.arrow_text import bounded
 from presentia.plans.materialize import materialize
 
 SUBSETS = 40
-DIGITS = 4  # hexadecimal digits of each hash
+#: First byte of the fingerprint of a text without lexicon terms.
+NO_TERMS = 255
 #: Share of documents with a term: the band of the lexicon.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
 #: Distinct terms a task counts before it passes its counts on.
@@ -87,41 +88,36 @@ class Fingerprinter:
         self.hashes = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
         self.seeds = _mixed(np.arange(1, SUBSETS + 1, dtype=np.uint64) * STEP)
 
-    def _rung(self, own: np.ndarray, rung: int) -> str:
-        """The hashes of all subsets at a rung; zeros where a subset has none of the terms."""
+    def _rung(self, own: np.ndarray, rung: int) -> bytes:
+        """The 16-bit hashes of all subsets at a rung; zeros where a subset has none of the terms."""
         picked = (_mixed(own[None, :] ^ self.seeds[:, None]) >> np.uint64(64 - 2 * rung)) == 0 if rung else np.ones((SUBSETS, len(own)), bool)
         place = np.cumsum(picked, axis=1).astype(np.uint64)
         total = np.where(picked, _mixed(own[None, :] + place * STEP), np.uint64(0)).sum(axis=1, dtype=np.uint64)
-        out = (_mixed(total ^ self.seeds) >> np.uint64(64 - 4 * DIGITS)) | np.uint64(1)
+        out = (_mixed(total ^ self.seeds) >> np.uint64(48)) | np.uint64(1)
         out[~picked.any(axis=1)] = 0
-        return "".join(f"{int(x):0{DIGITS}x}" for x in out)
+        return out.astype("<u2").tobytes()
 
-    def fingerprint(self, text: bytes) -> str:
-        """rung, its hashes and those of the next rung; a text without lexicon terms gets the hash of its terms."""
+    def fingerprint(self, text: bytes) -> bytes:
+        """The rung, its hashes and those of the next rung; a text without lexicon terms gets the hash of its terms."""
         found = terms(text)
         own = sorted(n for w in found if (n := self.number.get(w)) is not None)
         if not own:
-            return "-:" + hashlib.sha256(b" ".join(sorted(found))).hexdigest()[:16]
+            return bytes([NO_TERMS]) + hashlib.sha256(b" ".join(sorted(found))).digest()[:8]
         hashes = self.hashes[own]
         rung = ((len(own) - 1).bit_length() + 1) // 2  # the first at which a subset has one term or fewer on average
-        return f"{rung:x}:{self._rung(hashes, rung)}:{self._rung(hashes, rung + 1)}"
+        return bytes([rung]) + self._rung(hashes, rung) + self._rung(hashes, rung + 1)
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: bytes, b: bytes) -> float:
     """The share of the subsets, empty in not both, whose hashes agree; 0 to 1."""
     if a == b:
         return 1.0
-    if a[0] == "-" or b[0] == "-":
+    if NO_TERMS in (a[0], b[0]) or abs(a[0] - b[0]) > 1:
         return 0.0
-    x, y = a.split(":"), b.split(":")
-    p, q = int(x[0], 16), int(y[0], 16)
-    rung = max(p, q)
-    if abs(p - q) > 1:
-        return 0.0
-    u, v = x[1 + rung - p], y[1 + rung - q]
-    pairs = [(u[i : i + DIGITS], v[i : i + DIGITS]) for i in range(0, len(u), DIGITS)]
-    used = [s == t for s, t in pairs if s != t or int(s, 16)]
-    return sum(used) / len(used) if used else 0.0
+    rung = max(a[0], b[0])
+    u, v = (np.frombuffer(x, "<u2", SUBSETS, 1 + 2 * SUBSETS * (rung - x[0])) for x in (a, b))
+    used = (u | v) != 0
+    return float((u == v)[used].mean()) if used.any() else 0.0
 
 
 @functools.lru_cache(maxsize=1)
@@ -135,15 +131,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-FIELDS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Digests and fingerprints are kept as bytes until the result is read.
+FIELDS = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in FIELDS.split(", ")]
-TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
-def _row(fp: Fingerprinter, doc_id, text: str, own: str, following: str, next_fp: str) -> tuple:
+def _row(fp: Fingerprinter, doc_id, text: str, own: bytes, following: str, next_fp: bytes) -> tuple:
     new = edited(text, following).encode("utf-8", "replace")
     new_fp = fp.fingerprint(new)
-    return doc_id, len(text), hashlib.sha256(new).hexdigest(), own, new_fp, likeness(own, new_fp), likeness(own, next_fp)
+    return doc_id, len(text), hashlib.sha256(new).digest(), own, new_fp, likeness(own, new_fp), likeness(own, next_fp)
 
 
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,4 +199,5 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 rows = [_row(fp, *r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=NAMES)
 
-    return done.filter("kind = 'row'").select(*NAMES).unionByName(edges.mapInArrow(at_edges, FIELDS))
+    out = done.filter("kind = 'row'").select(*NAMES).unionByName(edges.mapInArrow(at_edges, FIELDS))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
