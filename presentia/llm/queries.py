@@ -14,6 +14,7 @@ from presentia.llm.imatch import imatch
 from presentia.llm.license_scan import license_scan
 from presentia.llm.minhash import near_duplicates
 from presentia.llm.mixing import mix, mix_sql
+from presentia.llm.substring_dedup import substring_dedup
 from presentia.llm.warc import warc_round_trip
 from presentia.llm.bpe import bpe_round_trip
 from presentia.llm.exact_dedup import exact_dedup
@@ -32,6 +33,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole ``documents`` that repeat a 13-word window of a smaller doc_id are removed."""
+    return substring_dedup(_documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of every row of ``pages``, written to seekable bundles and read back."""
     return warc_round_trip(spark, _pages(spark, sf_dir)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -89,6 +95,18 @@ from n
 """
 
 
+OP2_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+f as (select k, min(doc_id) as m from win group by k),
+cov as (select distinct doc_id, i + o as p from win join f using (k), range(13) t(o) where m < doc_id),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join cov using (doc_id, p) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)
+"""
+
+
 OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p),
@@ -101,8 +119,8 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op6_mixing": mix_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_mixing": mix_sql()}
