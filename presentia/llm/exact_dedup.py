@@ -78,7 +78,8 @@ def identities(
         cur = at.join(named, "h").select("row_id", "n", "pos", "name")
     else:
         # Different blocks under one hash: named by their bytes, from a range of their own.
-        full = norm.select(F.monotonically_increasing_id().alias("row_id"), F.posexplode(_blocks(F.col("bin"), block_bytes)).alias("pos", "block"))
+        numbered = norm.withColumn("row_id", F.monotonically_increasing_id())  # before the explode, or it numbers blocks
+        full = numbered.select("row_id", F.posexplode(_blocks(F.col("bin"), block_bytes)).alias("pos", "block"))
         odd = materialize(full.withColumn("h", block_hash(F.col("block"))).join(clash, "h", "left_semi"), "dedup-odd")
         odd_names = odd.select("block").distinct().sortWithinPartitions("block")
         odd_names = materialize(odd_names.select("block", (-1 - F.monotonically_increasing_id()).alias("name")), "dedup-odd-names")
