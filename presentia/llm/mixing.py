@@ -134,9 +134,9 @@ def sample_mix(docs: DataFrame, **options) -> DataFrame:
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     probs = materialize(cell_probabilities(cells, **options), "mix-p")
     own = docs.withColumns({"_source": F.col("source"), "_lang": F.col("lang"), "_topic": topic_of(F.col("text")) if topic is None else topic})
-    by = probs.withColumnsRenamed({k: f"by_{k}" for k in DIMS})
-    same = reduce(lambda x, y: x & y, [own[f"_{k}"].eqNullSafe(by[f"by_{k}"]) for k in DIMS])
-    return own.join(by, same).filter(uniform(F.col("doc_id"), SEED) < F.col("p")).select(*[own[c] for c in docs.columns])
+    by = probs.select(*[F.col(k).alias(f"_by_{k}") for k in (*DIMS, "p")])
+    same = reduce(lambda x, y: x & y, [own[f"_{k}"].eqNullSafe(by[f"_by_{k}"]) for k in DIMS])
+    return own.join(by, same).filter(uniform(own["doc_id"], SEED) < by["_by_p"]).select(*[own[c] for c in docs.columns])
 
 
 def mix_sql(documents: str = "documents", rounds: int = ROUNDS, budget: float = BUDGET) -> str:
