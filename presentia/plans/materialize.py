@@ -45,7 +45,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._presentia_path = path
+    return out
+
+
+def release(written: DataFrame) -> None:
+    """Deletes the files of a written step that no later plan reads."""
+    spark = written.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written._presentia_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions_for(n_bytes: float, target_bytes: float, least: int = 1) -> int:
