@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presentia.plans.materialize import materialize
+
 BONA_FIDE = "bona_fide"
 # The kinds of presentation.
 ATTACK_TYPES = ("bona_fide", "print", "replay", "cutout", "mask_3d")
@@ -161,7 +163,7 @@ def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float]
     Both classes are required: groups that lack one have null AUC. ``points`` is an array of structs ordered by
     threshold, one entry if the two thresholds agree.
     """
-    points = curve(scored, by)
+    points = materialize(curve(scored, by), "curve")  # read by every figure below
     out = _with(eer_of(points, by), auc_of(points, by), by)
     for t in targets:
         at = bpcer_at_apcer_of(points, t, by).select(*by, F.col("bpcer").alias(f"bpcer_at_{t:.2f}".replace(".", "_")))
@@ -181,7 +183,7 @@ def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float]
 
 def evaluate_at(scored: DataFrame, threshold: float, by: Sequence[str] = (), targets: Sequence[float] = TARGETS) -> DataFrame:
     """The report at a given threshold, which is never refitted: rates there, EER, AUC and the targets."""
-    points = curve(scored, by)
+    points = materialize(curve(scored, by), "curve")  # read by every figure below
     out = _with(operating_point(apcer_bpcer(scored, threshold, by), by), _with(eer_of(points, by), auc_of(points, by), by), by)
     for t in targets:
         at = bpcer_at_apcer_of(points, t, by).select(*by, F.col("bpcer").alias(f"bpcer_at_{t:.2f}".replace(".", "_")))

@@ -68,13 +68,13 @@ def j2_train_and_report(spark, sf):
 def _held_out(spark: SparkSession, sf: str, seed: int = 7) -> DataFrame:
     """Scores of the test groups of a split that is made again and verified against its fingerprint."""
     scored = _scored(spark, sf)
-    split = S.group_split(scored, seed=seed)
+    split = materialize(S.group_split(scored, seed=seed), "split")
     recorded = materialize(S.fingerprint(split, "subject"), "fingerprint")
     test = split.filter("split = 'test'")
     if S.verify_split(recorded, test, "subject").first()["status"] != "verified":
         raise ValueError("the split is not the recorded one")
     asked = test.select("sample_id")  # the scorer answers for the test samples
-    return E.join_scores(test.drop("score"), scored.join(asked, "sample_id", "left_semi").select("sample_id", "score"))
+    return materialize(E.join_scores(test.drop("score"), scored.join(asked, "sample_id", "left_semi").select("sample_id", "score")), "held-out")
 
 
 def _stored_threshold(spark: SparkSession, sf: str) -> float:
