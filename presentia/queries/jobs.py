@@ -136,8 +136,7 @@ def h2_stream_score_history(spark, sf):
 def h3_stream_enroll(spark, sf):
     stream, _ = _stream(spark, sf)
     root = scratch_path(spark, "live-gallery")
-    few = adapted(spark, sf, "gallery").filter("ordinal % 50 = 0").withColumn("ordinal", F.col("ordinal").cast("bigint"))
-    few.write.parquet(f"{root}/version=0")
+    adapted(spark, sf, "gallery").withColumn("ordinal", F.col("ordinal").cast("bigint")).write.parquet(f"{root}/version=0")
     probes = adapted(spark, sf, "probes").select(F.col("probe_id").alias("vec_id"), "v")
     named = stream.withColumn("name", F.concat(F.lit("p"), (F.col("vec_id") % 10).cast("string")))
     ST.stream_enroll(named, probes, root, 64, 0.5, (640, 480), scratch_path(spark, "offsets")).awaitTermination()
@@ -170,6 +169,12 @@ def h6_stream_capture(spark, sf):
 SPLIT = _split_sql().replace("manifest", "scored")
 SQL = {
     "i1_score_with": "select vec_id as sample_id, round(list_sum(list_transform(embedding[1:len(embedding) // 2], lambda x: abs(x::double))) / list_sum(list_transform(embedding, lambda x: abs(x::double))), 6) as score from embeddings",
+    "d24_select_checkpoint": f"""with recursive h as materialized ({duck('history').removeprefix('with history as (')[:-1]}),
+st as (select distinct run_id, -1::bigint as seen, -1::bigint as best, 'inf'::double as eer, 'inf'::double as loss, 0 as misses, -1::bigint as last from h
+union all select run_id, epoch::bigint, case when misses < 8 and better then epoch else best end, case when misses < 8 and better then val_eer else eer end, case when misses < 8 and better then val_loss else loss end,
+case when misses >= 8 then misses when better then 0 else misses + 1 end, case when misses >= 8 then last else epoch end
+from (select st.*, h.epoch, h.val_eer, h.val_loss, h.val_eer < eer - 1e-9 or (abs(h.val_eer - eer) <= 1e-9 and h.val_loss < loss) as better from st join h on h.run_id = st.run_id and h.epoch = st.seen + 1))
+select run_id, m.b as best_epoch, m.e as best_eer, m.l as stopped_at from (select run_id, arg_max(struct_pack(b := best, e := eer, l := last), seen) as m from st group by run_id)""",
     "j3_eval_held_out": f"{duck('scored')}, {SPLIT}, held as (select * from spl where split = 'test'), {report_sql('held', 'rep')} select n_bona_fide, n_attack, case when n_bona_fide + n_attack < 200 then 'small sample' else '' end as note, {_r(*REPORT)} from rep",
     "j4_eval_cross": f"""{duck('scored', 'scored_big')}, {SPLIT}, held as (select * from spl where split = 'test'), {report_sql('held', 'src')}, {report_sql('scored_big', 'tgt')},
 l as (select m.metric, m.source, m.target, m.target - m.source as delta from (select unnest([{', '.join(f"struct_pack(metric := '{m}', source := src.{m}, target := tgt.{m})" for m in E.COMPARED)}]) as m from src, tgt)),
