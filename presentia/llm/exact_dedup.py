@@ -121,9 +121,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = identities(docs, id_col, text_col, block_bytes)
     rank = F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
     groups = ids.groupBy("level", "name").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("level", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
-    return ids.join(groups, ["level", "name"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256"
+    groups = groups.filter("group_size > 1").select("level", "name", F.col("best.doc_id").alias("keep_id"), F.col("best.row_id").alias("keep_row"), "group_size")
+    # Written, so that the join below is one of two scans: adaptive execution splits a hot name there.
+    groups = materialize(groups, "dedup-groups")
+    lone = F.col("keep_row").isNull()
+    return ids.join(groups, ["level", "name"], "left").select(
+        "doc_id",
+        F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (lone | (F.col("row_id") == F.col("keep_row"))).alias("kept"),
+        "text_sha256",
     )
 
 
