@@ -70,7 +70,8 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     """The terms in the band, sorted. Terms of a single document are left out, they never match."""
     total = docs.count()
     low, high = max(2.0, LEAST_SHARE * total), max(2.0, MOST_SHARE * total)
-    rows = document_frequencies(docs, text_col).filter(F.col("n").between(low, high)).select("term").collect()
+    # Written before it is read: the counts' shuffle files go with the step.
+    rows = materialize(document_frequencies(docs, text_col).filter(F.col("n").between(low, high)).select("term"), "imatch-lexicon").collect()
     return sorted(bytes(r.term) for r in rows)
 
 
