@@ -78,9 +78,9 @@ def score_of(value: float, model: ToxicityModel) -> float:
 
 
 def _beginnings(text: bytes) -> set[bytes]:
-    """The distinct words of a text and their beginnings of four bytes or more."""
+    """The distinct words of a text and their beginnings of four to eight bytes."""
     words = set(text.split())
-    return words | {w[:n] for w in words for n in range(4, len(w))}
+    return words | {w[:n] for w in words for n in range(4, min(len(w), 9))}
 
 
 def _own_words(toxic: list[bytes], ordinary: list[bytes], share: float, factor: float) -> list[bytes]:
@@ -112,8 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
     text = F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", (fold == (held_out_fold + 1) % 5).alias("calibrate"), text).collect()
     folded: dict[tuple[bool, bool], list[bytes]] = {(t, c): [] for t in (False, True) for c in (False, True)}
-    for toxic, calibrate, t in sorted(set(map(tuple, rows))):
-        folded[toxic, calibrate].append(t.encode().translate(FOLD))
+    for toxic, calibrate, t in sorted({(r.toxic, r.calibrate, r.text.encode().translate(FOLD)) for r in rows}):
+        folded[toxic, calibrate].append(t)
+    del rows
     toxic, ordinary = folded[True, False], folded[False, False]
     own = _own_words(toxic, ordinary, 0.02, 100) if toxic and ordinary else []
     if not own:
