@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from presentia.llm.arrow_text import bounded, joined
 from presentia.llm.shingles import gram_hashes, mixed, word_hashes
-from presentia.plans.materialize import materialize, partitions_for
+from presentia.plans.materialize import materialize, partitions_for, release
 
 WINDOW, GRAM = 13, 6
 #: Words of distinct segments in a shard.
@@ -182,7 +182,8 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 continue
             windows = np.add.reduceat(inside, first, dtype=np.int64)
             # A positional sum over the segment's words, from prefix sums.
-            sums = np.concatenate(([0], np.cumsum(mixed(words) * _powers_to(len(words)), dtype=np.uint64))).astype(np.uint64)
+            sums = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(mixed(words) * _powers_to(len(words)), out=sums[1:])
             body = mixed((sums[first + windows + window - 1] - sums[first]) * _inverse_at(first) + windows.astype(np.uint64))
             owner = doc[first]
             yield pa.RecordBatch.from_arrays(
@@ -280,6 +281,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     repeated = materialize(repeated, "sub-repeated")
     segments = materialize(anchors.join(repeated, "anchor", "left_semi"), "sub-segments")
+    release(anchors)
     distinct = segments.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "tid", "start", "n")).alias("s"))
     distinct = materialize(distinct.select("anchor", "body", "s.doc_id", "s.tid", "s.start", "s.n"), "sub-distinct")
     crowded = distinct.groupBy("anchor").count().filter(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
