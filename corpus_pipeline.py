@@ -2,7 +2,8 @@
 
 Every stage works on all rows that the one before it kept, and all but the last return the columns of
 documents. Toxic documents go, then exact copies, then all but one document of each near-duplicate
-group; what is left is sampled to the target mix of sources, languages and topics and encoded.
+group; what is left is drawn to the target mix of sources, languages and topics, lifted rows several times,
+and encoded.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from presentia.llm import toxicity
 from presentia.llm.bpe import bpe_round_trip
 from presentia.llm.exact_dedup import drop_copies
 from presentia.llm.minhash import drop_near_copies
-from presentia.llm.mixing import sample_mix
+from presentia.llm.mixing import repeat_mix
 from presentia.plans.materialize import materialize
 
 
@@ -36,8 +37,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target weights of sources, languages and topics."""
-    return sample_mix(docs)
+    """A sample with the target weights of sources, languages and topics; rows of lifted cells are repeated."""
+    return repeat_mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

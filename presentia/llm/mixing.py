@@ -1,9 +1,13 @@
 """Mixing sources to target weights: iterative proportional fitting (DataFrame functions only).
 
 Documents are reduced to cells (source, language, topic) with their tokens. The cells' weights are raked:
-scaled to the target of each source, then of each language, then of each topic, round after round. A
-document is sampled with the probability of its cell, ``min(1, scale * raked / current)``, the scale being
-the largest of a geometric grid at which the expected tokens stay within the budget.
+scaled to the target of each source, then of each language, then of each topic, round after round.
+
+:func:`mix` rates documents with the probability of their cell, ``min(1, scale * raked / current)``, the
+scale being the largest of a geometric grid at which the expected tokens stay within the budget. Cells cut
+at 1 fall short of their weight; :func:`sample_mix` selects the same rows. :func:`repeat_mix` meets the
+weights: each document is taken ``budget * raked / current`` times on average, so the expected tokens of
+every cell are its raked weight and all of them together are the budget.
 
 Only cells are iterated on: the documents are read once to count and once to sample, and what is shuffled
 is summed in the tasks first. Totals of a dimension are joined back by value; adaptive execution
@@ -127,16 +131,35 @@ def mix(docs: DataFrame, topic: Column | None = None, rounds: int = ROUNDS, budg
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", ratio.alias("ratio"), p.alias("p"), (uniform(F.col("doc_id"), SEED) < p).alias("selected"))
 
 
-def sample_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`mix` selects, with all their columns; texts are not shuffled twice."""
+def _rated(docs: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``docs`` joined to its cells' ``_by_ratio`` and ``_by_p``, and both sides."""
     topic = options.pop("topic", None)
     rows = _keyed(docs, topic)
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     probs = materialize(cell_probabilities(cells, **options), "mix-p")
     own = docs.withColumns({"_source": F.col("source"), "_lang": F.col("lang"), "_topic": topic_of(F.col("text")) if topic is None else topic})
-    by = probs.select(*[F.col(k).alias(f"_by_{k}") for k in (*DIMS, "p")])
+    by = probs.select(*[F.col(k).alias(f"_by_{k}") for k in (*DIMS, "ratio", "p")])
     same = reduce(lambda x, y: x & y, [own[f"_{k}"].eqNullSafe(by[f"_by_{k}"]) for k in DIMS])
-    return own.join(by, same).filter(uniform(own["doc_id"], SEED) < by["_by_p"]).select(*[own[c] for c in docs.columns])
+    return own.join(by, same), own, by
+
+
+def sample_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` selects, with all their columns; texts are not shuffled twice."""
+    rated, own, by = _rated(docs, options)
+    return rated.filter(uniform(own["doc_id"], SEED) < by["_by_p"]).select(*[own[c] for c in docs.columns])
+
+
+def repeat_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` drawn with their raked weights, with all their columns; texts are not shuffled twice.
+
+    The copies of a row are the floor of its expected number, and one more for that share of the ids which
+    is left. A row lifted beyond what there is occurs several times.
+    """
+    rated, own, by = _rated(docs, options)
+    expected = F.lit(float(options.get("budget", BUDGET))) * by["_by_ratio"]
+    copies = F.floor(expected) + (uniform(own["doc_id"], SEED) < expected - F.floor(expected)).cast("int")
+    drawn = rated.select(*[own[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
+    return drawn.select(*docs.columns)
 
 
 def mix_sql(documents: str = "documents", rounds: int = ROUNDS, budget: float = BUDGET) -> str:

@@ -186,6 +186,21 @@ def test_raking_meets_its_marginals(spark):
         assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_sampled_marginals_meet_the_targets_of_a_skewed_table(spark):
+    rows = [(i, f"w{i} b c d e f g h" + (" | x" if i % 7 == 0 else "\nx") + " y" * 200, "en" if i % 5 else "de", "hot" if i % 3 else f"s{i % 11}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    tokens = mixing.tokens_of(F.col("text"))
+    keyed = lambda d: d.select("source", "lang", mixing.topic_of(F.col("text")).alias("topic"), tokens.alias("tokens"))
+    cells = keyed(df).groupBy(*mixing.DIMS).agg(F.sum("tokens").alias("tokens"))
+    left = keyed(mixing.repeat_mix(df)).persist()
+    total, everything = left.agg(F.sum("tokens")).first()[0], cells.agg(F.sum("tokens")).first()[0]
+    assert abs(total / everything - mixing.BUDGET) < 0.02
+    for d in mixing.DIMS:
+        got = {r[0]: r[1] / total for r in left.groupBy(d).agg(F.sum("tokens")).collect()}
+        want = {r[0]: r[1] for r in mixing.power_targets(cells, d, mixing.POWERS[d]).collect()}
+        assert all(abs(got[k] - want[k]) < 0.01 for k in want), (d, got, want)
+
+
 def test_mixing_of_awkward_rows(spark):
     df = with_clashing_columns(awkward(spark))
     out = mixing.mix(df).collect()
