@@ -3,6 +3,8 @@
 ``html.parser`` streams events. They fill *lines*: one for each block element, with its text, its number
 of tags and the chain of containers it stands in. Lines in menus, page headers, footers, sidebars,
 notices, adverts, forms and reader comments are known by element, role, class or id and never count.
+Class and id say nothing on the page's own frame (html, body, main, article) nor on an element that holds
+nearly all text of the page.
 Over the rest the text-to-tag ratio of each line is smoothed with a Gaussian and split at a threshold
 between its two clusters. The lines above it vote for their containers with their length; the innermost
 container that holds nearly all of the selected text is the article, and all its lines are kept, short
@@ -30,23 +32,44 @@ UNSEEN = frozenset("script style noscript template svg math iframe object head t
 OUTSIDE = frozenset("nav header footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Parts of a class or id that mark what is no article, first or last in the name.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "header masthead topbar comment comments commentlist respond disqus cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
-    "subscription paywall social share sharing related recommended widget login signup search toolbar pagination pager copyright legal disclaimer skip hidden".split()
+    "masthead topbar comment comments commentlist respond disqus cookie cookies consent gdpr notification popup modal newsletter subscribe "
+    "subscription paywall social sharing recommended widget login signup toolbar pagination pager".split()
 )
+#: Words that content uses too: they mark as a whole name, last in one, or first before a part of GADGETS.
+WEAK = frozenset("header notice notices overlay related share search copyright legal disclaimer skip hidden".split())
+GADGETS = frozenset("bar box button buttons form icons link links list menu popup posts tools widget".split())
+#: First parts of names that say something about the page, not what the element is.
+STATES = frozenset("no not has have with without is".split())
+#: First parts of the article's own elements; a weak word after them does not mark.
+OWN = frozenset("article post entry content story text body title main section".split())
+COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+FRAME = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NAMES = re.compile(r"[a-z]+")
 
 
+def _marks(name: str) -> bool:
+    """Whether one class name or id marks what is no article."""
+    parts = _NAMES.findall(name)
+    if not parts or parts[0] in STATES:
+        return False
+    first, last = parts[0], parts[-1]
+    if first in MARKS or last in MARKS:
+        return True
+    if first in WEAK and (len(parts) == 1 or last in GADGETS):
+        return True
+    return last in WEAK and first not in OWN
+
+
 def _outside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """No article by element, role or attribute."""
     if tag in OUTSIDE:
         return True
     for name, value in attrs:
-        if name in ("class", "id"):
-            if value and not MARKS.isdisjoint(_NAMES.findall(value.lower())):
-                return True
-        elif name == "role":
+        if name == "role":
             if value and value.lower() in ROLES:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -54,14 +77,27 @@ def _outside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """2 for reader comments and 1 for other parts that class or id mark as no article, else 0."""
+    if tag in FRAME:
+        return 0
+    names = [n for name, value in attrs if name in ("class", "id") and value for n in value.lower().split() if _marks(n)]
+    return (2 if any(not COMMENTS.isdisjoint(_NAMES.findall(n)) for n in names) else 1) if names else 0
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, containers, outside) lines from parser events."""
+    """Collects (text, tags, containers, marked elements, characters in links, heading) lines from parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self._stack: list[tuple[str, int, bool]] = []  # tag, container number or -1, outside
+        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], int, bool]] = []
+        self.tags: dict[int, str] = {}  # of containers
+        self.kinds: dict[int, int] = {}  # of marked elements
+        self._stack: list[tuple[str, int, bool, bool]] = []  # tag, container number or -1, outside, marked
         self._chain: tuple[int, ...] = ()
+        self._marks: tuple[int, ...] = ()
+        self._link = False
+        self._linked = 0
         self._out = 0
         self._unseen: list[str] = []
         self._text: list[str] = []
@@ -72,9 +108,9 @@ class Lines(HTMLParser):
         if self._text:
             text = " ".join("".join(self._text).split())
             if text and not self._out:
-                self.lines.append((text, self._tags, self._chain))
+                self.lines.append((text, self._tags, self._chain, self._marks, self._linked, bool(self._stack) and self._stack[-1][0] == "h1"))
             self._text = []
-        self._tags = 0
+        self._tags = self._linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self._unseen:
@@ -95,30 +131,39 @@ class Lines(HTMLParser):
                 if self._stack and self._stack[-1][0] == tag or tag not in ("li", "dt", "dd") and self._stack and self._stack[-1][0] == "p":
                     self._pop()
             outside = _outside(tag, attrs)
-            if outside and tag == "header" and any(t == "article" for t, _, _ in self._stack):
-                outside = False
-            self._push(tag, outside)
+            marked = _marked(tag, attrs)
+            if tag == "header" and any(f[0] in ("article", "main") for f in self._stack):
+                outside = marked = False
+            self._push(tag, outside, marked)
         else:
             self._tags += 1
-            if attrs and tag not in VOID and _outside(tag, attrs):
+            if tag == "a":
+                self._link = True
+            if attrs and tag not in VOID and ((outside := _outside(tag, attrs)) | (marked := _marked(tag, attrs))):
                 self._break()
-                self._push(tag, True)
+                self._push(tag, outside, marked)
 
     handle_startendtag = handle_starttag
 
-    def _push(self, tag: str, outside: bool) -> None:
+    def _push(self, tag: str, outside: bool, marked: int) -> None:
         number = -1
         if tag in CONTAINERS:
             self._made += 1
             number = self._made
+            self.tags[number] = tag
             self._chain = (*self._chain, number)
-        self._stack.append((tag, number, outside))
+        if marked:
+            self.kinds[len(self.kinds)] = marked
+            self._marks = (*self._marks, len(self.kinds) - 1)
+        self._stack.append((tag, number, outside, bool(marked)))
         self._out += outside
 
     def _pop(self) -> None:
-        _, number, outside = self._stack.pop()
+        _, number, outside, marked = self._stack.pop()
         if number >= 0:
             self._chain = self._chain[:-1]
+        if marked:
+            self._marks = self._marks[:-1]
         self._out -= outside
 
     def handle_endtag(self, tag: str) -> None:
@@ -130,10 +175,13 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self._break()
+            self._link = False
         else:
             self._tags += 1
+            if tag == "a":
+                self._link = False
         depth = next((k for k in range(len(self._stack) - 1, -1, -1) if self._stack[k][0] == tag), None)
-        if depth is not None and (tag in CONTAINERS or all(t not in CONTAINERS for t, _, _ in self._stack[depth + 1 :])):
+        if depth is not None and (tag in CONTAINERS or all(f[0] not in CONTAINERS for f in self._stack[depth + 1 :])):
             self._break()
             while len(self._stack) > depth:
                 self._pop()
@@ -141,6 +189,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._unseen:
             self._text.append(data)
+            if self._link:
+                self._linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -173,30 +223,41 @@ def _threshold(values: list[float]) -> float:
     return cut
 
 
+def _unmarked(parser: Lines, share: float) -> list[tuple[str, int, tuple[int, ...], int, bool]]:
+    """The lines outside marked elements. A mark is void on an element that holds ``share`` of the page's text; for comments all of it."""
+    total = sum(len(line[0]) for line in parser.lines)
+    held: dict[int, int] = {}
+    for text, _, _, marks, _, _ in parser.lines:
+        for m in marks:
+            held[m] = held.get(m, 0) + len(text)
+    live = {m for m, n in held.items() if n < (total if parser.kinds[m] == 2 else share * total)}
+    return [(text, tags, chain, linked, h1) for text, tags, chain, marks, linked, h1 in parser.lines if live.isdisjoint(marks)]
+
+
 def extract_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
     """The main text of one page, blocks joined by a line feed; empty if there is none."""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines = _unmarked(parser, share)
     if not lines:
         return ""
-    ratio = _smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
+    ratio = _smoothed([len(line[0]) / max(1, line[1]) for line in lines], sigma)
     cut = _threshold(ratio)
     selected: dict[int, int] = {}
     total = 0
-    depth: dict[int, int] = {}
-    for (text, _, chain), r in zip(lines, ratio, strict=True):
+    chains: dict[int, tuple[int, ...]] = {}
+    for (text, _, chain, _, _), r in zip(lines, ratio, strict=True):
         if r >= cut:
             total += len(text)
             for d, c in enumerate(chain):
                 selected[c] = selected.get(c, 0) + len(text)
-                depth[c] = d
+                chains[c] = chain[: d + 1]
     held = [c for c, n in selected.items() if n >= share * total]
     if not held:
-        return "\n".join(text for text, _, _ in lines)
-    article = max(held, key=lambda c: (depth[c], -c))
-    return "\n".join(text for text, _, chain in lines if article in chain)
+        return "\n".join(line[0] for line in lines)
+    article = max(held, key=lambda c: (len(chains[c]), -c))
+    return "\n".join(line[0] for line in lines if article in line[2])
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -98,6 +98,27 @@ def test_html_keeps_the_article_whole_and_nothing_else():
     assert text == "\n".join(["Head & tail", "One two three four.", "Short.", body.strip(), "Said so"])
 
 
+BODY = "A long enough sentence of the body text. " * 12
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><div id=page class='no-sidebar'><article class='post has-comments'><header class='article-header'><h1>T</h1></header><p>%s</p></article></div></body>",
+        "<body><main class='with-header'><h1>T</h1><p>%s</p></main></body>",
+        "<body class=search><div class=hidden><h1>T</h1><p>%s</p></div></body>",
+        "<body><div id=x><div class='article-header'><h1>T</h1></div><p>%s</p></div></body>",
+    ],
+)
+def test_html_marks_do_not_empty_a_page(page):
+    assert extract_text(page % BODY).split("\n") == ["T", BODY.strip()]
+
+
+def test_html_marks_still_cut_what_is_outside():
+    page = "<body><article><h1>T</h1><p>%s</p><div class='legal-text'>Own words</div><div class='share-buttons'>Share</div><div class='post-comments'>%s</div><div class='cookie-notice'>We use</div></article></body>"
+    assert extract_text(page % (BODY, BODY * 3)).split("\n") == ["T", BODY.strip(), "Own words"]
+
+
 def test_html_of_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "just text &lt;b&gt;"), (4, "u", "<p><<<broken &#xZZ; <div"), (5, "u", "<p>" + "x " * 50_000), (5, "u", "<script>only</script>"), (None, "u", "<article><p>aé</p></article>")]
     out = html_extract(with_clashing_columns(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
