@@ -6,9 +6,10 @@ notices, adverts, forms and reader comments are known by element, role, class or
 Class and id say nothing on the page's own frame (html, body, main, article) nor on an element that holds
 nearly all text of the page.
 Over the rest the text-to-tag ratio of each line is smoothed with a Gaussian and split at a threshold
-between its two clusters. The lines above it vote for their containers with their length; the innermost
-container that holds nearly all of the selected text is the article, and all its lines are kept, short
-ones too.
+between its two clusters. The lines above it vote for their containers with their length. From the
+innermost container that holds nearly all of the selected text the article is found upwards: the enclosing
+article or main element, else the ancestors as long as what they add is mostly no links. All its lines
+are kept, short ones too.
 
 Pages are independent: one pass without a shuffle, a bounded number of bytes at a time.
 """
@@ -234,6 +235,21 @@ def _unmarked(parser: Lines, share: float) -> list[tuple[str, int, tuple[int, ..
     return [(text, tags, chain, linked, h1) for text, tags, chain, marks, linked, h1 in parser.lines if live.isdisjoint(marks)]
 
 
+def _article(lines: list[tuple[str, int, tuple[int, ...], int, bool]], chain: tuple[int, ...], tags: dict[int, str]) -> int:
+    """The article around the innermost container of ``chain``."""
+    for name in ("article", "main"):
+        at = next((c for c in reversed(chain) if tags[c] == name), None)
+        if at is not None and (name == "main" or not any(tags[c] == "main" for c in chain) or any(h1 and at in ch for _, _, ch, _, h1 in lines)):
+            return at
+    at = chain[-1]
+    for c in reversed(chain[:-1]):
+        further = [(len(text), linked) for text, _, ch, linked, _ in lines if c in ch and at not in ch]
+        if 2 * sum(n for _, n in further) > sum(n for n, _ in further):
+            break
+        at = c
+    return at
+
+
 def extract_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
     """The main text of one page, blocks joined by a line feed; empty if there is none."""
     parser = Lines()
@@ -256,7 +272,7 @@ def extract_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
     held = [c for c, n in selected.items() if n >= share * total]
     if not held:
         return "\n".join(line[0] for line in lines)
-    article = max(held, key=lambda c: (len(chains[c]), -c))
+    article = _article(lines, chains[max(held, key=lambda c: (len(chains[c]), -c))], parser.tags)
     return "\n".join(line[0] for line in lines if article in line[2])
 
 

@@ -119,6 +119,19 @@ def test_html_marks_still_cut_what_is_outside():
     assert extract_text(page % (BODY, BODY * 3)).split("\n") == ["T", BODY.strip(), "Own words"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><article><h1>T</h1><p>Lead.</p><div class=text><p>%s</p><p>%s</p></div><p>closing</p></article></body>", "T|Lead.|B|B|closing"),
+        ("<body><div><h1>T</h1><div><p>%s</p><p>%s</p></div><ul><li>one<li>two</ul><p>closing</p></div><div><a href=x>More</a> <a href=y>Other</a></div></body>", "T|B|B|one|two|closing"),
+        ("<body><main><h1>T</h1><article><p>%s</p><p>%s</p></article></main></body>", "T|B|B"),
+        ("<body><article><p>Intro.</p><section><p>%s</p><p>%s</p></section><section><h2>S</h2><p>short second</p></section></article></body>", "Intro.|B|B|S|short second"),
+    ],
+)
+def test_html_keeps_what_stands_around_the_body(page, want):
+    assert extract_text(page % (BODY, BODY)).replace(BODY.strip(), "B").split("\n") == want.split("|")
+
+
 def test_html_of_awkward_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "just text &lt;b&gt;"), (4, "u", "<p><<<broken &#xZZ; <div"), (5, "u", "<p>" + "x " * 50_000), (5, "u", "<script>only</script>"), (None, "u", "<article><p>aé</p></article>")]
     out = html_extract(with_clashing_columns(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
