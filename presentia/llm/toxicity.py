@@ -5,10 +5,11 @@ language. Toxic documents consist mostly of ordinary language, so the toxic dict
 dictionary's content preceded by what recurs in toxic text only; a window of ordinary language then
 costs the same with both, to the byte, and the difference is evidence instead of noise.
 
-Training uses a bounded sample of labelled rows (``max_toxic``, ``max_ordinary`` rows of at most
-``max_chars`` characters), chosen by a hash of the id. The threshold is calibrated on a fold of the
-training rows that the dictionaries have not seen. Scoring reads every whole text, window by window, in
-one pass without a shuffle; the model that is broadcast has a fixed size (two dictionaries).
+Training uses the whole texts of a bounded sample of labelled rows (``max_toxic`` and ``max_ordinary`` rows),
+chosen by a hash of the id. The threshold is calibrated on all labelled rows of a fold that the dictionaries
+have not seen; executors score their whole texts like any document and the counts of each evidence reach the
+driver. Scoring reads every whole text, window by window, in one pass without a shuffle; the model that is
+broadcast has a fixed size (two dictionaries).
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class ToxicityModel:
     toxic: bytes
     threshold: float
     window: int = 64
-    step: int = 40
+    step: int = 32
     level: int = 6
 
     @property
@@ -58,18 +59,17 @@ def _compressors(model: ToxicityModel):
 
 
 def evidence(text: bytes, model: ToxicityModel) -> float:
-    """The mean of the two largest differences, in bytes, over all windows of a folded text."""
+    """The mean of the largest difference, in bytes, over all windows of a folded text and the largest of a window apart from it."""
     ordinary, toxic = _compressors(model)
     w, step = model.window, model.step
-    best = second = 0
+    found = []
     for i in range(0, max(1, len(text) - w + step), step):
         piece = text[i : i + w]
-        d = len(ordinary(piece)) - len(toxic(piece))
-        if d > best:
-            best, second = d, best
-        elif d > second:
-            second = d
-    return (best + second) / 2
+        found.append(len(ordinary(piece)) - len(toxic(piece)))
+    best = max(range(len(found)), key=found.__getitem__)
+    apart = -(-w // step)
+    second = max(found[: max(0, best - apart + 1)] + found[best + apart :], default=0)
+    return (max(0, found[best]) + max(0, second)) / 2
 
 
 def score_of(value: float, model: ToxicityModel) -> float:
@@ -96,7 +96,7 @@ def _own_words(toxic: list[bytes], ordinary: list[bytes], share: float, factor:
     return sorted(own, key=lambda w: (t[w], w))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 12000, max_chars: int = 8000, dictionary_bytes: int = 65536, clean_weight: float = 2.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 12000, dictionary_bytes: int = 65536, clean_weight: float = 2.0) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold (crc32 of the id as text, modulo 5).
 
     Rows of fold ``held_out_fold`` + 1 calibrate, the others train. ``clean_weight`` is what sparing a
@@ -109,13 +109,13 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
     lab = lab.filter(fold != held_out_fold)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = lab.filter("toxic").orderBy(*order).limit(max_toxic).unionByName(lab.filter("not toxic").orderBy(*order).limit(max_ordinary))
-    text = F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", (fold == (held_out_fold + 1) % 5).alias("calibrate"), text).collect()
-    folded: dict[tuple[bool, bool], list[bytes]] = {(t, c): [] for t in (False, True) for c in (False, True)}
-    for toxic, calibrate, t in sorted({(r.toxic, r.calibrate, r.text.encode().translate(FOLD)) for r in rows}):
-        folded[toxic, calibrate].append(t)
+    calibrating = fold == (held_out_fold + 1) % 5
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.filter(~calibrating)), "doc_id").select("toxic", "text").collect()
+    folded: dict[bool, list[bytes]] = {False: [], True: []}
+    for is_toxic, t in sorted({(r.toxic, r.text.encode().translate(FOLD)) for r in rows}):
+        folded[is_toxic].append(t)
     del rows
-    toxic, ordinary = folded[True, False], folded[False, False]
+    toxic, ordinary = folded[True], folded[False]
     own = _own_words(toxic, ordinary, 0.02, 100) if toxic and ordinary else []
     if not own:
         return ToxicityModel(b"", b"", 0.0)
@@ -125,13 +125,28 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
     except zstandard.ZstdError:  # too little text for a dictionary of its own: the text itself serves
         content = b" ".join(ordinary)[-dictionary_bytes:]
     model = ToxicityModel(content, b" " + b"  ".join(own)[-dictionary_bytes:] + b" ", 1.0)
-    hit = np.array(sorted(evidence(t, model) for t in folded[True, True] or toxic))
-    miss = np.array(sorted(evidence(t, model) for t in folded[False, True][:4000] or ordinary))
+    seen = {(r.toxic, r.evidence): r.n for r in _evidences(docs.filter(calibrating), model).join(lab, "doc_id").groupBy("toxic", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hit, miss = (
+        np.sort(np.repeat([e for c, e in seen if c is k], [n for (c, _), n in seen.items() if c is k])) if any(c is k for c, _ in seen) else np.array(sorted(evidence(t, model) for t in folded[k])) for k in (True, False)
+    )
     cuts = np.unique(np.concatenate([hit, miss])) + 0.25
     gain = [(1 - np.searchsorted(hit, c) / len(hit)) + clean_weight * np.searchsorted(miss, c) / len(miss) for c in cuts]
     return ToxicityModel(model.ordinary, model.toxic, float(cuts[int(np.argmax(gain))]), model.window, model.step, model.level)
 
 
+def _evidences(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, evidence double of whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, "text", 4 << 20):
+            values = [evidence(t.translate(FOLD), shared.value) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "evidence"])
+
+    src = docs.select("doc_id", "text")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, evidence double")
+
+
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score double (0 to 1), predicted int for every row.
 

@@ -199,6 +199,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert caught > 0.7 and spared > 0.93
 
 
+def _speech(rng, n):
+    return " ".join(f"w{k}" for k in rng.integers(0, 300, n))
+
+
+def test_toxicity_late_in_a_long_text_is_learned_and_caught(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, _speech(rng, 2500) + (" vile scum and wretched idiot" if i % 4 == 0 else "")) for i in range(160)]
+    df, labels = docs(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id bigint, toxic int")
+    out = toxicity.score(df, toxicity.train(df, labels)).collect()
+    assert {r.doc_id for r in out if r.predicted} == {i for i in range(160) if i % 4 == 0}
+
+
+def test_evidence_takes_windows_apart():
+    model = toxicity.ToxicityModel(b"ordinary words are here and there " * 40, b" abominable ", 1.0)
+    filler = b"ordinary words are here and there " * 6
+    once = filler[:45] + b"abominable " + filler
+    assert toxicity.evidence(once + once, model) > 1.5 * toxicity.evidence(once, model) > 0
+
+
 def test_toxicity_of_awkward_rows_and_untrained_models(spark):
     df = with_clashing_columns(awkward(spark))
     none = toxicity.train(df, spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int"))
