@@ -3,7 +3,9 @@
 A window that compresses shorter with the toxic dictionary than with the ordinary one speaks toxic
 language. Toxic documents consist mostly of ordinary language, so the toxic dictionary is the ordinary
 dictionary's content preceded by what recurs in toxic text only; a window of ordinary language then
-costs the same with both, to the byte, and the difference is evidence instead of noise.
+costs the same with both, to the byte, and the difference is evidence instead of noise. What recurs is a
+list of words and word beginnings; where no word is toxic text's own, a dictionary that zstandard trains on
+the toxic texts takes its place.
 
 Training uses the whole texts of a bounded sample of labelled rows (``max_toxic`` and ``max_ordinary`` rows),
 chosen by a hash of the id. The threshold is calibrated on all labelled rows of a fold that the dictionaries
@@ -96,6 +98,15 @@ def _own_words(toxic: list[bytes], ordinary: list[bytes], share: float, factor:
     return sorted(own, key=lambda w: (t[w], w))
 
 
+def _dictionary(texts: list[bytes], n_bytes: int, piece: int) -> bytes:
+    """What zstandard finds worth keeping of all pieces of the texts."""
+    pieces = [x for t in texts for i in range(0, len(t), piece) if len(x := t[i : i + piece]) >= 8]
+    try:
+        return zstandard.train_dictionary(n_bytes, pieces, k=32, d=6, level=6).as_bytes()
+    except zstandard.ZstdError:  # too little text for a dictionary of its own: the text itself serves
+        return b" ".join(texts)[-n_bytes:]
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 12000, dictionary_bytes: int = 65536, clean_weight: float = 2.0) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold (crc32 of the id as text, modulo 5).
 
@@ -116,15 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
         folded[is_toxic].append(t)
     del rows
     toxic, ordinary = folded[True], folded[False]
-    own = _own_words(toxic, ordinary, 0.02, 100) if toxic and ordinary else []
-    if not own:
+    if not any(toxic) or not any(ordinary):
         return ToxicityModel(b"", b"", 0.0)
-    pieces = [x for t in ordinary for i in range(0, len(t), 256) if len(x := t[i : i + 256]) >= 8]
-    try:
-        content = zstandard.train_dictionary(dictionary_bytes, pieces, k=32, d=6, level=6).as_bytes()
-    except zstandard.ZstdError:  # too little text for a dictionary of its own: the text itself serves
-        content = b" ".join(ordinary)[-dictionary_bytes:]
-    model = ToxicityModel(content, b" " + b"  ".join(own)[-dictionary_bytes:] + b" ", 1.0)
+    own = b"  ".join(_own_words(toxic, ordinary, 0.02, 100))[-dictionary_bytes:] or _dictionary(toxic, dictionary_bytes // 8, 64)
+    model = ToxicityModel(_dictionary(ordinary, dictionary_bytes, 256), b" " + own + b" ", 1.0)
     seen = {(r.toxic, r.evidence): r.n for r in _evidences(docs.filter(calibrating), model).join(lab, "doc_id").groupBy("toxic", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()}
     hit, miss = (
         np.sort(np.repeat([e for c, e in seen if c is k], [n for (c, _), n in seen.items() if c is k])) if any(c is k for c, _ in seen) else np.array(sorted(evidence(t, model) for t in folded[k])) for k in (True, False)

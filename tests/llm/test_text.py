@@ -199,8 +199,8 @@ def test_toxicity_on_held_out_rows(spark):
     assert caught > 0.7 and spared > 0.93
 
 
-def _speech(rng, n):
-    return " ".join(f"w{k}" for k in rng.integers(0, 300, n))
+def _speech(rng, n, words=300):
+    return " ".join(f"w{k}" for k in rng.integers(0, words, n))
 
 
 def test_toxicity_late_in_a_long_text_is_learned_and_caught(spark):
@@ -211,6 +211,17 @@ def test_toxicity_late_in_a_long_text_is_learned_and_caught(spark):
     assert {r.doc_id for r in out if r.predicted} == {i for i in range(160) if i % 4 == 0}
 
 
+def test_toxic_phrases_of_ordinary_words_are_learned(spark):
+    rng = np.random.default_rng(8)
+    phrases = [_speech(rng, 12, 4000) for _ in range(6)]
+    rows = [(i, _speech(rng, 120, 4000) + (f" {phrases[i // 4 % 6]} {_speech(rng, 20, 4000)} {phrases[i // 4 % 6]} " if i % 4 == 0 else "") + _speech(rng, 60, 4000)) for i in range(400)]
+    df, labels = docs(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.train(df, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    caught, wrong = np.mean([got[i] for i in got if i % 4 == 0]), np.mean([got[i] for i in got if i % 4])
+    assert model.trained and caught > 0.6 and wrong < 0.2
+
+
 def test_evidence_takes_windows_apart():
     model = toxicity.ToxicityModel(b"ordinary words are here and there " * 40, b" abominable ", 1.0)
     filler = b"ordinary words are here and there " * 6
