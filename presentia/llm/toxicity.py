@@ -1,26 +1,30 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one from ordinary and one from toxic text.
-
-A window that compresses shorter with the toxic dictionary than with the ordinary one speaks toxic
-language. Toxic documents consist mostly of ordinary language, so the toxic dictionary is the ordinary
-dictionary's content preceded by what recurs in toxic text only; a window of ordinary language then
-costs the same with both, to the byte, and the difference is evidence instead of noise. What recurs is a
-list of words and word beginnings; where no word is toxic text's own, a dictionary that zstandard trains on
-the toxic texts takes its place.
-
-Training uses the whole texts of a bounded sample of labelled rows (``max_toxic`` and ``max_ordinary`` rows),
-chosen by a hash of the id. The threshold is calibrated on all labelled rows of a fold that the dictionaries
-have not seen; executors score their whole texts like any document and the counts of each evidence reach the
-driver. Scoring reads every whole text, window by window, in one pass without a shuffle; the model that is
-broadcast has a fixed size (two dictionaries).
+"""Toxicity by compression distance: separate zstandard dictionaries of toxic and of ordinary text.
+
+The dictionaries of a pair are trained by zstandard with the same size and parameters on equally many texts. A
+window of text is compressed with each; a window that comes out shorter with the toxic one speaks toxic
+language. Toxic documents consist mostly of ordinary language, and what zstandard finds most frequent in them
+would be that. So the texts of a class are first reduced to its *own* words, and pairs of words that recur,
+whose rate is ``CONTRAST`` times that in the other class. Behind both dictionaries of a pair stands the content of a third, trained on whole
+ordinary texts: ordinary language then costs about the same with both, and the difference of the lengths is
+evidence instead of noise. What zstandard picks depends on the order of its samples; several pairs, each
+trained in an order of its own (by a keyed hash of the text), are averaged.
+
+Training reads whole texts of a bounded sample of labelled rows (``max_toxic`` and ``max_ordinary`` rows chosen
+by a hash of the id), one task for each pair; only the dictionaries, some kilobytes, reach the driver. The
+threshold is calibrated on all labelled rows outside the held-out fold: rows of each fold are scored whole, on
+executors, with dictionaries trained without that fold, and counts by rounded evidence reach the driver.
+Neither the order nor the partitions of the rows change the model. Scoring reads every whole text window by
+window, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +32,34 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presentia.llm.arrow_text import bounded
+from presentia.llm.arrow_text import bounded, slices
 
 #: Letters A-Z in lower case; every byte that is neither digit, letter nor part of a longer character becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+FOLDS = 5
+#: How many times its rate in the other class a word must have to be a class's own; the share of the class's
+#: documents (three at least) that must have a pair of words in common for the pair to count like a word.
+CONTRAST, PAIR_SHARE = 20, 0.05
+#: Bytes of a class's dictionary, of the ordinary content behind both, and of a training sample.
+OWN_BYTES, BASE_BYTES, OWN_PIECE, BASE_PIECE = 1024, 16384, 64, 256
+#: Pairs of dictionaries.
+PAIRS = 4
+#: What a window must exceed to count in the mean, the windows added to it, and its weight beside the largest ones.
+MARGIN, MEAN_PRIOR, MEAN_WEIGHT = 0.5, 10, 20.0
+#: Evidence is rounded to this part of a byte, so that few distinct values are counted.
+GRAIN = 20
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """What scoring needs: the dictionaries' content, the window and the calibrated threshold."""
+    """What scoring needs: the first pair (``ordinary`` stands behind ``clean`` and ``toxic``), the threshold, and the contents of further pairs."""
 
     ordinary: bytes
     toxic: bytes
     threshold: float
+    clean: bytes = b""
+    further: tuple[tuple[bytes, bytes], ...] = ()
     window: int = 64
-    step: int = 32
     level: int = 6
 
     @property
@@ -50,28 +67,30 @@ class ToxicityModel:
         return bool(self.toxic)
 
 
-@functools.lru_cache(maxsize=2)
-def _compressors(model: ToxicityModel):
+@functools.lru_cache(maxsize=FOLDS + 1)
+def _compressors(model: ToxicityModel) -> list[tuple]:
     def make(content: bytes):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=model.level)
-        return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    return make(model.ordinary).compress, make(model.toxic + model.ordinary).compress
+    return [(make(a), make(b)) for a, b in ((model.clean + model.ordinary, model.toxic + model.ordinary), *model.further)]
+
+
+def _pair_evidence(found: list[int]) -> float:
+    """The mean of the two largest differences, less in texts of many windows, which have more chances, and the mean of all beyond the margin."""
+    top = sorted(found)[-2:]
+    top = sum(x for x in top if x > 0) / 2 / (1 + math.log(len(found)) / 4)
+    return top + MEAN_WEIGHT * sum(x - MARGIN for x in found if x > MARGIN) / (len(found) + MEAN_PRIOR)
 
 
 def evidence(text: bytes, model: ToxicityModel) -> float:
-    """The mean of the largest difference, in bytes, over all windows of a folded text and the largest of a window apart from it."""
-    ordinary, toxic = _compressors(model)
-    w, step = model.window, model.step
-    found = []
-    for i in range(0, max(1, len(text) - w + step), step):
-        piece = text[i : i + w]
-        found.append(len(ordinary(piece)) - len(toxic(piece)))
-    best = max(range(len(found)), key=found.__getitem__)
-    apart = -(-w // step)
-    second = max(found[: max(0, best - apart + 1)] + found[best + apart :], default=0)
-    return (max(0, found[best]) + max(0, second)) / 2
+    """How much shorter the windows of a folded text are with the toxic dictionaries, in rounded bytes: the mean of all pairs."""
+    w = model.window
+    # The last window is as long as the others: what is short hardly compresses with any dictionary.
+    pieces = [text[i : i + w] for i in range(0, len(text) - w, w)] + [text[-w:]]
+    found = [_pair_evidence([len(ordinary(p)) - len(toxic(p)) for p in pieces]) for ordinary, toxic in _compressors(model)]
+    return round(sum(found) / len(found) * GRAIN) / GRAIN
 
 
 def score_of(value: float, model: ToxicityModel) -> float:
@@ -79,92 +98,158 @@ def score_of(value: float, model: ToxicityModel) -> float:
     return 1.0 / (1.0 + math.exp(min(60.0, model.threshold - value))) if model.trained else 0.0
 
 
-def _beginnings(text: bytes) -> set[bytes]:
-    """The distinct words of a text and their beginnings of four to eight bytes."""
-    words = set(text.split())
-    return words | {w[:n] for w in words for n in range(4, min(len(w), 9))}
+def _dictionary(pieces: list[bytes], n_bytes: int, **parameters: int) -> bytes:
+    """What zstandard finds worth keeping of all pieces."""
+    pieces = [p for p in pieces if len(p) >= 8]
+    try:
+        return zstandard.train_dictionary(n_bytes, pieces, level=6, **parameters).as_bytes()
+    except zstandard.ZstdError:  # too little text for a dictionary of its own: the text itself serves
+        return b" ".join(pieces)[-n_bytes:]
+
 
+def _cut(text: bytes, size: int) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
-def _own_words(toxic: list[bytes], ordinary: list[bytes], share: float, factor: float) -> list[bytes]:
-    """Words and word beginnings in at least ``share`` of the toxic texts whose rate is ``factor`` times the ordinary one, rarest first.
 
-    A beginning that occurs no oftener than a longer one adds nothing and is left out.
-    """
-    t = Counter(w for text in toxic for w in _beginnings(text))
-    o = Counter(w for text in ordinary for w in _beginnings(text) if w in t)
-    least = max(4, share * len(toxic))
-    own = {w for w, n in t.items() if n >= least and n * len(ordinary) >= factor * o[w] * len(toxic)}
-    own -= {w[:-k] for w in own for k in range(1, len(w)) if t[w] == t[w[:-k]]}
-    return sorted(own, key=lambda w: (t[w], w))
+def _pairs(words: list[bytes]) -> list[bytes]:
+    return [a + b" " + b for a, b in zip(words, words[1:], strict=False)]
 
 
-def _dictionary(texts: list[bytes], n_bytes: int, piece: int) -> bytes:
-    """What zstandard finds worth keeping of all pieces of the texts."""
-    pieces = [x for t in texts for i in range(0, len(t), piece) if len(x := t[i : i + piece]) >= 8]
-    try:
-        return zstandard.train_dictionary(n_bytes, pieces, k=32, d=6, level=6).as_bytes()
-    except zstandard.ZstdError:  # too little text for a dictionary of its own: the text itself serves
-        return b" ".join(texts)[-n_bytes:]
+@dataclass
+class _Group:
+    """The training texts of a class and fold, as words, and in how many of them words and pairs of words occur."""
 
+    texts: list[list[bytes]]
+    words: Counter[bytes]
+    pairs: Counter[bytes]
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 12000, dictionary_bytes: int = 65536, clean_weight: float = 2.0) -> ToxicityModel:
+
+def _own_pieces(texts: list[list[bytes]], own: _Group, other: _Group) -> list[bytes]:
+    """The words, and runs of pairs of words, of each text that its class has and the other hardly has, in pieces."""
+    n_own, n_other = len(own.texts), len(other.texts)
+    least = max(3, PAIR_SHARE * n_own)
+    words = {w for w, n in own.words.items() if n * n_other > CONTRAST * other.words[w] * n_own}
+    pairs = {p for p, n in own.pairs.items() if n >= least and n * n_other > CONTRAST * other.pairs[p] * n_own}
+    out = []
+    for text in texts:
+        kept, run = words.intersection(text), []
+        for k, pair in enumerate([*_pairs(text), b""]):
+            if pair in pairs:
+                run = [*run, text[k + 1]] if run else text[k : k + 2]
+            elif run:
+                kept.add(b" ".join(run))
+                run = []
+        if kept:
+            out += _cut(b"  " + b"  ".join(sorted(kept)) + b"  ", OWN_PIECE)
+    return out
+
+
+def dictionaries(rows: Iterable[tuple[bool, int, bytes]], seed: int) -> dict[int, tuple[bytes, bytes, bytes]]:
+    """The common content, the ordinary and the toxic dictionary, without each fold (-1: of all rows).
+
+    ``rows``: (toxic, fold, folded text); repeats count once and their order is of no account, that of ``seed`` is.
+    """
+    key = seed.to_bytes(4, "little")
+    distinct = sorted(set(rows), key=lambda r: (hashlib.blake2b(r[2], key=key).digest(), r[0], r[1]))
+    base = _dictionary([p for toxic, _, t in distinct if not toxic for p in _cut(t, BASE_PIECE)], BASE_BYTES, k=64, d=8)
+    names: dict[bytes, bytes] = {}  # one object for each word
+    groups: dict[tuple[bool, int], _Group] = {}
+    for toxic, fold, t in distinct:
+        group = groups.setdefault((toxic, fold), _Group([], Counter(), Counter()))
+        group.texts.append([names.setdefault(w, w) for w in t.split()])
+        group.words.update(set(group.texts[-1]))
+    # Pairs are those of the toxic texts and of as many ordinary ones.
+    some = sum(len(g.texts) for (toxic, _), g in groups.items() if toxic)
+    known: Counter[bytes] = Counter()
+    for k in (True, False):
+        for text in [x for (c, _), g in groups.items() if c is k for x in g.texts][:some]:
+            known.update(set(_pairs(text)))
+    known_often = {p for p, n in known.items() if n >= 3}
+    for group in groups.values():
+        for text in group.texts:
+            group.pairs.update(known_often.intersection(_pairs(text)))
+
+    def joined(toxic: bool, without: int) -> _Group:
+        parts = [g for (k, f), g in groups.items() if k is toxic and f != without]
+        return _Group([x for g in parts for x in g.texts], sum((g.words for g in parts), Counter()), sum((g.pairs for g in parts), Counter()))
+
+    found = {}
+    for without in (-1, *sorted({f for _, f in groups})):
+        toxic, clean = joined(True, without), joined(False, without)
+        if toxic.words and clean.words:
+            own = (_own_pieces(clean.texts[: len(toxic.texts)], clean, toxic), _own_pieces(toxic.texts, toxic, clean))
+            ordinary, hostile = (_dictionary(pieces, OWN_BYTES, k=8, d=8) for pieces in own)
+            found[without] = base, ordinary, hostile or b" "
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 12000, clean_weight: float = 2.0) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold (crc32 of the id as text, modulo 5).
 
-    Rows of fold ``held_out_fold`` + 1 calibrate, the others train. ``clean_weight`` is what sparing a
-    clean document counts against catching a toxic one. Without rows of both classes the model is
-    untrained and scores 0. Null labels and ids are ignored; a doc_id with several labels is toxic if
-    one of them says so.
+    At most ``max_toxic`` and ``max_ordinary`` of them, whole texts, train the dictionaries; all of them set the
+    threshold. ``clean_weight`` is what sparing a clean document counts against catching a toxic one. Without
+    rows of both classes the model is untrained and scores 0. Null labels and ids are ignored; null texts
+    count as empty; a doc_id with several labels is toxic if one of them says so; equal texts train once.
     """
-    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    fold = (F.crc32(F.col("doc_id").cast("string")) % FOLDS).cast("int")
     lab = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    lab = lab.filter(fold != held_out_fold)
+    lab = lab.select("doc_id", "toxic", fold.alias("fold")).filter(F.col("fold") != held_out_fold)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = lab.filter("toxic").orderBy(*order).limit(max_toxic).unionByName(lab.filter("not toxic").orderBy(*order).limit(max_ordinary))
-    calibrating = fold == (held_out_fold + 1) % 5
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.filter(~calibrating)), "doc_id").select("toxic", "text").collect()
-    folded: dict[bool, list[bytes]] = {False: [], True: []}
-    for is_toxic, t in sorted({(r.toxic, r.text.encode().translate(FOLD)) for r in rows}):
-        folded[is_toxic].append(t)
-    del rows
-    toxic, ordinary = folded[True], folded[False]
-    if not any(toxic) or not any(ordinary):
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def learn(table: pa.Table) -> pa.Table:
+        rows = {
+            (k, f, t.translate(FOLD))
+            for b in bounded(table.to_batches(), "text", 4 << 20)
+            for k, f, t in zip(b.column("toxic").to_pylist(), b.column("fold").to_pylist(), b.column("text").to_pylist(), strict=True)
+        }
+        pair = table.column("pair")[0].as_py()
+        found = dictionaries(rows, pair)
+        cols = [[pair] * len(found), list(found), *(list(c) for c in zip(*found.values(), strict=True))] if found else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["pair", "fold", "base", "clean", "toxic"])
+
+    # A task sees the sample, which max_toxic and max_ordinary bound, once for each pair.
+    sample = texts.join(F.broadcast(chosen), "doc_id").select(F.explode(F.array(*map(F.lit, range(PAIRS)))).alias("pair"), "toxic", "fold", "text")
+    learned = sample.groupBy("pair").applyInArrow(learn, "pair int, fold int, base binary, clean binary, toxic binary").collect()
+    models: dict[int, ToxicityModel] = {}
+    for f in {r.fold for r in learned}:
+        contents = [(bytes(r.clean), bytes(r.toxic), bytes(r.base)) for r in sorted(learned, key=lambda r: r.pair) if r.fold == f]
+        (clean, toxic, base), *others = contents
+        models[f] = ToxicityModel(base, toxic, 1.0, clean, tuple((c + b, t + b) for c, t, b in others))
+    if -1 not in models:
         return ToxicityModel(b"", b"", 0.0)
-    own = b"  ".join(_own_words(toxic, ordinary, 0.02, 100))[-dictionary_bytes:] or _dictionary(toxic, dictionary_bytes // 8, 64)
-    model = ToxicityModel(_dictionary(ordinary, dictionary_bytes, 256), b" " + own + b" ", 1.0)
-    seen = {(r.toxic, r.evidence): r.n for r in _evidences(docs.filter(calibrating), model).join(lab, "doc_id").groupBy("toxic", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()}
-    hit, miss = (
-        np.sort(np.repeat([e for c, e in seen if c is k], [n for (c, _), n in seen.items() if c is k])) if any(c is k for c, _ in seen) else np.array(sorted(evidence(t, model) for t in folded[k])) for k in (True, False)
-    )
-    cuts = np.unique(np.concatenate([hit, miss])) + 0.25
-    gain = [(1 - np.searchsorted(hit, c) / len(hit)) + clean_weight * np.searchsorted(miss, c) / len(miss) for c in cuts]
-    return ToxicityModel(model.ordinary, model.toxic, float(cuts[int(np.argmax(gain))]), model.window, model.step, model.level)
+    counted = _evidences(texts.join(lab, "doc_id"), models).groupBy("toxic", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()
+    hit, miss = (np.sort(np.repeat([r.evidence for r in counted if r.toxic is k], [r.n for r in counted if r.toxic is k])) for k in (True, False))
+    values = np.unique(np.concatenate([hit, miss]))
+    cuts = np.append((values[1:] + values[:-1]) / 2, values[-1:] + 1 / GRAIN)
+    gain = [(1 - np.searchsorted(hit, c) / max(1, len(hit))) + clean_weight * np.searchsorted(miss, c) / max(1, len(miss)) for c in cuts]
+    return replace(models[-1], threshold=float(cuts[int(np.argmax(gain))]))
 
 
-def _evidences(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, evidence double of whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _evidences(docs: DataFrame, models: dict[int, ToxicityModel]) -> DataFrame:
+    """toxic, evidence of whole texts, each with the model that has not seen its fold; some kilobytes go with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text", 4 << 20):
-            values = [evidence(t.translate(FOLD), shared.value) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "evidence"])
+            use = [models.get(f, models[-1]) for f in b.column("fold").to_pylist()]
+            values = [evidence(t.translate(FOLD), m) for t, m in zip(b.column("text").to_pylist(), use, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(values, pa.float64())], names=["toxic", "evidence"])
 
-    src = docs.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, evidence double")
+    return docs.select("toxic", "fold", "text").mapInArrow(run, "toxic boolean, evidence double")
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score double (0 to 1), predicted int for every row.
 
-    Null and empty texts have no window with evidence and get the score of zero evidence. Equal texts
-    get equal scores; repeated rows are scored as often as they occur; an empty table gives none.
+    Null and empty texts have no window with evidence and get the score of zero evidence. Very long texts are
+    read to their end. Equal texts get equal scores, so there are no ties to break; repeated rows are scored as
+    often as they occur; an empty table gives none. Further columns, whatever their names, are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in bounded(batches, "text", 4 << 20):
-            s = [score_of(evidence(t.translate(FOLD), m), m) if m.trained else 0.0 for t in b.column("text").to_pylist()]
+            s = [score_of(evidence(t.translate(FOLD), model), model) if model.trained else 0.0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "score", "predicted"]
             )
@@ -174,14 +259,16 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not predicted toxic. Narrow: rows stay where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, all columns as they are, whose text is not predicted toxic.
+
+    Narrow: rows stay where they are. Null and empty texts have no evidence and stay, unless the threshold is
+    zero; very long texts are read whole; repeated rows stay or go together; an empty table stays empty; columns
+    of any names pass unread.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            keep = [not m.trained or score_of(evidence((t.as_py() or "").encode().translate(FOLD), m), m) < 0.5 for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for b in slices(batches, text_col, 4 << 20):
+            texts = b.column(b.schema.get_field_index(text_col))
+            yield b.filter(pa.array([not model.trained or score_of(evidence((t.as_py() or "").encode().translate(FOLD), model), model) < 0.5 for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
