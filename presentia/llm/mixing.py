@@ -1,36 +1,33 @@
 """Mixing sources to target weights: iterative proportional fitting (DataFrame functions only).
 
 Documents are reduced to cells (source, language, topic) with their tokens. The cells' weights are raked:
-scaled to the target of each source, then of each language, then of each topic, round after round.
-
-:func:`mix` rates documents with the probability of their cell, ``min(1, scale * raked / current)``, the
-scale being the largest of a geometric grid at which the expected tokens stay within the budget. Cells cut
-at 1 fall short of their weight; :func:`sample_mix` selects the same rows. :func:`repeat_mix` meets the
-weights: each document is taken ``budget * raked / current`` times on average, so the expected tokens of
-every cell are its raked weight and all of them together are the budget.
+scaled to the target of each source, then of each language, then of each topic, round after round, until no
+weight moves. A document is then taken ``budget * raked / current`` times on average: the expected tokens of
+every cell are its raked weight, and all of them together are the budget. Where that number is under 1 it is
+the probability that the document is selected; a lifted cell's documents are taken several times.
 
 Only cells are iterated on: the documents are read once to count and once to sample, and what is shuffled
-is summed in the tasks first. Totals of a dimension are joined back by value; adaptive execution
-broadcasts them if their measured size allows and splits a hot value otherwise. Each round is written, so
-the plan stays short.
+is summed in the tasks first. A fit sums the cells by value, with the targets as rows of the same aggregate,
+and merges the factors back by value; adaptive execution splits a hot value in that join. Nothing of a fit is
+broadcast or collected: how far the weights moved is observed while a round is written.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from presentia.plans.materialize import materialize
+from presentia.plans.materialize import materialize, release
 
 DIMS = ("source", "lang", "topic")
 #: A dimension's target share is its current share to this power, normalised: under 1 lifts the rare values.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS = 10
-#: Share of all tokens to keep.
+#: The most rounds, and the relative change of the weights at which they end.
+ROUNDS, STILL = 10, 1e-13
+#: The sample's tokens over all tokens.
 BUDGET = 0.75
-GRID, GRID_BASE = 400, 1.02
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,108 +55,133 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _same(a: DataFrame, b: DataFrame, keys: tuple[str, ...] | list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys])
-
-
-def _joined(df: DataFrame, by: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
-    """Left side first; null keys match each other; the keys of ``by`` go."""
-    renamed = by.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return df.join(renamed, _same(df, renamed, keys)).drop(*[f"_{k}" for k in keys])
-
-
 def power_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """(dim, target): shares to a power, summing to 1. Values without tokens get none."""
     shares = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).filter("t > 0").withColumn("t", F.pow(F.col("t").cast("double"), F.lit(power)))
-    total = shares.agg(F.sum("t").alias("all"))
-    return shares.join(F.broadcast(total)).select(dim, (F.col("t") / F.col("all")).alias("target"))
+    total = shares.agg(F.sum("t")).first()[0]
+    return shares.select(dim, (F.col("t") / F.lit(total or 1.0)).alias("target"))
+
+
+def _fit(cur: DataFrame, dim: str, target: DataFrame) -> DataFrame:
+    """``cur`` scaled to the target of one dimension; ``moved`` is the largest relative change so far. Null is a value."""
+    both = cur.select(dim, "raked", F.lit(None).cast("double").alias("target")).unionByName(target.select(dim, F.lit(0.0).alias("raked"), F.col("target").cast("double")))
+    sums = both.groupBy(dim).agg(F.sum("raked").alias("sum_"), F.max("target").alias("target_"))
+    factor = sums.filter("sum_ > 0 and target_ is not null").select(F.col(dim).alias("value_"), (F.col("target_") / F.col("sum_")).alias("factor_"))
+    out = cur.join(factor.hint("merge"), cur[dim].eqNullSafe(factor["value_"]))
+    return out.select(*DIMS, "tokens", (F.col("raked") * F.col("factor_")).alias("raked"), F.greatest(F.col("moved"), F.abs(F.col("factor_") - 1)).alias("moved"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (dims, tokens) with ``raked``: weights whose marginals approach the targets.
+    """``cells`` (dims, tokens) with ``raked``: weights whose marginals approach the targets (dim, target).
 
     Dimensions are fitted in the order given, the last one exactly. Values without a target are dropped
-    from the fit (weight 0 by absence).
+    from the fit (weight 0 by absence). Rounds end when no weight moves.
     """
     fitted = {d: materialize(t, f"mix-target-{d}") for d, t in targets.items()}
-    cur = cells.withColumn("raked", F.col("tokens").cast("double"))
+    cur = cells.select(*DIMS, "tokens", F.col("tokens").cast("double").alias("raked"))
+    last = None
     for r in range(rounds):
+        out = cur.withColumn("moved", F.lit(0.0))
         for d, target in fitted.items():
-            sums = cur.groupBy(d).agg(F.sum("raked").alias("sum_"))
-            factor = _joined(sums, target, [d]).select(d, (F.col("target") / F.col("sum_")).alias("factor_"))
-            cur = _joined(cur, factor, [d]).withColumn("raked", F.col("raked") * F.col("factor_")).drop("factor_")
-        # A plan that feeds on itself doubles with each dimension: every round is written.
-        cur = materialize(cur, f"mix-{r}")
+            out = _fit(out, d, target)
+        # A plan that feeds on itself grows with each round: every round is written, and the one before it goes.
+        seen = Observation()
+        out = materialize(out.observe(seen, F.max("moved").alias("most")), f"mix-{r}")
+        if last is not None:
+            release(last)
+        last, cur = out, out.select(*DIMS, "tokens", "raked")
+        if r and (seen.get["most"] or 0.0) < STILL:
+            break
+    for target in fitted.values():
+        release(target)
     return cur
 
 
-def cell_probabilities(cells: DataFrame, rounds: int = ROUNDS, budget: float = BUDGET, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(source, lang, topic, ratio, p) for each cell with tokens."""
+def marginal_error(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest distance of a share of ``raked`` from its target, over all dimensions."""
+    total = raked.agg(F.sum("raked")).first()[0] or 1.0
+    worst = 0.0
+    for d, target in targets.items():
+        shares = raked.select(d, (F.col("raked") / F.lit(total)).alias("x")).unionByName(target.select(d, (-F.col("target")).alias("x"))).groupBy(d).agg(F.abs(F.sum("x")).alias("x"))
+        worst = max(worst, shares.agg(F.max("x")).first()[0] or 0.0)
+    return worst
+
+
+def cell_ratios(cells: DataFrame, rounds: int = ROUNDS, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(source, lang, topic, ratio) for each cell with tokens and targets: its raked share over its current share."""
     powers = powers or POWERS
     full = cells.filter("tokens > 0")
-    targets = targets or {d: power_targets(full, d, powers[d]) for d in DIMS}
-    raked = rake(full, targets, rounds)
-    total = raked.agg(F.sum("tokens").cast("double").alias("all_tokens"), F.sum("raked").alias("all_raked"))
-    rated = raked.join(F.broadcast(total)).select(*DIMS, "tokens", "all_tokens", ((F.col("raked") / F.col("all_raked")) / (F.col("tokens") / F.col("all_tokens"))).alias("ratio"))
-    rated = materialize(rated, "mix-rated")
-    steps = rated.withColumn("k", F.explode(F.sequence(F.lit(-GRID), F.lit(GRID)))).withColumn("scale", F.pow(F.lit(GRID_BASE), F.col("k").cast("double")))
-    kept = steps.groupBy("k", "scale").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("scale") * F.col("ratio"))).alias("kept"), F.max("all_tokens").alias("all_tokens"))
-    scale = kept.filter(F.col("kept") <= F.lit(budget) * F.col("all_tokens")).agg(F.coalesce(F.max("scale"), F.lit(0.0)).alias("scale"))
-    return rated.join(F.broadcast(scale)).select(*DIMS, "ratio", F.least(F.lit(1.0), F.col("scale") * F.col("ratio")).alias("p"))
+    raked = rake(full, targets or {d: power_targets(full, d, powers[d]) for d in DIMS}, rounds)
+    tokens, weight = raked.agg(F.sum("tokens").cast("double"), F.sum("raked")).first()
+    return raked.select(*DIMS, ((F.col("raked") / F.lit(weight or 1.0)) / (F.col("tokens") / F.lit(tokens or 1.0))).alias("ratio"))
 
 
 def _keyed(docs: DataFrame, topic: Column | None) -> DataFrame:
+    """``row`` (all columns of a document in one struct, so that no name is taken), and its cell and tokens."""
     return docs.select(
-        F.col("doc_id"), F.col("source"), F.col("lang"), (topic_of(F.col("text")) if topic is None else topic).alias("topic"), tokens_of(F.col("text")).alias("n_tokens")
-    )
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col("lang").alias("lang"),
+        (topic_of(F.col("text")) if topic is None else topic).alias("topic"), tokens_of(F.col("text")).alias("n_tokens"),
+    )
+
+
+def _rated(rows: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``rows`` with the ratio of their cell; 0 where it has none."""
+    by = ratios.select(*[F.col(k).alias(f"{k}_") for k in (*DIMS, "ratio")])
+    same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(by[f"{k}_"]) for k in DIMS])
+    return rows.join(by, same, "left").select(*[rows[c] for c in rows.columns], F.coalesce(by["ratio_"], F.lit(0.0)).alias("ratio"))
+
+
+def _copies(ratio: Column, doc_id: Column, budget: float) -> Column:
+    """How often a document is taken: the floor of the expected number, and one more for that share of the ids which is left."""
+    expected = F.lit(float(budget)) * ratio
+    return (F.floor(expected) + (uniform(doc_id, SEED) < expected - F.floor(expected)).cast("int")).cast("int")
 
 
-def mix(docs: DataFrame, topic: Column | None = None, rounds: int = ROUNDS, budget: float = BUDGET, powers: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, ratio (raked over current weight of its cell), p, selected.
+def mix(docs: DataFrame, topic: Column | None = None, rounds: int = ROUNDS, budget: float = BUDGET, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, ratio (raked over current weight of its cell), p, selected, copies.
 
-    One row for each row of ``docs`` (doc_id, text, source, lang). Null sources and languages are values of
-    their own. Cells without tokens (empty and null texts only) have nothing to weigh: ratio and p are 0
-    and their documents are not selected. Repeated rows of one id are selected together. An empty table
-    gives an empty result.
+    One row for each row of ``docs`` (doc_id, text, source, lang). ``targets`` gives the target shares by
+    dimension as tables (source, target), (lang, target), (topic, target); without them they are the current
+    shares to ``powers``. ``copies`` is how often the sample has the row, ``selected`` whether it has it, and p
+    the probability of that. Null sources and languages are values of their own. Cells without tokens (empty
+    and null texts only) and values without a target have nothing to weigh: ratio, p and copies are 0. Very
+    long texts count all their words. Repeated rows of one id are taken alike; documents of one cell are told
+    apart by their id alone. An empty table gives an empty result. Other columns, whatever their names, are
+    not read.
     """
-    rows = materialize(_keyed(docs, topic), "mix-rows")
+    rows = materialize(_keyed(docs, topic).drop("row"), "mix-rows")
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    probs = materialize(cell_probabilities(cells, rounds, budget, powers), "mix-p")
-    renamed = probs.withColumnsRenamed({k: f"_{k}" for k in DIMS})
-    out = rows.join(renamed, _same(rows, renamed, DIMS), "left")
-    ratio, p = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("ratio", "p"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", ratio.alias("ratio"), p.alias("p"), (uniform(F.col("doc_id"), SEED) < p).alias("selected"))
+    out = _rated(rows, cell_ratios(cells, rounds, powers, targets))
+    copies = _copies(F.col("ratio"), F.col("doc_id"), budget)
+    p = F.least(F.lit(1.0), F.lit(float(budget)) * F.col("ratio"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "ratio", p.alias("p"), (copies > 0).alias("selected"), copies.alias("copies"))
 
 
-def _rated(docs: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``docs`` joined to its cells' ``_by_ratio`` and ``_by_p``, and both sides."""
-    topic = options.pop("topic", None)
+def _drawn(docs: DataFrame, topic: Column | None, rounds: int, budget: float, powers: dict[str, float] | None, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """``row`` and ``copies`` of every document; texts are not written again."""
     rows = _keyed(docs, topic)
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    probs = materialize(cell_probabilities(cells, **options), "mix-p")
-    own = docs.withColumns({"_source": F.col("source"), "_lang": F.col("lang"), "_topic": topic_of(F.col("text")) if topic is None else topic})
-    by = probs.select(*[F.col(k).alias(f"_by_{k}") for k in (*DIMS, "ratio", "p")])
-    same = reduce(lambda x, y: x & y, [own[f"_{k}"].eqNullSafe(by[f"_by_{k}"]) for k in DIMS])
-    return own.join(by, same), own, by
+    ratios = cell_ratios(cells, rounds, powers, targets)
+    return _rated(rows, ratios).select("row", _copies(F.col("ratio"), F.col("doc_id"), budget).alias("copies"))
 
 
-def sample_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`mix` selects, with all their columns; texts are not shuffled twice."""
-    rated, own, by = _rated(docs, options)
-    return rated.filter(uniform(own["doc_id"], SEED) < by["_by_p"]).select(*[own[c] for c in docs.columns])
+def sample_mix(docs: DataFrame, topic: Column | None = None, rounds: int = ROUNDS, budget: float = BUDGET, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` selects, once each, with all their columns as they are.
+
+    Cells lifted beyond what there is fall short of their target; see :func:`repeat_mix`. Nulls, empty and long
+    texts, repeated rows, empty tables and further columns are treated as by :func:`mix`.
+    """
+    return _drawn(docs, topic, rounds, budget, powers, targets).filter("copies > 0").select("row.*")
 
 
-def repeat_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` drawn with their raked weights, with all their columns; texts are not shuffled twice.
+def repeat_mix(docs: DataFrame, topic: Column | None = None, rounds: int = ROUNDS, budget: float = BUDGET, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as the ``copies`` of :func:`mix` say, with all their columns as they are.
 
-    The copies of a row are the floor of its expected number, and one more for that share of the ids which
-    is left. A row lifted beyond what there is occurs several times.
+    The sample meets the raked weights. Nulls, empty and long texts, repeated rows, empty tables and further
+    columns are treated as by :func:`mix`.
     """
-    rated, own, by = _rated(docs, options)
-    expected = F.lit(float(options.get("budget", BUDGET))) * by["_by_ratio"]
-    copies = F.floor(expected) + (uniform(own["doc_id"], SEED) < expected - F.floor(expected)).cast("int")
-    drawn = rated.select(*[own[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_copy"))
-    return drawn.select(*docs.columns)
+    drawn = _drawn(docs, topic, rounds, budget, powers, targets).filter("copies > 0")
+    return drawn.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def mix_sql(documents: str = "documents", rounds: int = ROUNDS, budget: float = BUDGET) -> str:
@@ -185,13 +207,12 @@ def mix_sql(documents: str = "documents", rounds: int = ROUNDS, budget: float =
             )
             last = name
     parts.append(f"rated as (select source, lang, topic, tokens, (raked / (select sum(raked) from {last})) / (tokens / (select sum(tokens) from {last})) as ratio from {last})")
+    u = f"cast(('0x' || substr(md5('{SEED}:' || coalesce(cast(r.doc_id as varchar), '')), 1, 8)) as bigint) / 4294967296.0"
     parts.append(
-        f"scale_ as (select coalesce(max(scale), 0.0) as scale from (select scale, sum(tokens * least(1.0, scale * ratio)) as kept, (select sum(tokens) from rated) as all_tokens "
-        f"from rated, (select pow({GRID_BASE}, k) as scale from range(-{GRID}, {GRID + 1}) g(k)) group by scale) where kept <= {budget} * all_tokens)"
+        f"drawn as (select r.*, coalesce(ratio, 0.0) as ratio, {budget} * coalesce(ratio, 0.0) as e, {u} as u from rows_ r "
+        "left join rated q on q.source is not distinct from r.source and q.lang is not distinct from r.lang and q.topic is not distinct from r.topic)"
     )
-    parts.append("probs as (select source, lang, topic, ratio, least(1.0, scale * ratio) as p from rated, scale_)")
-    u = f"cast(('0x' || substr(md5('{SEED}:' || coalesce(cast(r.doc_id as varchar), '')), 1, 8)) as bigint) / 4294967296.0"
     return (
-        "with " + ",\n".join(parts) + f"\nselect r.doc_id, r.source, r.lang, r.topic, r.n_tokens, coalesce(ratio, 0.0) as ratio, coalesce(p, 0.0) as p, {u} < coalesce(p, 0.0) as selected\n"
-        "from rows_ r left join probs q on q.source is not distinct from r.source and q.lang is not distinct from r.lang and q.topic is not distinct from r.topic"
+        "with " + ",\n".join(parts) + "\nselect doc_id, source, lang, topic, n_tokens, ratio, least(1.0, e) as p, floor(e) + cast(u < e - floor(e) as int) > 0 as selected, "
+        "cast(floor(e) + cast(u < e - floor(e) as int) as int) as copies from drawn"
     )
