@@ -40,6 +40,10 @@ def _blocks(norm: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(norm, i * block_bytes + 1, F.lit(block_bytes)))
 
 
+def _hashes(norm: Column, block_bytes: int, block_hash: Callable[[Column], Column]) -> Column:
+    return F.transform(_blocks(norm, block_bytes), lambda b: block_hash(b))
+
+
 def _pair_names(pairs: DataFrame, tag: str) -> DataFrame:
     """Sorted distinct (l, r), numbered."""
     distinct = pairs.select("l", "r").distinct().sortWithinPartitions("l", "r")
@@ -64,7 +68,7 @@ def identities(
         "doc_id",
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp"),
         F.sha2("bin", 256).alias("text_sha256"),
-        F.transform(_blocks(F.col("bin"), block_bytes), lambda b: block_hash(b)).alias("hs"),
+        _hashes(F.col("bin"), block_bytes, block_hash).alias("hs"),
     )
     rows = materialize(cut, "dedup-rows")
 
@@ -77,13 +81,15 @@ def identities(
     if clash.isEmpty():
         cur = at.join(named, "h").select("row_id", "n", "pos", "name")
     else:
-        # Different blocks under one hash: named by their bytes, from a range of their own.
-        numbered = norm.withColumn("row_id", F.monotonically_increasing_id())  # before the explode, or it numbers blocks
-        full = numbered.select("row_id", F.posexplode(_blocks(F.col("bin"), block_bytes)).alias("pos", "block"))
-        odd = materialize(full.withColumn("h", block_hash(F.col("block"))).join(clash, "h", "left_semi"), "dedup-odd")
+        # Different blocks under one hash: named by their bytes, from a range of their own. The blocks are read from
+        # the texts again and go to the written rows of their id, digest and block hashes.
+        full = norm.select("doc_id", F.sha2("bin", 256).alias("sha"), _hashes(F.col("bin"), block_bytes, block_hash).alias("hs"), F.posexplode(_blocks(F.col("bin"), block_bytes)).alias("pos", "block"))
+        odd = materialize(full.withColumn("h", block_hash(F.col("block"))).join(clash, "h", "left_semi").drop("h").distinct(), "dedup-odd")
         odd_names = odd.select("block").distinct().sortWithinPartitions("block")
         odd_names = materialize(odd_names.select("block", (-1 - F.monotonically_increasing_id()).alias("name")), "dedup-odd-names")
-        odd_at = odd.join(odd_names, "block").select("row_id", "pos", "name")
+        odd = odd.join(odd_names, "block").select(F.col("doc_id").alias("odd_id"), "sha", F.col("hs").alias("odd_hs"), "pos", "name")
+        mine = rows["doc_id"].eqNullSafe(odd["odd_id"]) & (rows["text_sha256"] == odd["sha"]) & (rows["hs"] == odd["odd_hs"])
+        odd_at = rows.join(odd, mine).select("row_id", "pos", "name")
         counts = rows.select("row_id", F.size("hs").alias("n"))
         plain = at.join(clash, "h", "left_anti").join(named, "h").select("row_id", "n", "pos", "name")
         cur = plain.unionByName(odd_at.join(counts, "row_id").select("row_id", "n", "pos", "name"))
@@ -135,13 +141,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    cols = docs.columns
-    ruled = exact_dedup(docs, id_col, text_col)
-    kept = ruled.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(stripped(F.col(text_col)).cast("binary"), 256)
-    mine = docs.withColumn("_sha_", sha)
-    hit = mine.join(kept, mine[id_col].eqNullSafe(kept["_id"]) & (mine["_sha_"] == kept["_sha"]), "left_semi")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns as they are.
+
+    Null, empty and blank texts are copies of each other, very long ones are compared whole, ties go to the
+    smallest id, of repeated rows one stays, an empty table stays empty. The user's columns travel in one
+    struct, so that none of their names is taken.
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    mine = docs.select(row, docs[id_col].alias("id"), F.sha2(stripped(docs[text_col]).cast("binary"), 256).alias("sha"))
+    hit = mine.join(kept, mine["id"].eqNullSafe(kept["kept_id"]) & (mine["sha"] == kept["kept_sha"]), "left_semi")
     # Rows that repeat both id and text pass the join together; the longest of them is the kept one.
-    order = Window.partitionBy(id_col, "_sha_").orderBy(F.length(F.coalesce(text_col, F.lit(""))).desc())
-    return hit.withColumn("_nth_", F.row_number().over(order)).filter("_nth_ = 1").select(*cols)
+    order = Window.partitionBy("id", "sha").orderBy(F.length(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).desc())
+    return hit.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")

@@ -313,6 +313,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps: one document of each group."""
-    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").select(*docs.columns)
+    """The rows of ``docs``, all columns as they are, that :func:`near_duplicates` keeps: one document of each group.
+
+    Null and empty texts stay, each being a group of its own; very long texts are compared whole; of equal texts
+    the smallest id stays; rows that repeat an id stay or go together; an empty table stays empty. The user's
+    columns travel in one struct, so that none of their names is taken.
+    """
+    kept = near_duplicates(docs, size, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
+    return mine.join(kept, mine["id"].eqNullSafe(kept["kept_id"]), "left_semi").select("row.*")
