@@ -1,24 +1,27 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
-``html.parser`` streams events. They fill *lines*: one for each block element, with its text, its number
-of tags and the chain of containers it stands in. Lines in menus, page headers, footers, sidebars,
-notices, adverts, forms and reader comments are known by element, role, class or id and never count.
-Class and id say nothing on the page's own frame (html, body, main, article) nor on an element that holds
-nearly all text of the page.
-Over the rest the text-to-tag ratio of each line is smoothed with a Gaussian and split at a threshold
-between its two clusters. The lines above it vote for their containers with their length. From the
-innermost container that holds nearly all of the selected text the article is found upwards: the enclosing
-article or main element, else the ancestors as long as what they add is mostly no links. All its lines
-are kept, short ones too.
-
-Pages are independent: one pass without a shuffle, a bounded number of bytes at a time.
+``html.parser`` streams events. They fill *lines*: one for each block element, with its text, its number of
+tags, the characters in links and the element it stands in. The text-to-tag ratio of each line is smoothed with
+a Gaussian and split at a threshold between its two clusters. The lines above it are content: they vote for the
+elements around them with their length. From the innermost container that holds nearly all of their text the
+article is found upwards: the enclosing article or main element, else the ancestors as long as what they add is
+mostly no links. Its lines below the threshold are kept too (headings, short paragraphs, lists), but for runs
+of links alone, and, directly below the page's body, for parts without any content line or heading.
+
+Element names, roles, classes and ids are evidence besides: lines in menus, page headers, footers, sidebars,
+notices, adverts, forms and reader comments do not vote and are not returned. This evidence says nothing on the
+page's own frame (html, body, main, article) nor on an element that holds nearly all text of the page.
+
+Time and memory are linear in the page, however deep it is. Pages are independent: one pass without a shuffle, a
+bounded number of bytes at a time.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,8 +40,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
     "masthead topbar comment comments commentlist respond disqus cookie cookies consent gdpr notification popup modal newsletter subscribe "
-    "subscription paywall social sharing recommended widget login signup toolbar pagination pager".split()
+    "subscription paywall social sharing recommended login signup toolbar pagination pager".split()
 )
+#: Names that mark only as a whole.
+WHOLE = frozenset("widget widgets".split())
 #: Words that content uses too: they mark as a whole name, last in one, or first before a part of GADGETS.
 WEAK = frozenset("header notice notices overlay related share search copyright legal disclaimer skip hidden".split())
 GADGETS = frozenset("bar box button buttons form icons link links list menu popup posts tools widget".split())
@@ -49,6 +54,9 @@ OWN = frozenset("article post entry content story text body title main section".
 COMMENTS = frozenset("comment comments commentlist respond disqus".split())
 FRAME = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LAYOUT = frozenset("div section center table details".split())
+#: Lines of links alone, in a row and below the threshold, that are a menu.
+LINK_RUN = 3
 _NAMES = re.compile(r"[a-z]+")
 
 
@@ -57,6 +65,8 @@ def _marks(name: str) -> bool:
     parts = _NAMES.findall(name)
     if not parts or parts[0] in STATES:
         return False
+    if name in WHOLE:
+        return True
     first, last = parts[0], parts[-1]
     if first in MARKS or last in MARKS:
         return True
@@ -65,107 +75,109 @@ def _marks(name: str) -> bool:
     return last in WEAK and first not in OWN
 
 
-def _outside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """No article by element, role or attribute."""
-    if tag in OUTSIDE:
-        return True
-    for name, value in attrs:
-        if name == "role":
-            if value and value.lower() in ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+#: What is known of an element: nothing, that it is no article, that it holds reader comments.
+NOTHING, OUTSIDE_PART, COMMENT_PART = 0, 1, 2
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """2 for reader comments and 1 for other parts that class or id mark as no article, else 0."""
+def _evidence(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """What element, role, class and id say."""
     if tag in FRAME:
-        return 0
-    names = [n for name, value in attrs if name in ("class", "id") and value for n in value.lower().split() if _marks(n)]
-    return (2 if any(not COMMENTS.isdisjoint(_NAMES.findall(n)) for n in names) else 1) if names else 0
+        return NOTHING
+    kind = OUTSIDE_PART if tag in OUTSIDE and not (tag == "header" and in_article) else NOTHING
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in ROLES:
+            kind = OUTSIDE_PART
+        elif name in ("class", "id") and value:
+            for one in value.lower().split():
+                if _marks(one) and not (tag == "header" and in_article):
+                    kind = max(kind, OUTSIDE_PART if COMMENTS.isdisjoint(_NAMES.findall(one)) else COMMENT_PART)
+    return kind
+
+
+@dataclass(frozen=True)
+class Line:
+    """The text of a block, its inline tags, the element it stands in, its characters in links, and whether it is the headline."""
+
+    text: str
+    tags: int
+    node: int
+    linked: int
+    heading: bool
+    headline: bool
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, containers, marked elements, characters in links, heading) lines from parser events."""
+    """Collects lines and elements from parser events. Elements are numbered as they open; 0 is the page."""
+
+    #: What the parser would read to its own end tag, however far away.
+    RCDATA_CONTENT_ELEMENTS = ("textarea",)
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], tuple[int, ...], int, bool]] = []
-        self.tags: dict[int, str] = {}  # of containers
-        self.kinds: dict[int, int] = {}  # of marked elements
-        self._stack: list[tuple[str, int, bool, bool]] = []  # tag, container number or -1, outside, marked
-        self._chain: tuple[int, ...] = ()
-        self._marks: tuple[int, ...] = ()
+        self.lines: list[Line] = []
+        self.parent, self.tag, self.kind = [0], ["#page"], [NOTHING]
+        self._stack = [0]
+        self._containers = [0]  # how many containers are open up to each place of the stack
+        self._open: dict[str, list[int]] = {}  # places in the stack by tag
         self._link = False
         self._linked = 0
-        self._out = 0
         self._unseen: list[str] = []
         self._text: list[str] = []
         self._tags = 0
-        self._made = 0
 
     def _break(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
-            if text and not self._out:
-                self.lines.append((text, self._tags, self._chain, self._marks, self._linked, bool(self._stack) and self._stack[-1][0] == "h1"))
+            if text:
+                at = self._stack[-1]
+                self.lines.append(Line(text, self._tags, at, self._linked, self.tag[at] in HEADINGS, self.tag[at] == "h1"))
             self._text = []
         self._tags = self._linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self._unseen:
-            if tag == self._unseen[-1]:
-                self._unseen.append(tag)
-            return
+            if tag == "body" and self._unseen[0] in ("head", "title"):  # the end tag was left out
+                self._unseen.clear()
+            else:
+                if tag == self._unseen[-1]:
+                    self._unseen.append(tag)
+                return
         if tag in UNSEEN:
             if tag not in ("svg", "math", "object") or not self.get_starttag_text().endswith("/>"):
                 self._unseen.append(tag)
             return
+        in_article = bool(self._open.get("article") or self._open.get("main"))
         if tag == "br":
             self._text.append(" ")
         if tag in BLOCKS:
             self._break()
             if tag in VOID:
                 return
-            if tag in ("p", "li", "dt", "dd", *HEADINGS):  # end tags of these are often left out
-                if self._stack and self._stack[-1][0] == tag or tag not in ("li", "dt", "dd") and self._stack and self._stack[-1][0] == "p":
-                    self._pop()
-            outside = _outside(tag, attrs)
-            marked = _marked(tag, attrs)
-            if tag == "header" and any(f[0] in ("article", "main") for f in self._stack):
-                outside = marked = False
-            self._push(tag, outside, marked)
+            top = self.tag[self._stack[-1]]
+            if tag in ("p", "li", "dt", "dd", *HEADINGS) and (top == tag or tag not in ("li", "dt", "dd") and top == "p"):
+                self._pop()  # end tags of these are often left out
+            self._push(tag, _evidence(tag, attrs, in_article))
         else:
             self._tags += 1
             if tag == "a":
                 self._link = True
-            if attrs and tag not in VOID and ((outside := _outside(tag, attrs)) | (marked := _marked(tag, attrs))):
+            if attrs and tag not in VOID and (kind := _evidence(tag, attrs, in_article)):
                 self._break()
-                self._push(tag, outside, marked)
+                self._push(tag, kind)
 
     handle_startendtag = handle_starttag
 
-    def _push(self, tag: str, outside: bool, marked: int) -> None:
-        number = -1
-        if tag in CONTAINERS:
-            self._made += 1
-            number = self._made
-            self.tags[number] = tag
-            self._chain = (*self._chain, number)
-        if marked:
-            self.kinds[len(self.kinds)] = marked
-            self._marks = (*self._marks, len(self.kinds) - 1)
-        self._stack.append((tag, number, outside, bool(marked)))
-        self._out += outside
+    def _push(self, tag: str, kind: int) -> None:
+        self.parent.append(self._stack[-1])
+        self.tag.append(tag)
+        self.kind.append(kind)
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(len(self.tag) - 1)
+        self._containers.append(self._containers[-1] + (tag in CONTAINERS))
 
     def _pop(self) -> None:
-        _, number, outside, marked = self._stack.pop()
-        if number >= 0:
-            self._chain = self._chain[:-1]
-        if marked:
-            self._marks = self._marks[:-1]
-        self._out -= outside
+        self._open[self.tag[self._stack.pop()]].pop()
+        self._containers.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if self._unseen:
@@ -181,11 +193,12 @@ class Lines(HTMLParser):
             self._tags += 1
             if tag == "a":
                 self._link = False
-        depth = next((k for k in range(len(self._stack) - 1, -1, -1) if self._stack[k][0] == tag), None)
-        if depth is not None and (tag in CONTAINERS or all(f[0] not in CONTAINERS for f in self._stack[depth + 1 :])):
-            self._break()
-            while len(self._stack) > depth:
-                self._pop()
+        if self._open.get(tag):
+            place = self._open[tag][-1]
+            if tag in CONTAINERS or self._containers[-1] == self._containers[place]:
+                self._break()
+                while len(self._stack) > place:
+                    self._pop()
 
     def handle_data(self, data: str) -> None:
         if not self._unseen:
@@ -224,62 +237,101 @@ def _threshold(values: list[float]) -> float:
     return cut
 
 
-def _unmarked(parser: Lines, share: float) -> list[tuple[str, int, tuple[int, ...], int, bool]]:
-    """The lines outside marked elements. A mark is void on an element that holds ``share`` of the page's text; for comments all of it."""
-    total = sum(len(line[0]) for line in parser.lines)
-    held: dict[int, int] = {}
-    for text, _, _, marks, _, _ in parser.lines:
-        for m in marks:
-            held[m] = held.get(m, 0) + len(text)
-    live = {m for m, n in held.items() if n < (total if parser.kinds[m] == 2 else share * total)}
-    return [(text, tags, chain, linked, h1) for text, tags, chain, marks, linked, h1 in parser.lines if live.isdisjoint(marks)]
+def _within(parent: list[int], amounts: Iterable[tuple[int, int]]) -> list[int]:
+    """For each element the sum of the amounts of all elements within it."""
+    out = [0] * len(parent)
+    for node, amount in amounts:
+        out[node] += amount
+    for node in range(len(parent) - 1, 0, -1):
+        out[parent[node]] += out[node]
+    return out
+
 
+def _disregarded(page: Lines, share: float) -> list[bool]:
+    """Which elements evidence excludes: none that holds ``share`` of the page's text; for comments, all of it."""
+    held = _within(page.parent, ((line.node, len(line.text)) for line in page.lines))
+    out = [False] * len(page.parent)
+    for node in range(1, len(page.parent)):
+        kind = page.kind[node]
+        out[node] = out[page.parent[node]] or kind != NOTHING and held[node] < (held[0] if kind == COMMENT_PART else share * held[0])
+    return out
 
-def _article(lines: list[tuple[str, int, tuple[int, ...], int, bool]], chain: tuple[int, ...], tags: dict[int, str]) -> int:
-    """The article around the innermost container of ``chain``."""
+
+def _article(page: Lines, lines: list[Line], at: int) -> int:
+    """The article around the container ``at``."""
+    path = [at]
+    while path[-1]:
+        path.append(page.parent[path[-1]])
+    headlines = _within(page.parent, ((line.node, 1) for line in lines if line.headline))
     for name in ("article", "main"):
-        at = next((c for c in reversed(chain) if tags[c] == name), None)
-        if at is not None and (name == "main" or not any(tags[c] == "main" for c in chain) or any(h1 and at in ch for _, _, ch, _, h1 in lines)):
-            return at
-    at = chain[-1]
-    for c in reversed(chain[:-1]):
-        further = [(len(text), linked) for text, _, ch, linked, _ in lines if c in ch and at not in ch]
-        if 2 * sum(n for _, n in further) > sum(n for n, _ in further):
+        found = next((c for c in path if page.tag[c] == name), None)
+        if found is not None and (name == "main" or headlines[found] or not any(page.tag[c] == "main" for c in path)):
+            return found
+    chars = _within(page.parent, ((line.node, len(line.text)) for line in lines))
+    linked = _within(page.parent, ((line.node, min(line.linked, len(line.text))) for line in lines))
+    for c in path[1:]:
+        if 2 * (linked[c] - linked[at]) > chars[c] - chars[at]:
             break
         at = c
     return at
 
 
-def extract_text(html: str, sigma: float = 1.0, share: float = 0.9) -> str:
-    """The main text of one page, blocks joined by a line feed; empty if there is none."""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    lines = _unmarked(parser, share)
+def _kept(page: Lines, lines: list[Line], content: list[bool], article: int) -> Iterator[str]:
+    """The article's lines, but for runs of links below the threshold, and parts of a body without content or heading."""
+    n = len(page.parent)
+    telling = _within(page.parent, ((line.node, 1) for line, c in zip(lines, content, strict=True) if c or line.heading))
+    inside = [False] * n
+    inside[article] = True
+    frame = article == 0 or page.tag[article] in ("html", "body")
+    for node in range(1, n):
+        if node != article and inside[page.parent[node]]:
+            bare = frame and page.tag[page.parent[node]] in ("#page", "html", "body") and page.tag[node] in LAYOUT and not telling[node]
+            inside[node] = not bare
+    run: list[str] = []
+    for line, c in zip(lines, content, strict=True):
+        if not inside[line.node]:
+            continue
+        if not c and not line.heading and 10 * line.linked >= 9 * len(line.text):
+            run.append(line.text)
+            continue
+        if len(run) < LINK_RUN:
+            yield from run
+        run = []
+        yield line.text
+    if len(run) < LINK_RUN:
+        yield from run
+
+
+def extract_text(html: str, sigma: float = 1.0, share: float = 0.9, evidence: bool = True, clusters: bool = True) -> str:
+    """The main text of one page, blocks joined by a line feed; empty if there is none.
+
+    Without ``evidence`` names, roles, classes and ids are not looked at; without ``clusters`` every line is content.
+    """
+    page = Lines()
+    page.feed(html)
+    page.close()
+    lines = page.lines
+    if evidence:
+        excluded = _disregarded(page, share)
+        lines = [line for line in lines if not excluded[line.node]]
     if not lines:
         return ""
-    ratio = _smoothed([len(line[0]) / max(1, line[1]) for line in lines], sigma)
-    cut = _threshold(ratio)
-    selected: dict[int, int] = {}
-    total = 0
-    chains: dict[int, tuple[int, ...]] = {}
-    for (text, _, chain, _, _), r in zip(lines, ratio, strict=True):
-        if r >= cut:
-            total += len(text)
-            for d, c in enumerate(chain):
-                selected[c] = selected.get(c, 0) + len(text)
-                chains[c] = chain[: d + 1]
-    held = [c for c, n in selected.items() if n >= share * total]
-    if not held:
-        return "\n".join(line[0] for line in lines)
-    article = _article(lines, chains[max(held, key=lambda c: (len(chains[c]), -c))], parser.tags)
-    return "\n".join(line[0] for line in lines if article in line[2])
+    ratio = _smoothed([len(line.text) / max(1, line.tags) for line in lines], sigma)
+    cut = _threshold(ratio) if clusters else 0.0
+    content = [r >= cut for r in ratio]
+    votes = _within(page.parent, ((line.node, len(line.text)) for line, c in zip(lines, content, strict=True) if c))
+    # Elements with most of the votes lie within each other, the innermost one opened last.
+    at = next(node for node in range(len(votes) - 1, -1, -1) if votes[node] >= share * votes[0] and (page.tag[node] in CONTAINERS or not node))
+    return "\n".join(_kept(page, lines, content, _article(page, lines, at)))
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text (empty if none), n_chars (its code points) for every row.
 
-    Null html counts as empty; broken markup never fails a page; repeated rows give repeated results.
+    Null html counts as empty and gives an empty text, as does a page without text; broken markup never fails a
+    page; very long and very deep pages are read whole, in linear time. Where two elements hold the same votes the
+    inner one counts. Repeated rows give repeated results, null ids and urls pass; an empty table gives none.
+    Further columns, whatever their names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
