@@ -22,7 +22,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presentia.llm.arrow_text import bounded, slices
+from presentia.llm.shingles import gram_hashes, word_hashes
 
 #: Letters A-Z in lower case; every byte that is neither digit, letter nor part of a longer character becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -111,34 +111,50 @@ def _cut(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)]
 
 
-def _pairs(words: list[bytes]) -> list[bytes]:
-    return [a + b" " + b for a, b in zip(words, words[1:], strict=False)]
+@dataclass(frozen=True)
+class _Text:
+    """A training text, its fold, the hashes of its words in order, and its distinct hashes of words and of pairs of words."""
+
+    text: bytes
+    fold: int
+    words: np.ndarray
+    distinct: np.ndarray
+    pairs: np.ndarray
+
+    @classmethod
+    def of(cls, text: bytes, fold: int) -> _Text:
+        words = word_hashes(text, np.array([0, len(text)]))[0]
+        return cls(text, fold, words, np.unique(words), np.unique(gram_hashes(words, 2)))
 
 
-@dataclass
-class _Group:
-    """The training texts of a class and fold, as words, and in how many of them words and pairs of words occur."""
+def _telling(own: list[np.ndarray], other: list[np.ndarray], least: float) -> np.ndarray:
+    """The hashes in at least so many of the own sets whose rate is ``CONTRAST`` times that in the others, sorted."""
+    keys, n = np.unique(np.concatenate(own), return_counts=True)
+    names, counts = np.unique(np.concatenate([*other, np.full(1, np.iinfo(np.uint64).max, np.uint64)]), return_counts=True)
+    at = np.searchsorted(names, keys)
+    m = np.where(names[at] == keys, counts[at], 0)
+    return keys[(n >= least) & (n * len(other) > CONTRAST * m * len(own))]
 
-    texts: list[list[bytes]]
-    words: Counter[bytes]
-    pairs: Counter[bytes]
 
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
-def _own_pieces(texts: list[list[bytes]], own: _Group, other: _Group) -> list[bytes]:
+
+def _own_pieces(texts: list[_Text], own: list[_Text], other: list[_Text]) -> list[bytes]:
     """The words, and runs of pairs of words, of each text that its class has and the other hardly has, in pieces."""
-    n_own, n_other = len(own.texts), len(other.texts)
-    least = max(3, PAIR_SHARE * n_own)
-    words = {w for w, n in own.words.items() if n * n_other > CONTRAST * other.words[w] * n_own}
-    pairs = {p for p, n in own.pairs.items() if n >= least and n * n_other > CONTRAST * other.pairs[p] * n_own}
+    words = _telling([t.distinct for t in own], [t.distinct for t in other], 1)
+    pairs = _telling([t.pairs for t in own], [t.pairs for t in other], max(3, PAIR_SHARE * len(own)))
     out = []
-    for text in texts:
-        kept, run = words.intersection(text), []
-        for k, pair in enumerate([*_pairs(text), b""]):
-            if pair in pairs:
-                run = [*run, text[k + 1]] if run else text[k : k + 2]
-            elif run:
-                kept.add(b" ".join(run))
-                run = []
+    for t in texts:
+        names = t.text.split()
+        kept = {names[k] for k in np.flatnonzero(_among(t.words, words)).tolist()}
+        if len(pairs) and len(names) > 1:
+            hit = _among(gram_hashes(t.words, 2), pairs)
+            bounds = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
+            kept |= {b" ".join(names[a : b + 1]) for a, b in zip(bounds[::2], bounds[1::2], strict=True)}
         if kept:
             out += _cut(b"  " + b"  ".join(sorted(kept)) + b"  ", OWN_PIECE)
     return out
@@ -152,38 +168,18 @@ def dictionaries(rows: Iterable[tuple[bool, int, bytes]], seed: int) -> dict[int
     key = seed.to_bytes(4, "little")
     distinct = sorted(set(rows), key=lambda r: (hashlib.blake2b(r[2], key=key).digest(), r[0], r[1]))
     base = _dictionary([p for toxic, _, t in distinct if not toxic for p in _cut(t, BASE_PIECE)], BASE_BYTES, k=64, d=8)
-    names: dict[bytes, bytes] = {}  # one object for each word
-    groups: dict[tuple[bool, int], _Group] = {}
-    for toxic, fold, t in distinct:
-        group = groups.setdefault((toxic, fold), _Group([], Counter(), Counter()))
-        group.texts.append([names.setdefault(w, w) for w in t.split()])
-        group.words.update(set(group.texts[-1]))
-    # Pairs are those of the toxic texts and of as many ordinary ones.
-    some = sum(len(g.texts) for (toxic, _), g in groups.items() if toxic)
-    known: Counter[bytes] = Counter()
-    for k in (True, False):
-        for text in [x for (c, _), g in groups.items() if c is k for x in g.texts][:some]:
-            known.update(set(_pairs(text)))
-    known_often = {p for p, n in known.items() if n >= 3}
-    for group in groups.values():
-        for text in group.texts:
-            group.pairs.update(known_often.intersection(_pairs(text)))
-
-    def joined(toxic: bool, without: int) -> _Group:
-        parts = [g for (k, f), g in groups.items() if k is toxic and f != without]
-        return _Group([x for g in parts for x in g.texts], sum((g.words for g in parts), Counter()), sum((g.pairs for g in parts), Counter()))
-
+    hostile, ordinary = ([_Text.of(t, fold) for toxic, fold, t in distinct if toxic is k] for k in (True, False))
     found = {}
-    for without in (-1, *sorted({f for _, f in groups})):
-        toxic, clean = joined(True, without), joined(False, without)
-        if toxic.words and clean.words:
-            own = (_own_pieces(clean.texts[: len(toxic.texts)], clean, toxic), _own_pieces(toxic.texts, toxic, clean))
-            ordinary, hostile = (_dictionary(pieces, OWN_BYTES, k=8, d=8) for pieces in own)
-            found[without] = base, ordinary, hostile or b" "
+    for fold in (-1, *sorted({t.fold for t in (*hostile, *ordinary)})):
+        bad, good = ([t for t in texts if t.fold != fold] for texts in (hostile, ordinary))
+        if any(len(t.words) for t in bad) and any(len(t.words) for t in good):
+            pieces = _own_pieces(good[: len(bad)], good, bad), _own_pieces(bad, bad, good)
+            trained = [_dictionary(p, OWN_BYTES, k=8, d=8) for p in pieces]
+            found[fold] = base, trained[0], trained[1] or b" "
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 12000, clean_weight: float = 2.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 7500, clean_weight: float = 2.0) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold (crc32 of the id as text, modulo 5).
 
     At most ``max_toxic`` and ``max_ordinary`` of them, whole texts, train the dictionaries; all of them set the

@@ -31,7 +31,11 @@ def awkward(spark):
 
 def with_clashing_columns(df):
     """Extra columns whose names the operators use themselves."""
-    names = ("rep", "key", "tokens", "topic", "p", "h", "name", "row_id", "cid", "ratio", "spans", "tid", "score", "sig")
+    names = (
+        "rep key tokens topic p h name row_id cid ratio spans tid score sig row id sha kept kept_id kept_sha nth copies value_ factor_ target_ sum_ raked moved "
+        "_sha_ _nth_ _id _sha _source _lang _topic _copy _kept_id source_ lang_ topic_ ratio_ n_tokens fold toxic pair evidence bin hs level band pivot component "
+        "anchor body start n edited_sha256 fingerprint kind part term url predicted"
+    ).split()
     return df.withColumns({n: F.lit("x") for n in names})
 
 
