@@ -21,28 +21,49 @@ from presentia.llm.mixing import repeat_mix
 from presentia.plans.materialize import materialize
 
 
+# Each stage keeps the user's columns as they are, whatever their names, and gives an empty table for an empty one.
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic; the model learns from the labelled rows outside the held-out fold."""
+    """Documents not predicted toxic; the model learns from the labelled rows outside the held-out fold.
+
+    Null and empty texts and rows without id are clean; very long texts are read whole; repeated rows stay or go
+    together. Without labels of both classes nothing is dropped.
+    """
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then the smallest id, then the first of repeated rows.
+
+    Null, empty and blank texts are one group; very long texts are compared whole; a null id is the largest.
+    """
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest id.
+
+    Null and empty texts are groups of their own; very long texts are compared whole; rows that repeat an id stay
+    or go together; a row without id stays only where its group has no id.
+    """
     return drop_near_copies(docs, size=5, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the target weights of sources, languages and topics; rows of lifted cells are repeated."""
+    """A sample with the target weights of sources, languages and topics; rows of lifted cells are repeated.
+
+    Null sources and languages are values like others; cells of null and empty texts have no tokens to weigh and
+    are not drawn; repeated rows are drawn alike; the id alone decides between the documents of a cell.
+    """
     return repeat_mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row that is left.
+
+    Null and empty texts have no tokens; very long texts are encoded whole; repeated rows give repeated results.
+    """
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

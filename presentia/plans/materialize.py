@@ -1,8 +1,8 @@
 """Cutting lineage by writing a step to shared storage.
 
 Every executor must be able to read what another one wrote, so the only folder used is the one the
-cluster names in ``spark.checkpoint.dir``. Where that setting is absent (tests, notebooks) a folder of
-this process is made once.
+cluster names in ``spark.checkpoint.dir``. Where that setting is absent and the master is local (tests,
+notebooks) a folder of this process is made once; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session, without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _FALLBACK.setdefault(app, "file://" + tempfile.mkdtemp(prefix="presentia-"))
     return base.rstrip("/")
