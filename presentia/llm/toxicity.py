@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from presentia.llm.arrow_text import bounded, slices
 from presentia.llm.shingles import gram_hashes, word_hashes
+from presentia.plans.materialize import materialize
 
 #: Letters A-Z in lower case; every byte that is neither digit, letter nor part of a longer character becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -179,7 +180,7 @@ def dictionaries(rows: Iterable[tuple[bool, int, bytes]], seed: int) -> dict[int
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 2500, max_ordinary: int = 7500, clean_weight: float = 2.0) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic: int = 1500, max_ordinary: int = 4000, clean_weight: float = 2.0) -> ToxicityModel:
     """A model from the labelled rows outside the held-out fold (crc32 of the id as text, modulo 5).
 
     At most ``max_toxic`` and ``max_ordinary`` of them, whole texts, train the dictionaries; all of them set the
@@ -189,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
     """
     fold = (F.crc32(F.col("doc_id").cast("string")) % FOLDS).cast("int")
     lab = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    lab = lab.select("doc_id", "toxic", fold.alias("fold")).filter(F.col("fold") != held_out_fold)
+    # Written: two plans read it, and its true size decides whether texts are shuffled to it.
+    lab = materialize(lab.select("doc_id", "toxic", fold.alias("fold")).filter(F.col("fold") != held_out_fold), "toxic-labels")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = lab.filter("toxic").orderBy(*order).limit(max_toxic).unionByName(lab.filter("not toxic").orderBy(*order).limit(max_ordinary))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -202,6 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
         }
         pair = table.column("pair")[0].as_py()
         found = dictionaries(rows, pair)
+        del rows
+        pa.default_memory_pool().release_unused()  # the worker lives on
         cols = [[pair] * len(found), list(found), *(list(c) for c in zip(*found.values(), strict=True))] if found else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["pair", "fold", "base", "clean", "toxic"])
 
