@@ -9,15 +9,16 @@ meet where they can match at all:
 2. Anchors that occur in two documents are counted out, after map-side reduction; segments of the others
    cannot repeat and are dropped. Equal segments are reduced to one with its smallest doc_id.
 3. The distinct segments go to shards by anchor. A shard builds an FM-index of its segments' words: a
-   Burrows-Wheeler transform in a bit-packed wavelet matrix with rank samples. Every window is searched
-   backwards through it, all windows of the shard in step; a window's matching statistic is how far the
-   search gets before its interval holds nothing but itself. Windows that reach the full length report the
-   smallest doc_id of their interval.
+   Burrows-Wheeler transform in a bit-packed wavelet matrix with rank samples, and a sampled suffix array.
+   The segments stream through it: every window is searched backwards, all windows of a batch in step; a
+   window's matching statistic is how far the search gets before its interval holds nothing but itself.
+   Windows that reach the full length report the smallest doc_id of their interval.
 4. What the shards report goes back to all copies of a segment, then to the documents.
 
-An anchor with very many distinct segments (a common line in ever new surroundings) would fill a shard;
-its windows are reduced by their own key instead, which is the same answer without an index. Shards are
-sized by the words they hold, so their number grows with the corpus and their memory does not.
+An anchor with very many distinct segments (a common line in ever new surroundings) would fill a shard. Its
+segments are documents of their own to the same procedure with finer anchors: a second, third ... hash of the
+grams joins the first. Equal windows still meet; windows that differ part. Shards are sized by the words they
+hold, so their number grows with the corpus and their memory does not.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from presentia.plans.materialize import materialize, partitions_for, release
 WINDOW, GRAM = 13, 6
 #: Words of distinct segments in a shard.
 SHARD_WORDS = 1_000_000
-#: Distinct segments of one anchor from which its windows are reduced by key.
-HOT_SEGMENTS = 1000
+#: Distinct segments of one anchor from which its anchors are made finer, and how often at most.
+HOT_SEGMENTS, LEVELS = 1000, 8
+#: Every how many positions the suffix array is kept.
+SAMPLE = 8
 
 
 class WaveletMatrix:
@@ -71,6 +74,20 @@ class WaveletMatrix:
             at = np.where(one, z + b, at - b)
         return at - start
 
+    def bit(self, k: int, i: np.ndarray) -> np.ndarray:
+        return (self.bits[k][i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def access(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places, and how often each occurs before its place."""
+        at, start, value = i.astype(np.int64), np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+        for k in range(self.levels):
+            one = self.bit(k, at)
+            a, b, z = self._ones(k, start), self._ones(k, at), self.zeros[k]
+            value = value << 1 | one
+            start = np.where(one, z + a, start - a)
+            at = np.where(one, z + b, at - b)
+        return value, at - start
+
     def _ones(self, k: int, i: np.ndarray) -> np.ndarray:
         w = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
@@ -78,30 +95,35 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search for patterns of up to ``depth`` symbols over segments of words.
+    """Backward search over a text of numbers, and the places of what it finds from a sampled suffix array.
 
-    Suffixes are sorted by their first 2**k >= depth symbols; the interval of a pattern up to that length is
-    the same as under a full sort.
+    ``stops`` are places that are kept besides every ``every``-th one, so that no walk passes them.
     """
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
+    def __init__(self, text: np.ndarray, sigma: int, every: int = SAMPLE, stops: np.ndarray | None = None):
         n = len(text)
         rank, reach = text.astype(np.int64), 1
+        order = np.argsort(rank, kind="stable")
         while True:
-            order = np.argsort(rank, kind="stable")
-            if reach >= depth:
-                break
             after = np.zeros(n, np.int64)
             after[: n - reach] = rank[reach:] + 1
-            key = rank * (int(rank.max()) + 2) + after
+            key = rank * (int(rank.max(initial=0)) + 2) + after
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
             reach *= 2
-        self.suffixes = order
+            if reach >= n or rank[order[-1]] == n - 1:
+                break
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.wavelet = WaveletMatrix(text[order - 1], sigma)  # position -1 is the final separator
+        kept = order % every == 0
+        if stops is not None:
+            at = np.zeros(n, bool)
+            at[stops] = True
+            kept |= at[order]
+        self.kept = WaveletMatrix(kept.astype(np.int64), 2)
+        self.samples = order[kept].astype(np.uint32)
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns that have ``symbols`` before those of [lo, hi)."""
@@ -109,6 +131,18 @@ class FMIndex:
         base = self.starts[symbols]
         return base + ranks[: len(lo)], base + ranks[len(lo) :]
 
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Where in the text the suffixes of the rows start: steps to the left until a kept one."""
+        out = np.zeros(len(rows), np.int64)
+        live, at, steps = np.arange(len(rows)), rows.astype(np.int64), 0
+        while len(live):
+            bit = self.kept.bit(0, at)
+            out[live[bit]] = self.samples[self.kept._ones(0, at[bit])] + steps
+            live, at = live[~bit], at[~bit]
+            symbols, ranks = self.wavelet.access(at)
+            at, steps = self.starts[symbols] + ranks, steps + 1
+        return out
+
 
 def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For patterns that end at ``ends`` (inclusive): how many symbols backwards still occur elsewhere too, at most ``length``, and the final intervals."""
@@ -133,13 +167,12 @@ def shard_reports(segments: list[bytes], first_docs: np.ndarray, window: int = W
     hashes, at, _, _ = word_hashes(whole, offsets)
     _, ids = np.unique(hashes, return_inverse=True)
     lengths = np.diff(at)
-    owner = np.repeat(np.arange(len(segments)), lengths + 1)
     places = np.arange(len(ids)) + np.repeat(np.arange(len(segments)), lengths)  # one separator after each segment
     text = np.zeros(len(ids) + len(segments), np.int64)
     text[places] = ids + 1
     sigma = int(ids.max()) + 2 if len(ids) else 1
-    index = FMIndex(text, sigma, window)
     begin = at[:-1] + np.arange(len(segments))
+    index = FMIndex(text, sigma, stops=begin[lengths > 0])
     counts = np.maximum(lengths - window + 1, 0)
     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     seg = np.repeat(np.arange(len(segments)), counts)
@@ -148,20 +181,24 @@ def shard_reports(segments: list[bytes], first_docs: np.ndarray, window: int = W
     out: list[list[int]] = [[] for _ in segments]
     full = np.flatnonzero(stat >= window)
     if len(full):
-        docs_by_suffix = first_docs[owner[index.suffixes]]
-        # Intervals of equal length patterns are equal or disjoint: one reduction over their sorted bounds.
+        # Intervals of equal length patterns are equal or disjoint: each is located once.
         bounds, which = np.unique(lo[full], return_inverse=True)
-        stops = np.zeros(len(bounds), np.int64)
-        stops[which] = hi[full]
-        cuts = np.stack([bounds, stops], axis=1).ravel()
-        low = np.minimum.reduceat(np.append(docs_by_suffix, np.iinfo(np.int64).max), cuts)[::2]
+        sizes = np.zeros(len(bounds), np.int64)
+        sizes[which] = (hi - lo)[full]
+        offset = np.cumsum(sizes) - sizes
+        rows = np.repeat(bounds - offset, sizes) + np.arange(sizes.sum())
+        found = first_docs[np.searchsorted(begin, index.locate(rows), "right") - 1]
+        low = np.minimum.reduceat(found, offset)
         for k in full[low[which] < first_docs[seg[full]]].tolist():
             out[int(seg[k])].append(int(number[k]))
     return out
 
 
-def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, body, doc_id, tid, start, n) for each segment: ``body`` is a hash of its words, n its windows."""
+def _anchors(docs: DataFrame, window: int, gram: int, level: int) -> DataFrame:
+    """(anchor, body, doc_id, tid, start, n) for each segment: ``body`` is a hash of its words, n its windows.
+
+    The anchor is made of the smallest of ``level`` + 1 hashes of the window's grams.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text"):
@@ -170,9 +207,13 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if len(words) < window:
                 continue
             grams = gram_hashes(words, gram)
-            low = grams[: len(words) - window + 1].copy()
-            for k in range(1, window - gram + 1):
-                np.minimum(low, grams[k : k + len(low)], out=low)
+            low = np.zeros(len(words) - window + 1, np.uint64)
+            for finer in range(level + 1):
+                least = grams[: len(low)].copy()
+                for k in range(1, window - gram + 1):
+                    np.minimum(least, grams[k : k + len(low)], out=least)
+                low = mixed(low * np.uint64(_BASE) + least) if level else least
+                grams = mixed(grams + np.uint64(finer + 1))
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             inside = doc[: len(low)] == doc[window - 1 :]
             new = inside.copy()
@@ -198,7 +239,7 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 names=["anchor", "body", "doc_id", "tid", "start", "n"],
             )
 
-    return docs.filter("doc_id is not null").mapInArrow(run, "anchor bigint, body bigint, doc_id bigint, tid int, start int, n int")
+    return docs.filter("doc_id is not null").mapInArrow(run, "anchor bigint, body bigint, doc_id bigint, tid bigint, start int, n int")
 
 
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -219,84 +260,83 @@ def _inverse_at(at: np.ndarray) -> np.ndarray:
 
 
 def _contents(docs: DataFrame, segments: DataFrame, window: int) -> DataFrame:
-    """The words of the distinct segments, from their first documents.
-
-    (anchor, body, first_doc, content, w1, w2, k): for ordinary segments the content; for segments of hot
-    anchors one row for each window k with its 128-bit key and no content.
-    """
+    """(anchor, body, first_doc, content, hot): the words of the distinct segments, from their first documents."""
     marked = segments.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("anchor", "body", "start", "n", "hot")).alias("segments"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, "text"):
             whole, offsets = joined(b.column("text"))
-            words, at, begin, end = word_hashes(whole, offsets)
-            keys = gram_hashes(words, window), gram_hashes(mixed(words), window)
+            _, at, begin, end = word_hashes(whole, offsets)
             rows = []
             for doc_id, found, base in zip(b.column("doc_id").to_pylist(), b.column("segments").to_pylist(), at.tolist(), strict=False):
                 for s in found:
-                    i, n = base + s["start"], s["n"]
-                    if s["hot"]:
-                        one, two = (k[i : i + n].view(np.int64).tolist() for k in keys)
-                        rows += [(s["anchor"], s["body"], doc_id, None, x, y, k) for k, (x, y) in enumerate(zip(one, two, strict=True))]
-                    else:
-                        rows.append((s["anchor"], s["body"], doc_id, whole[begin[i] : end[i + n + window - 2]], None, None, None))
+                    i = base + s["start"]
+                    rows.append((s["anchor"], s["body"], doc_id, whole[begin[i] : end[i + s["n"] + window - 2]], s["hot"]))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["anchor", "body", "first_doc", "content", "w1", "w2", "k"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["anchor", "body", "first_doc", "content", "hot"])
 
-    schema = "anchor bigint, body bigint, first_doc bigint, content binary, w1 bigint, w2 bigint, k int"
-    return docs.join(marked, ["doc_id", "tid"]).select("doc_id", "text", "segments").mapInArrow(run, schema)
+    return docs.join(marked, ["doc_id", "tid"]).select("doc_id", "text", "segments").mapInArrow(run, "anchor bigint, body bigint, first_doc bigint, content binary, hot boolean")
 
 
 def _reports(contents: DataFrame, n_words: int, window: int) -> DataFrame:
     """(anchor, body, hit): the windows of distinct segments that also occur under a smaller first doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = {}
+        for b in batches:  # rows that repeat an id bring their segments again
+            for anchor, body, doc, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "body", "first_doc", "content")), strict=True):
+                held.setdefault((anchor, body), (doc, content))
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        found = shard_reports(table.column("content").to_pylist(), table.column("first_doc").to_numpy().astype(np.int64), window)
+        keys = list(held)
+        found = shard_reports([c for _, c in held.values()], np.array([d for d, _ in held.values()], np.int64), window)
         some = [k for k, hits in enumerate(found) if hits]
         yield pa.RecordBatch.from_arrays(
-            [*(table.column(c).combine_chunks().take(pa.array(some, pa.int64())) for c in ("anchor", "body")), pa.array([found[k] for k in some], pa.list_(pa.int32()))],
-            names=["anchor", "body", "hits"],
+            [*(pa.array([keys[k][i] for k in some], pa.int64()) for i in (0, 1)), pa.array([found[k] for k in some], pa.list_(pa.int32()))], names=["anchor", "body", "hits"]
         )
 
     shards = partitions_for(n_words, SHARD_WORDS, 1)
-    plain = contents.filter("content is not null").select("anchor", "body", "first_doc", "content").repartition(shards, "anchor")
-    plain = plain.mapInArrow(run, "anchor bigint, body bigint, hits array<int>").select("anchor", "body", F.explode("hits").alias("hit"))
-    windows = contents.filter("content is null").select("anchor", "body", "first_doc", "w1", "w2", "k")
-    least = windows.groupBy("w1", "w2").agg(F.min("first_doc").alias("least"))
-    hot = windows.join(least, ["w1", "w2"]).filter("least < first_doc").select("anchor", "body", F.col("k").alias("hit"))
-    return plain.unionByName(hot)
+    plain = contents.select("anchor", "body", "first_doc", "content").repartition(shards, "anchor")
+    return plain.mapInArrow(run, "anchor bigint, body bigint, hits array<int>").select("anchor", "body", F.explode("hits").alias("hit"))
+
+
+def _finer_reports(contents: DataFrame, window: int, gram: int, level: int) -> DataFrame:
+    """The same for segments of hot anchors: documents of their own, whose anchors are finer."""
+    own = contents.select("anchor", "body", F.col("first_doc").alias("doc_id"), F.xxhash64("anchor", "body").alias("tid"), F.col("content").alias("text")).dropDuplicates(["anchor", "body"])
+    own = materialize(own, "sub-hot")
+    spans = covered_windows(own.select("doc_id", "tid", "text"), window, gram, level)
+    windows = spans.select("doc_id", "tid", F.explode("spans").alias("s")).select("doc_id", "tid", F.explode(F.sequence(F.col("s.start"), F.col("s.start") + F.col("s.n") - 1)).alias("hit"))
+    return own.select("anchor", "body", "doc_id", "tid").join(windows, ["doc_id", "tid"]).select("anchor", "body", "hit").distinct()
 
 
-def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, level: int = 0) -> DataFrame:
     """(doc_id, tid, spans array<struct<start, n>>): the repeated windows of each document that has any; written.
 
     ``docs``: doc_id, tid, text. A span is a run of n windows that starts at word ``start``.
     """
-    anchors = materialize(_anchors(docs, window, gram), "sub-anchors")
+    anchors = materialize(_anchors(docs, window, gram, level), "sub-anchors")
     repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
     repeated = materialize(repeated, "sub-repeated")
     segments = materialize(anchors.join(repeated, "anchor", "left_semi"), "sub-segments")
     release(anchors)
     distinct = segments.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "tid", "start", "n")).alias("s"))
     distinct = materialize(distinct.select("anchor", "body", "s.doc_id", "s.tid", "s.start", "s.n"), "sub-distinct")
-    crowded = distinct.groupBy("anchor").count().filter(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
     # A single distinct segment has no other to match: its copies are covered, its first one is not.
-    shared = distinct.groupBy("anchor").count().filter("count > 1").select("anchor")
-    wanted = distinct.join(shared, "anchor", "left_semi").join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = materialize(wanted, "sub-wanted")
-    n_words = wanted.filter("not hot").agg(F.coalesce(F.sum(F.col("n") + (window - 1)), F.lit(0))).first()[0]
+    shared = distinct.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > HOT_SEGMENTS).alias("hot") if level < LEVELS else F.lit(False).alias("hot"))
+    wanted = materialize(distinct.join(shared, "anchor"), "sub-wanted")
+    n_words, any_hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (window - 1))), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
     contents = materialize(_contents(docs, wanted, window), "sub-contents")
-    reports = materialize(_reports(contents, n_words, window), "sub-reports")
+    reports = materialize(_reports(contents.filter("not hot"), n_words, window), "sub-reports")
+    if any_hot:
+        reports = reports.unionByName(materialize(_finer_reports(contents.filter("hot"), window, gram, level + 1), "sub-finer"))
+    release(contents)
     firsts = distinct.select("anchor", "body", F.col("doc_id").alias("first_doc"))
     here = segments.join(firsts, ["anchor", "body"])
     whole = here.filter("doc_id > first_doc").select("doc_id", "tid", "start", "n")
     partly = here.filter("doc_id = first_doc").join(reports, ["anchor", "body"]).select("doc_id", "tid", (F.col("start") + F.col("hit")).alias("start"), F.lit(1).alias("n"))
-    return materialize(whole.unionByName(partly).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "sub-spans")
+    # Sets: rows that repeat an id and text say the same again.
+    return materialize(whole.unionByName(partly).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "sub-spans")
 
 
 def _removed(n_words: int, spans: list | None, window: int) -> np.ndarray:
@@ -312,10 +352,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept_text``), for every row.
 
     Words are runs without [\\x20\\x09-\\x0D]; null texts have none. Rows with a null doc_id neither remove nor
-    lose words. Rows that repeat a doc_id do not remove each other's words, as none is smaller. An empty
-    table gives an empty result.
+    lose words. Rows that repeat a doc_id do not remove each other's words, as none is smaller. Very long texts
+    are cut into segments like others. An empty table gives an empty result. Other columns, whatever their
+    names, are not read.
     """
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.hash("text"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     spans = covered_windows(src, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
