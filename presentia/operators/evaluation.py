@@ -71,15 +71,16 @@ def operating_point(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return point.withColumn("acer", (F.col("worst_apcer") + F.col("bpcer")) / 2)
 
 
-def prefix_counts(labelled: DataFrame, value: str, positive: Column, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def prefix_counts(labelled: DataFrame, value: str, positive: Column, by: Sequence[str] = (), buckets: int = 64, weight: Column | None = None) -> DataFrame:
     """by, value, a, b, below_a, below_b, n_a, n_b: how many of each class stand at and below each distinct value.
 
-    ``positive`` splits the rows into classes a and b.
+    ``positive`` splits the rows into classes a and b; a row counts ``weight`` times. The histogram is written, so
+    ``labelled`` is evaluated once, and the cut points are literals: a recomputed task cannot move a row.
     """
-    cuts = labelled.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.001) if buckets > 1 else []
-    cuts = sorted(set(cuts))
-    # Literal cut points: a recomputed task cannot move a row to another bucket.
-    hist = labelled.groupBy(*by, F.col(value).alias("value")).agg(F.count_if(positive).alias("a"), F.count_if(~positive).alias("b"))
+    one = F.lit(1) if weight is None else weight
+    sums = [F.coalesce(F.sum(F.when(c, one)), F.lit(0)).cast("long").alias(n) for n, c in (("a", positive), ("b", ~positive))]
+    hist = materialize(labelled.groupBy(*by, F.col(value).alias("value")).agg(*sums), "histogram")
+    cuts = sorted(set(hist.approxQuantile("value", [k / buckets for k in range(1, buckets)], 0.001))) if buckets > 1 else []
     hist = hist.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0))
     keys = [*by, "bucket"]
     # A few rows for each group: its buckets.
@@ -103,9 +104,14 @@ def prefix_counts(labelled: DataFrame, value: str, positive: Column, by: Sequenc
     )
 
 
+def type_histogram(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, attack_type, score, n, written: all that the figures of a report need of the scores."""
+    return materialize(scored.groupBy(*by, "attack_type", "score").agg(F.count(F.lit(1)).alias("n")), "scores")
+
+
 def curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """:func:`prefix_counts` of the scores with APCER and BPCER at each distinct score."""
-    counts = prefix_counts(scored, "score", is_attack(F.col("attack_type")), by)
+    """:func:`prefix_counts` of the scores (or of their :func:`type_histogram`) with APCER and BPCER at each distinct score."""
+    counts = prefix_counts(scored, "score", is_attack(F.col("attack_type")), by, weight=F.col("n") if "n" in scored.columns else None)
     return counts.withColumns(
         {
             "apcer": F.when(F.col("n_a") > 0, F.col("below_a") / F.col("n_a")).otherwise(0.0),
@@ -157,23 +163,38 @@ def _with(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(b, list(by)) if by else a.join(F.broadcast(b))
 
 
-def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float] = TARGETS) -> DataFrame:
-    """One row for each group: counts, EER, AUC, BPCER at the targets, and the points at 0.5 and the rounded EER threshold.
+def _rates_at(hist: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, threshold, attack_type, n, rate from :func:`type_histogram`, at the thresholds (by, threshold)."""
+    wrong = F.when(is_attack(F.col("attack_type")), F.col("score") < F.col("threshold")).otherwise(F.col("score") >= F.col("threshold"))
+    joined = hist.join(thresholds, list(by)) if by else hist.join(F.broadcast(thresholds))
+    return joined.groupBy(*by, "threshold", "attack_type").agg(F.sum("n").alias("n"), (F.sum(F.when(wrong, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
+
+
+def require_both_classes(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``points`` of :func:`curve` itself; raises if a group lacks bona fide or attacks, naming the first few."""
+    lacking = points.groupBy(*by).agg(F.max("n_a").alias("attacks"), F.max("n_b").alias("bona_fide")).filter(F.coalesce(F.least("attacks", "bona_fide"), F.lit(0)) == 0)
+    found = lacking.limit(5).collect()
+    if found:
+        raise ValueError(f"a report needs bona fide and attack scores: {[r.asDict() for r in found]}")
+    return points
 
-    Both classes are required: groups that lack one have null AUC. ``points`` is an array of structs ordered by
-    threshold, one entry if the two thresholds agree.
+
+def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float] = TARGETS, thresholds: Sequence[float] | None = None) -> DataFrame:
+    """One row for each group: counts, EER, AUC, BPCER at the targets, and the points at the thresholds.
+
+    ``points`` is an array of structs ordered by threshold; without ``thresholds`` they are at 0.5 and at the
+    rounded EER threshold, one entry if the two agree. Raises if a group lacks one of the classes. The scores are
+    read once; every figure comes from their written histogram.
     """
-    points = materialize(curve(scored, by), "curve")  # read by every figure below
+    hist = type_histogram(scored, by)
+    points = require_both_classes(materialize(curve(hist, by), "curve"), by)  # read by every figure below
     out = _with(eer_of(points, by), auc_of(points, by), by)
     for t in targets:
         at = bpcer_at_apcer_of(points, t, by).select(*by, F.col("bpcer").alias(f"bpcer_at_{t:.2f}".replace(".", "_")))
         out = _with(out, at, by)
-    chosen = eer_of(points, by).select(*by, F.explode(F.array_sort(F.array_distinct(F.array(F.round("eer_threshold", 6), F.lit(0.5))))).alias("threshold"))
-    rated = (scored.join(chosen, list(by)) if by else scored.join(F.broadcast(chosen))).groupBy(*by, "threshold", "attack_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(is_attack(F.col("attack_type")), F.col("score") < F.col("threshold")).otherwise(F.col("score") >= F.col("threshold")).cast("double")).alias("rate"),
-    )
-    ops = operating_point(rated, [*by, "threshold"])
+    wanted = F.array(F.round("eer_threshold", 6), F.lit(0.5)) if thresholds is None else F.array(*[F.lit(float(t)) for t in thresholds])
+    chosen = eer_of(points, by).select(*by, F.explode(F.array_sort(F.array_distinct(wanted))).alias("threshold"))
+    ops = operating_point(_rates_at(hist, chosen, by), [*by, "threshold"])
     packed = ops.groupBy(*by).agg(
         F.max("n_bona_fide").alias("n_bona_fide"), F.max("n_attack").alias("n_attack"),
         F.array_sort(F.collect_list(F.struct("threshold", "bpcer", "worst_apcer", "mean_apcer", "acer"))).alias("points"),
@@ -182,9 +203,14 @@ def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float]
 
 
 def evaluate_at(scored: DataFrame, threshold: float, by: Sequence[str] = (), targets: Sequence[float] = TARGETS) -> DataFrame:
-    """The report at a given threshold, which is never refitted: rates there, EER, AUC and the targets."""
-    points = materialize(curve(scored, by), "curve")  # read by every figure below
-    out = _with(operating_point(apcer_bpcer(scored, threshold, by), by), _with(eer_of(points, by), auc_of(points, by), by), by)
+    """The report row at a given threshold, which is never refitted: rates there, EER, AUC and the targets.
+
+    :func:`presentia.operators.reports.test_report` adds types, conditions and fairness.
+    """
+    hist = type_histogram(scored, by)
+    points = materialize(curve(hist, by), "curve")  # read by every figure below
+    here = hist.select(*by).distinct().withColumn("threshold", F.lit(float(threshold))) if by else hist.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold"))
+    out = _with(operating_point(_rates_at(hist, here, by), by), _with(eer_of(points, by), auc_of(points, by), by), by)
     for t in targets:
         at = bpcer_at_apcer_of(points, t, by).select(*by, F.col("bpcer").alias(f"bpcer_at_{t:.2f}".replace(".", "_")))
         out = _with(out, at, by)
@@ -229,15 +255,40 @@ def coverage(m: DataFrame, s: DataFrame, key: str) -> DataFrame:
     return m.join(s, key, "full").agg(F.count_if(F.col("s").isNull()).alias("missing"), F.count_if(F.col("m").isNull()).alias("unknown"), F.count_if((F.col("m") > 1) | (F.col("s") > 1)).alias("repeated"))
 
 
+def pair_scores(expected: DataFrame, actual: DataFrame, key: str = "sample_id", value: str = "score") -> DataFrame:
+    """key, expected, actual from two tables of scores or of arrays of logits. Raises if an id is missing, stands twice, or lengths differ."""
+    e, a = expected.select(key, F.col(value).alias("expected")), actual.select(key, F.col(value).alias("actual"))
+    found = coverage(e.groupBy(key).agg(F.count(F.lit(1)).alias("m")), a.groupBy(key).agg(F.count(F.lit(1)).alias("s")), key).first()
+    if any(found):
+        raise ValueError(f"the two tables do not cover each other: {found.asDict()}")
+    pairs = e.join(a, key)
+    if str(pairs.schema["expected"].dataType.typeName()) == "array":
+        wrong = pairs.filter(F.size("expected") != F.size("actual")).count()
+        if wrong:
+            raise ValueError(f"{wrong} rows differ in length")
+    return pairs
+
+
 def verify_scores(pairs: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """One row: n, missing, max_abs_diff, passed, of (sample_id, expected, actual) from a full outer join."""
-    diff = F.max(F.abs(F.col("expected") - F.col("actual")))
+    """One row: n, missing, max_abs_diff, passed, of (sample_id, expected, actual); both scores, or arrays of logits."""
+    one = F.abs(F.col("expected") - F.col("actual"))
+    if str(pairs.schema["expected"].dataType.typeName()) == "array":
+        one = F.array_max(F.zip_with("expected", "actual", lambda x, y: F.abs(x - y)))
     missing = F.count_if(F.col("expected").isNull() | F.col("actual").isNull())
-    return pairs.agg(F.count(F.lit(1)).alias("n"), missing.alias("missing"), diff.alias("max_abs_diff")).withColumn(
+    return pairs.agg(F.count(F.lit(1)).alias("n"), missing.alias("missing"), F.max(one).alias("max_abs_diff")).withColumn(
         "passed", (F.col("missing") == 0) & F.coalesce(F.col("max_abs_diff") <= tolerance, F.lit(True))
     )
 
 
+def require_equal_scores(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-4, key: str = "sample_id", value: str = "score") -> DataFrame:
+    """The row of :func:`verify_scores`; raises if the tables do not match within the tolerance."""
+    out = verify_scores(pair_scores(expected, actual, key, value), tolerance)
+    row = out.first()
+    if not row["passed"]:
+        raise ValueError(f"scores differ by {row['max_abs_diff']}, allowed is {tolerance}")
+    return out
+
+
 #: The metrics two datasets are compared by; for the first a higher value is better.
 COMPARED = ("auc", "eer", "worst_apcer", "bpcer", "acer")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +58,26 @@ def capture_frames(dets: DataFrame, frame: str = "image_id", stride: int = STRID
 
 
 def thin_frames(frames: DataFrame, by: list[str], frame: str = "frame_id", min_gap: int = MIN_GAP, target: int = TARGET) -> DataFrame:
-    """by, frame: greedy choice of usable frames at least ``min_gap`` after the last chosen one, until ``target``."""
-    listed = frames.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(frame).cast("long"))).alias("fs"))
-    none = F.array().cast("array<bigint>")
-    far = lambda acc, f: (F.size(acc) == 0) | (f - F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, F.lit(-1)).otherwise(F.lit(None).cast("int"))), F.lit(0)) >= min_gap)
-    chosen = F.aggregate("fs", none, lambda acc, f: F.when((F.size(acc) < target) & far(acc, f), F.array_append(acc, f)).otherwise(acc))
-    return listed.select(*by, F.explode(chosen).alias(frame))
+    """by, frame: greedy choice of usable frames at least ``min_gap`` after the last chosen one, until ``target``.
+
+    The frames of a key stream through one task in order; what is held is the last chosen frame and a count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, chosen = None, 0, 0
+        for b in batches:
+            keep = []
+            for here, at in zip(zip(*(b.column(c).to_pylist() for c in by), strict=True), b.column(frame).to_pylist(), strict=True):
+                if here != key:
+                    key, chosen = here, 0
+                take = chosen < target and (chosen == 0 or at - last >= min_gap)
+                if take:
+                    last, chosen = at, chosen + 1
+                keep.append(take)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows = frames.filter(F.col(frame).isNotNull()).select(*by, F.col(frame).cast("long").alias(frame))
+    return rows.repartition(*by).sortWithinPartitions(*by, frame).mapInArrow(run, rows.schema)
 
 
 def with_cells(faces: DataFrame, cell: int = CELL) -> DataFrame:
@@ -68,22 +85,56 @@ def with_cells(faces: DataFrame, cell: int = CELL) -> DataFrame:
     return faces.withColumns({"cell_x": F.floor((F.col("x1") + F.col("x2")) / 2 / cell).cast("int"), "cell_y": F.floor((F.col("y1") + F.col("y2")) / 2 / cell).cast("int")})
 
 
-def score_history(faces: DataFrame, cell: int = CELL, n: int = HISTORY) -> DataFrame:
+#: Ticks in a bucket of a camera's history.
+TICKS = 1 << 18
+
+
+def with_ticks(rows: DataFrame, by: str, order: list[str], width: int = TICKS) -> DataFrame:
+    """Adds tick: the place of a row of ``by`` in the order, from 1. The first column of the order is a whole number.
+
+    Rows are numbered inside buckets of that number; a window over the few buckets gives each its offset.
+    """
+    bucketed = rows.withColumn("bucket_", F.floor(F.col(order[0]) / width))
+    counts = bucketed.groupBy(by, "bucket_").agg(F.count(F.lit(1)).alias("rows_"))
+    before = Window.partitionBy(by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(by, "bucket_", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("offset_"))
+    inside = Window.partitionBy(by, "bucket_").orderBy(*order)
+    return bucketed.withColumn("nth_", F.row_number().over(inside)).join(offsets, [by, "bucket_"]).withColumn("tick", F.col("nth_") + F.col("offset_")).drop("bucket_", "nth_", "offset_", "rows_")
+
+
+def _overlapping(ticked: DataFrame, reach: int, width: int) -> DataFrame:
+    """Rows in their ``span`` of ticks, and those of the last ``reach`` ticks also in the next one, where ``own`` is false."""
+    span = F.floor(F.col("tick") / width)
+    own = ticked.withColumns({"span": span, "own": F.lit(True)})
+    late = ticked.filter(F.col("tick") % width >= width - reach).withColumns({"span": span + 1, "own": F.lit(False)})
+    return own.unionByName(late)
+
+
+def score_history(faces: DataFrame, cell: int = CELL, n: int = HISTORY, width: int = TICKS) -> DataFrame:
     """face_id, camera, cell, tick, n and mean of the last ``n`` scores of its cell, restarted where the cell was unseen too long.
 
-    Ticks count a camera's scored faces. A series restarts after a gap of more than n + 1 ticks.
+    Ticks count a camera's scored faces. A series restarts after a gap of more than n + 1 ticks, so the last n of a
+    series lie within n * (n + 1) ticks: histories are cut into spans of ``width`` ticks that see so much of the
+    span before, and no camera or cell has to pass through one task.
     """
-    scored = with_cells(faces.filter("spoof_probability is not null"), cell)
-    ticked = scored.withColumn("tick", F.row_number().over(Window.partitionBy("camera").orderBy("frame_id", "face_id")))
-    series = Window.partitionBy("camera", "cell_x", "cell_y").orderBy("tick")
+    reach = n * (n + 1)
+    if width <= reach:
+        raise ValueError("a span must be longer than what it sees of the one before")
+    scored = with_cells(faces.filter("spoof_probability is not null"), cell).select("face_id", "camera", "cell_x", "cell_y", "frame_id", "spoof_probability")
+    spans = _overlapping(with_ticks(scored, "camera", ["frame_id", "face_id"]), reach, width)
+    where = ["camera", "cell_x", "cell_y", "span"]
+    series = Window.partitionBy(*where).orderBy("tick")
     cut = F.coalesce((F.col("tick") - F.lag("tick").over(series) > n + 1).cast("int"), F.lit(0))
-    runs = ticked.withColumn("restart", cut).withColumn("run", F.sum("restart").over(series))
-    last = Window.partitionBy("camera", "cell_x", "cell_y", "run").orderBy("tick").rowsBetween(-(n - 1), 0)
-    return runs.select("face_id", "camera", "cell_x", "cell_y", "tick", F.count(F.lit(1)).over(last).alias("n"), F.avg("spoof_probability").over(last).alias("mean_score"))
+    runs = spans.withColumn("restart", cut).withColumn("run", F.sum("restart").over(series))
+    last = Window.partitionBy(*where, "run").orderBy("tick").rowsBetween(-(n - 1), 0)
+    out = runs.select("face_id", "camera", "cell_x", "cell_y", "tick", F.count(F.lit(1)).over(last).alias("n"), F.avg("spoof_probability").over(last).alias("mean_score"), "own")
+    return out.filter("own").drop("own")
 
 
-def rolling_fps(frames: DataFrame, n: int = 30) -> DataFrame:
-    """camera, frame_id, fps over the last ``n`` frames; ``frames`` has total_ms."""
-    last = Window.partitionBy("camera").orderBy("frame_id").rowsBetween(-(n - 1), 0)
+def rolling_fps(frames: DataFrame, n: int = 30, width: int = TICKS) -> DataFrame:
+    """camera, frame_id, fps over the last ``n`` frames; ``frames`` has total_ms. Spans see the last n - 1 frames of the one before."""
+    spans = _overlapping(with_ticks(frames.select("camera", "frame_id", "total_ms"), "camera", ["frame_id"]), n - 1, width)
+    last = Window.partitionBy("camera", "span").orderBy("tick").rowsBetween(-(n - 1), 0)
     seconds = F.sum("total_ms").over(last) / 1000
-    return frames.select("camera", "frame_id", F.when(seconds > 0, F.count(F.lit(1)).over(last) / seconds).otherwise(0.0).alias("fps"))
+    out = spans.select("camera", "frame_id", F.when(seconds > 0, F.count(F.lit(1)).over(last) / seconds).otherwise(0.0).alias("fps"), "own")
+    return out.filter("own").drop("own")

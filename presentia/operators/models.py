@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
@@ -52,20 +53,40 @@ def fit_scorer(train: DataFrame, val: DataFrame, grid: Sequence[float] = (0.001,
 def select_checkpoint(history: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """run_id, best_epoch, best_eer, stopped_at: in epoch order, until ``patience`` epochs in a row bring nothing.
 
-    An epoch is better if its EER is lower, or equal within 1e-9 and its loss lower. Runs are many, epochs few.
+    An epoch is better if its EER is lower, or equal within 1e-9 and its loss lower. The epochs of a run stream
+    through one task in order; what is held is the best epoch and the misses since.
     """
-    step = F.struct("epoch", F.col("val_eer").cast("double").alias("eer"), F.col("val_loss").cast("double").alias("loss"))
-    runs = history.groupBy("run_id").agg(F.array_sort(F.collect_list(step)).alias("es"))
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("epoch"), F.lit(float("inf")).alias("eer"), F.lit(float("inf")).alias("loss"), F.lit(0).alias("misses"), F.lit(-1).cast("bigint").alias("last")
-    )
-
-    def fold(acc, e):
-        better = (e["eer"] < acc["eer"] - NEAR) | ((F.abs(e["eer"] - acc["eer"]) <= NEAR) & (e["loss"] < acc["loss"]))
-        at = e["epoch"].cast("bigint")
-        won = F.struct(at.alias("epoch"), e["eer"].alias("eer"), e["loss"].alias("loss"), F.lit(0).alias("misses"), at.alias("last"))
-        lost = F.struct(acc["epoch"].alias("epoch"), acc["eer"].alias("eer"), acc["loss"].alias("loss"), (acc["misses"] + 1).alias("misses"), at.alias("last"))
-        return F.when(acc["misses"] >= patience, acc).when(better, won).otherwise(lost)
-
-    best = F.aggregate("es", start, fold)
-    return runs.select("run_id", best.alias("b")).select("run_id", F.col("b.epoch").alias("best_epoch"), F.col("b.eer").alias("best_eer"), F.col("b.last").alias("stopped_at"))
+    run_type = history.schema["run_id"].dataType
+    schema = T.StructType([T.StructField("run_id", run_type), T.StructField("best_epoch", T.LongType()), T.StructField("best_eer", T.DoubleType()), T.StructField("stopped_at", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, run, kind = [], None, pa.int64()
+        best, eer, loss, misses, last = -1, float("inf"), float("inf"), 0, -1
+
+        def out() -> pa.RecordBatch:
+            types = (kind, pa.int64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=schema.names)
+
+        for b in batches:
+            kind = b.column("run_id").type
+            for r, at, e, x in zip(*(b.column(c).to_pylist() for c in ("run_id", "epoch", "eer", "loss")), strict=True):
+                if r != run:
+                    if last >= 0:
+                        done.append((run, best, eer, last))
+                    run, best, eer, loss, misses, last = r, -1, float("inf"), float("inf"), 0, -1
+                if misses >= patience:
+                    continue
+                if e < eer - NEAR or abs(e - eer) <= NEAR and x < loss:
+                    best, eer, loss, misses = at, e, x, 0
+                else:
+                    misses += 1
+                last = at
+            if done:
+                yield out()
+                done = []
+        if last >= 0:
+            done.append((run, best, eer, last))
+            yield out()
+
+    steps = history.select("run_id", F.col("epoch").cast("long").alias("epoch"), F.col("val_eer").cast("double").alias("eer"), F.col("val_loss").cast("double").alias("loss"))
+    return steps.repartition("run_id").sortWithinPartitions("run_id", "epoch").mapInArrow(fold, schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presentia.operators.evaluation import is_attack
+from presentia.operators.evaluation import TARGETS, apcer_bpcer, evaluate_at, fairness_audit, fairness_groups, is_attack, stratify
 
 SMALL_SAMPLE = 200
 SKIN_TONE_ATTRIBUTE = "Pale_Skin"
@@ -31,7 +33,7 @@ def fairness_rows(audit: DataFrame) -> DataFrame:
     """pos, attribute, ratio, flagged, note, caveat: flagged attributes first, then by ratio."""
     flagged = F.coalesce("flagged", F.lit(False))
     order = Window.orderBy(F.desc(flagged), F.desc(F.coalesce("ratio", F.lit(0.0))), "attribute")  # one row for each attribute
-    note = F.when(~flagged, "").when(F.col("ratio").isNull(), "one group at 0%").otherwise(F.concat(F.format_string("%.2f", "ratio"), F.lit("x disparity")))
+    note = F.when(~flagged, "").when(F.col("ratio").isNull(), "best group without errors").otherwise(F.format_string("worst group %.2f times the best", "ratio"))
     return audit.select(F.row_number().over(order).cast("long").alias("pos"), "attribute", "ratio", flagged.alias("flagged"), note.alias("note"), (F.col("attribute") == SKIN_TONE_ATTRIBUTE).alias("caveat"))
 
 
@@ -57,6 +59,25 @@ def markdown_rows(report: DataFrame, rates: DataFrame) -> DataFrame:
     return head.unionByName(types).unionByName(counts)
 
 
+def test_report(scored: DataFrame, threshold: float, source: str = "given", targets: Sequence[float] = TARGETS) -> dict[str, DataFrame]:
+    """The whole report of one test set at a given threshold, by part.
+
+    ``summary`` (one row with the threshold and where it comes from), ``types``, ``targets`` (BPCER at each target
+    APCER) and, if any sample has conditions, ``conditions`` and ``fairness``, which are otherwise empty.
+    """
+    strata = stratify(scored, threshold)
+    at = evaluate_at(scored, threshold, targets=targets)
+    names = {t: f"bpcer_at_{t:.2f}".replace(".", "_") for t in targets}
+    lines = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("target"), F.col(c).alias("bpcer")) for t, c in names.items()])).alias("line")
+    return {
+        "summary": headline(at).withColumn("threshold_source", F.lit(source)),
+        "types": type_rows(apcer_bpcer(scored, threshold)),
+        "targets": at.select(lines).select("line.*"),
+        "conditions": condition_rows(strata),
+        "fairness": fairness_rows(fairness_audit(fairness_groups(scored, threshold))),
+    }
+
+
 def top_offenders(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The first few keys, for messages."""
     return df.select(key).orderBy(key).limit(n)

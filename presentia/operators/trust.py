@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presentia.operators.evaluation import prefix_counts
 from presentia.operators.galleries import THRESHOLD, identify
 
 DEFAULT_THRESHOLD = 0.5
@@ -29,8 +30,12 @@ def trust_status(live: Column, name: Column) -> Column:
     return F.when(~live, "SPOOF").when(live.isNull(), "UNVERIFIED").when(name.isNotNull(), "TRUSTED").otherwise("UNKNOWN")
 
 
-# One line for each status.
-HINTS = {"TRUSTED": "recognised and confirmed live", "SPOOF": "not a live face, rejected before recognition", "UNKNOWN": "live person, not enrolled", "UNVERIFIED": "liveness was not checked, a photo would pass"}
+HINTS = {
+    "TRUSTED": "enrolled person, passed the liveness check",
+    "SPOOF": "liveness check failed, so no identity was looked up",
+    "UNKNOWN": "passed the liveness check, matches nobody in the gallery",
+    "UNVERIFIED": "no liveness check took place, treat as a possible picture",
+}
 
 
 def hint(status: Column) -> Column:
@@ -84,17 +89,35 @@ def frame_summary(faces: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def drop_warmup(runs: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
-    """The runs of each group without the first ``k``. The group's first runs are found by their number."""
-    order = Window.partitionBy(*by).orderBy("run")
-    return runs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") > k).drop("_n")
+    """The runs of each group without the first ``k``, by run number.
+
+    The first ``k`` numbers are a top-k that every task cuts before the shuffle; nothing else is sorted. Runs that
+    share the number of a warm-up run are warm-up runs too.
+    """
+    first = runs.select(*by, "run").withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("run"))).filter(F.col("nth") <= k)
+    ends = first.groupBy(*by).agg(F.max("run").alias("warm_until"))
+    return runs.join(ends, list(by), "left").filter(F.col("warm_until").isNull() | (F.col("run") > F.col("warm_until"))).select(*runs.columns)
 
 
 def latency_stats(runs: DataFrame, k: int, by: Sequence[str] = ("stage", "batch")) -> DataFrame:
-    """by, n, median, p95, min, max, mean, fps, per_item after the warm-up."""
-    out = drop_warmup(runs, k, by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("ms", F.lit(0.5)).alias("median"), F.percentile("ms", F.lit(0.95)).alias("p95"),
-        F.min("ms").alias("min"), F.max("ms").alias("max"), F.avg("ms").alias("mean"),
-    )
+    """by, n, median, p95, min, max, mean, fps, per_item after the warm-up.
+
+    Percentiles interpolate between the ranks around them, found in running counts over a histogram.
+    """
+    points = prefix_counts(drop_warmup(runs, k, by), "ms", F.lit(True), by)
+    ranks = {"median": 0.5, "p95": 0.95}
+    found = []
+    for name, share in ranks.items():
+        at = F.lit(share) * (F.col("n_a") - 1)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found.append(F.max(F.when((F.col("below_a") <= rank) & (rank < F.col("below_a") + F.col("a")), F.col("value"))).alias(f"{name}_{side}"))
+    out = points.groupBy(*by).agg(
+        F.max("n_a").alias("n"), *found, F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("a")) / F.max("n_a")).alias("mean")
+    )
+    for name, share in ranks.items():
+        at = F.lit(share) * (F.col("n") - 1)
+        out = out.withColumn(name, F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (at - F.floor(at)))
+    out = out.select(*by, "n", "median", "p95", "min", "max", "mean")
     return out.withColumns({"fps": F.when(F.col("median") > 0, 1000 / F.col("median")).otherwise(0.0), "per_item": F.col("median") / F.col("batch")})
 
 

@@ -67,7 +67,7 @@ from (select l_orderkey, l_linenumber, cast(min(l_partkey) % 60 as int) as x1, c
 """,
     "faces": """
 select event_id as face_id, user_id % 4 as camera, ts,
-       row_number() over (partition by user_id % 4 order by ts, event_id) as frame_id,
+       event_id as frame_id,
        cast(event_id * 37 % 600 as int) as x1, cast(event_id * 53 % 400 as int) as y1,
        cast(event_id * 37 % 600 + 60 + event_id % 120 as int) as x2, cast(event_id * 53 % 400 + 60 + event_id % 120 as int) as y2,
        case when event_type = 'signup' then null else floor(10000 * value / (value + 60)) / 10000 end as spoof_probability,
@@ -77,13 +77,15 @@ from events
 """,
     "latency": """
 select event_type as stage, case when user_id % 2 = 0 then 1 else 16 end as batch,
-       row_number() over (partition by event_type, user_id % 2 order by ts, event_id) as run, value as ms from events
+       event_id as run, value as ms from events
 """,
     "history": """
 select run_id, epoch, val_eer, val_loss
-from (select o_custkey % 100 as run_id, row_number() over (partition by o_custkey % 100 order by o_orderkey) - 1 as epoch,
+from (select o_custkey as run_id, row_number() over (partition by o_custkey order by o_orderkey) - 1 as epoch,
              cast(o_orderkey * 37 % 50 as double) / 100 as val_eer, o_totalprice / 100000 as val_loss from orders) h
-where epoch < 30
+""",
+    "gallery_all": """
+select concat('p', cast(label as string)) as name, vec_id as ordinal, embedding as v from embeddings
 """,
     "score_pair": """
 select event_id as sample_id, value / 500 as expected, value / 500 + 0.00005 * (event_id % 3) as actual from events

@@ -184,7 +184,7 @@ select dataset, n_bona_fide, n_attack, round(m.r, 9) as eer, round(m.t, 9) as ee
     "d11_fairness_audit": f"{SC}, {FAIR} select attribute, rated, {_r('worst', 'best', 'ratio', 'gap')}, flagged from au",
     "f1_report_types": f"{SC}, {rates_sql('scored', str(THRESHOLD))}, atk as (select * from rates where attack_type <> 'bona_fide') select row_number() over (order by rate desc, attack_type) as pos, attack_type, n, round(rate, 9) as apcer, (select max(rate) > min(rate) from atk) and rate = (select max(rate) from atk) as weakest from atk",
     "f1_report_conditions": f"{SC}, {COND} select row_number() over (partition by axis order by apcer is null, apcer desc, value) as pos, axis, value, n, {_r('apcer')} from str",
-    "f1_report_fairness": f"{SC}, {FAIR} select row_number() over (order by coalesce(flagged, false) desc, coalesce(ratio, 0) desc, attribute) as pos, attribute, {_r('ratio')}, coalesce(flagged, false) as flagged, case when not coalesce(flagged, false) then '' when ratio is null then 'one group at 0%' else printf('%.2f', ratio) || 'x disparity' end as note, attribute = 'Pale_Skin' as caveat from au",
+    "f1_report_fairness": f"{SC}, {FAIR} select row_number() over (order by coalesce(flagged, false) desc, coalesce(ratio, 0) desc, attribute) as pos, attribute, {_r('ratio')}, coalesce(flagged, false) as flagged, case when not coalesce(flagged, false) then '' when ratio is null then 'best group without errors' else printf('worst group %.2f times the best', ratio) end as note, attribute = 'Pale_Skin' as caveat from au",
     "f2_markdown_rows": f"""{SC}, {report_sql('scored', 'rep')}
 select 1::bigint as pos, 'EER' as metric, printf('%.2f', round(eer * 100, 2)) || '%' as value from rep union all select 2, 'AUC', printf('%.4f', round(auc, 4)) from rep union all select 3, 'BPCER @ deployed threshold', printf('%.2f', round(bpcer * 100, 2)) || '%' from rep
 union all select 4, 'APCER (worst case)', printf('%.2f', round(worst_apcer * 100, 2)) || '%' from rep union all select 5, 'ACER', printf('%.2f', round(acer * 100, 2)) || '%' from rep

@@ -15,6 +15,7 @@ from presentia.plans.materialize import materialize, scratch_path
 from presentia.queries.adapters import adapted, duck, table
 from presentia.queries.evaluation import REPORT, _r, _scored, r9, report_sql
 from presentia.queries.ingest import _split_sql
+from presentia.queries.serving import SQL as SERVING_SQL
 from presentia.sources.annotations import read_run_summary
 from presentia.streaming import faces as ST
 
@@ -99,10 +100,14 @@ def j4_eval_cross(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Faces as a stream of four files in time order, and the same as a table."""
+    """Faces as a stream of four files that arrive in time order, and the same as a table."""
     path = scratch_path(spark, "faces")
     faces = adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("camera", F.col("camera").cast("bigint"))
-    faces.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    at = F.unix_micros("ts")
+    cuts = [None, *faces.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.001), None]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):  # one after another: a file stream reads by arrival
+        part = faces.filter((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi))))
+        part.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
     still = spark.read.schema(faces.schema).parquet(path)
     return ST.read_faces(spark, path, still.schema), still
 
@@ -168,6 +173,8 @@ def h6_stream_capture(spark, sf):
 
 SPLIT = _split_sql().replace("manifest", "scored")
 SQL = {
+    # A replayed stream gives what the batch operator gives.
+    "h1_stream_trust": SERVING_SQL["c3_recognize"],
     "i1_score_with": "select vec_id as sample_id, round(list_sum(list_transform(embedding[1:len(embedding) // 2], lambda x: abs(x::double))) / list_sum(list_transform(embedding, lambda x: abs(x::double))), 6) as score from embeddings",
     "d24_select_checkpoint": f"""with recursive h as materialized ({duck('history').removeprefix('with history as (')[:-1]}),
 st as (select distinct run_id, -1::bigint as seen, -1::bigint as best, 'inf'::double as eer, 'inf'::double as loss, 0 as misses, -1::bigint as last from h

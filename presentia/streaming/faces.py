@@ -15,8 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from presentia.operators import galleries as G
-from presentia.operators.frames import HISTORY, LEAST_FACE, STRIDE, with_cells
-from presentia.operators.trust import enroll_reject_reason, recognize
+from presentia.operators.frames import HISTORY, LEAST_FACE, MIN_GAP, STRIDE, thin_frames, with_cells
+from presentia.operators.trust import enroll_guard, enroll_reject_reason, recognize
+from presentia.plans.materialize import materialize
 
 
 def read_faces(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -74,20 +75,33 @@ def stream_score_history(faces: DataFrame, ttl_ms: int, n: int = HISTORY) -> Dat
     return keyed.transformWithStateInPandas(_History(n, ttl_ms), schema, "Append", "None")
 
 
-def stream_enroll(faces: DataFrame, embeddings: DataFrame, root: str, dim: int, threshold: float, frame: tuple[int, int], checkpoint: str) -> StreamingQuery:
+def stream_enroll(faces: DataFrame, embeddings: DataFrame, root: str, dim: int, threshold: float, frame: tuple[int, int], checkpoint: str, min_gap: int = MIN_GAP) -> StreamingQuery:
     """Usable live faces go through :func:`presentia.operators.galleries.enroll`; each batch makes one gallery version.
 
-    ``faces`` has a ``name`` column. The version is the batch number, so a repeated batch rewrites the same one.
+    ``faces`` has a ``name`` column. A face is usable if its frame (camera, frame_id) has no other, it is live, has an
+    embedding and none of the reasons against it; accepted frames of a name and camera lie ``min_gap`` apart, also
+    across batches: what each batch accepted is written below ``root``. Version and log carry the batch number, so a
+    repeated batch rewrites the same ones.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        version = number + 1
+        batch = materialize(batch, "enroll-batch")
         old = spark.read.parquet(f"{root}/version={number}")
-        usable = batch.filter(enroll_reject_reason(*frame, threshold).isNull() & F.col("spoof_probability").isNotNull())
-        kept = G.enroll(old, usable.join(embeddings, "vec_id").select("name", F.col("face_id").alias("arrival"), "v"), dim)
+        alone = enroll_guard(batch, ["camera", "frame_id"], threshold).filter("reason is null").select("camera", "frame_id")
+        usable = batch.filter(enroll_reject_reason(*frame, threshold).isNull()).join(alone, ["camera", "frame_id"], "left_semi")
+        by = ["name", "camera"]
+        if number:
+            log = spark.read.schema("name string, camera bigint, frame_id bigint, batch int").parquet(f"{root}-accepted").filter(F.col("batch") < number)
+            last = log.groupBy(*by).agg(F.max("frame_id").alias("last"))
+            usable = usable.join(last, by, "left").filter(F.col("last").isNull() | (F.col("frame_id") - F.col("last") >= min_gap)).drop("last")
+        usable = materialize(usable, "enroll-usable")
+        chosen = materialize(thin_frames(usable, by, min_gap=min_gap, target=1 << 62), "enroll-chosen")
+        chosen.write.mode("overwrite").parquet(f"{root}-accepted/batch={number}")
+        accepted = usable.join(chosen, [*by, "frame_id"], "left_semi").join(embeddings, "vec_id")
+        kept = G.enroll(old, accepted.select("name", F.col("face_id").alias("arrival"), "v"), dim)
         new = kept.select("name", (F.col("arrival") + F.lit(1 << 40)).alias("ordinal"), F.col("v").cast("array<float>").alias("v"))
-        old.select("name", F.col("ordinal").cast("bigint").alias("ordinal"), "v").unionByName(new).write.mode("overwrite").parquet(f"{root}/version={version}")
+        old.select("name", F.col("ordinal").cast("bigint").alias("ordinal"), "v").unionByName(new).write.mode("overwrite").parquet(f"{root}/version={number + 1}")
 
     return faces.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
