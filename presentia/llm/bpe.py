@@ -241,7 +241,8 @@ def encode_batch(texts: list[bytes], merge: Merger) -> tuple[list[list[bytes]],
 def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, slice_offsets array<long> (where in the UTF-8 text each slice starts), slice_ids array<int> (ids of each slice).
 
-    Null and empty texts give empty arrays; ids stay as they are, repeated rows are encoded as often as they occur.
+    Null and empty texts give empty arrays; very long texts are encoded whole; ids stay as they are, repeated rows
+    are encoded as often as they occur; an empty table gives none. Other columns, whatever their names, are not read.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
@@ -264,7 +265,11 @@ def bpe_encode(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col
 
 
 def bpe_decode(encoded: DataFrame, rank_path: str) -> DataFrame:
-    """doc_id and the decoded text, as bytes, of the rows of :func:`bpe_encode`."""
+    """doc_id and the decoded text, as bytes, of the rows of :func:`bpe_encode`.
+
+    Null and empty ids give empty bytes; repeated rows give repeated results, an empty table none; other columns
+    are not read.
+    """
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +285,8 @@ def bpe_round_trip(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256.
 
     Each text is encoded and its ids are decoded again in one pass, so ids need not leave the task. Null
-    counts as empty. Repeated rows give repeated results; an empty table gives none.
+    counts as empty, very long texts are encoded whole. Repeated rows give repeated results; an empty table gives
+    none. Other columns, whatever their names, are not read.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 

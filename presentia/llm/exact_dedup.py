@@ -122,7 +122,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of a group the row with the most code points in the original text stays, then the smallest doc_id
     (null after all others), then the first row read. Null texts count as empty; empty texts are equal to
     each other and to texts of white space only. Repeated rows are copies of each other: one is kept.
-    Other columns of ``docs`` are ignored; an empty table gives an empty result.
+    Very long texts are compared whole. Other columns of ``docs``, whatever their names, are ignored; an empty
+    table gives an empty result.
     """
     ids = identities(docs, id_col, text_col, block_bytes)
     rank = F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))

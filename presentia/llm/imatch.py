@@ -35,6 +35,8 @@ SUBSETS = 40
 NO_TERMS = 255
 #: Share of documents with a term: the band of the lexicon.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
+#: The bytes a lexicon may take in a worker, and what a term takes besides its own.
+LEXICON_BYTES, TERM_BYTES = 512 << 20, 100
 #: Distinct terms a task counts before it passes its counts on.
 COUNTER_SIZE = 300_000
 
@@ -71,8 +73,11 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     total = docs.count()
     low, high = max(2.0, LEAST_SHARE * total), max(2.0, MOST_SHARE * total)
     # Written before it is read: the counts' shuffle files go with the step.
-    rows = materialize(document_frequencies(docs, text_col).filter(F.col("n").between(low, high)).select("term"), "imatch-lexicon").collect()
-    return sorted(bytes(r.term) for r in rows)
+    found = materialize(document_frequencies(docs, text_col).filter(F.col("n").between(low, high)).select("term"), "imatch-lexicon")
+    size = found.agg(F.sum(F.octet_length("term") + TERM_BYTES)).first()[0] or 0
+    if size > LEXICON_BYTES:  # only where documents have millions of distinct terms on average
+        raise ValueError(f"a lexicon of {size} bytes is no broadcast; raise LEAST_SHARE")
+    return sorted(bytes(r.term) for r in found.collect())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -150,7 +155,8 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The
     next document is the next in (doc_id, text) order, null ids first; after the last comes the first, and
     a single document follows itself. Null texts count as empty. Equal texts have equal fingerprints; two
-    empty texts are alike (1). An empty table gives an empty result.
+    empty texts are alike (1). Very long texts are read whole; repeated rows follow each other. An empty table
+    gives an empty result. Other columns, whatever their names, are not read.
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = docs.sparkSession.sparkContext.broadcast(tuple(lexicon(src)))

@@ -155,7 +155,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``labels`` has the base labels and those of all templates met; both are distinct, sorted and joined by
     commas. ``score`` is 1 where a base phrase stands, else the best containment at or above the
-    threshold, else 0. Null counts as empty: no words, no labels. Repeated rows give repeated results.
+    threshold, else 0. Null counts as empty: no words, no labels. Very long texts are scanned to their end, block
+    by block; of several places the smallest and the largest are named. Repeated rows give repeated results, an
+    empty table gives none. Other columns, whatever their names, are not read.
     """
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex.build(token_frequencies(docs, text_col, templates), templates, threshold))
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"

@@ -287,7 +287,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     with fewer words are one shingle; null and empty texts have no shingles and are linked with nothing.
     Repeated rows and copies have equal sets and are one class. Rows with a null doc_id are never the
     smallest: they take the component of their class if another row has an id, and are kept if none has.
-    Rows that repeat a doc_id are kept or dropped together. An empty table gives an empty result.
+    Rows that repeat a doc_id are kept or dropped together. Very long texts are compared whole. An empty table
+    gives an empty result. Other columns, whatever their names, are not read.
     """
     sigs = signatures(docs, size, id_col, text_col)
     classes = sigs.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))

@@ -138,7 +138,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
-    """page_id, url, html, digest, record_type, refers_to for every page."""
+    """page_id, url, html, digest, record_type, refers_to for every page.
+
+    Null html counts as empty, null urls and ids stay null; a null id is never referred to. Of equal payloads the
+    smallest id is the response, with all rows that repeat that id; an empty table gives none. Other columns,
+    whatever their names, are not read.
+    """
     src = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
@@ -157,7 +162,8 @@ def write_archive(pages: DataFrame, path: str, frame_bytes: int = 256 << 10, bun
     """Writes the pages' records below ``path`` (a URI all executors reach) and returns the index, materialised.
 
     A bundle's name holds the task attempt, so a repeated task never writes over what another one's index
-    refers to.
+    refers to. Nulls, equal payloads, repeated rows and further columns are treated as by :func:`roles`; payloads
+    longer than a frame have one of their own; an empty table gives an empty index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
