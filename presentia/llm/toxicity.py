@@ -47,6 +47,8 @@ OWN_BYTES, BASE_BYTES, OWN_PIECE, BASE_PIECE = 1024, 16384, 64, 256
 PAIRS = 4
 #: What a window must exceed to count in the mean, the windows added to it, and its weight beside the largest ones.
 MARGIN, MEAN_PRIOR, MEAN_WEIGHT = 0.5, 10, 20.0
+#: Bytes of a label in a broadcast, and of the labels that are broadcast.
+LABEL_BYTES, BROADCAST_BYTES = 64, 64 << 20
 #: Evidence is rounded to this part of a byte, so that few distinct values are counted.
 GRAIN = 20
 
@@ -73,7 +75,7 @@ def _compressors(model: ToxicityModel) -> list[tuple]:
     def make(content: bytes):
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=model.level)
-        return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).multi_compress_to_buffer
 
     return [(make(a), make(b)) for a, b in ((model.clean + model.ordinary, model.toxic + model.ordinary), *model.further)]
 
@@ -85,13 +87,29 @@ def _pair_evidence(found: list[int]) -> float:
     return top + MEAN_WEIGHT * sum(x - MARGIN for x in found if x > MARGIN) / (len(found) + MEAN_PRIOR)
 
 
-def evidence(text: bytes, model: ToxicityModel) -> float:
-    """How much shorter the windows of a folded text are with the toxic dictionaries, in rounded bytes: the mean of all pairs."""
+def evidences(texts: list[bytes], model: ToxicityModel) -> list[float]:
+    """How much shorter the windows of each folded text are with the toxic dictionaries, in rounded bytes: the mean of all pairs.
+
+    A dictionary compresses the windows of all texts in one call.
+    """
     w = model.window
     # The last window is as long as the others: what is short hardly compresses with any dictionary.
-    pieces = [text[i : i + w] for i in range(0, len(text) - w, w)] + [text[-w:]]
-    found = [_pair_evidence([len(ordinary(p)) - len(toxic(p)) for p in pieces]) for ordinary, toxic in _compressors(model)]
-    return round(sum(found) / len(found) * GRAIN) / GRAIN
+    pieces = [[t[i : i + w] for i in range(0, len(t) - w, w)] + [t[-w:]] for t in texts]
+    flat = [p or b" " for own in pieces for p in own]
+    total = [0.0] * len(texts)
+    for ordinary, toxic in _compressors(model):
+        gain = [len(x) - len(y) for x, y in zip(ordinary(flat), toxic(flat), strict=True)] if flat else []
+        at = 0
+        for k, own in enumerate(pieces):
+            total[k] += _pair_evidence(gain[at : at + len(own)])
+            at += len(own)
+    n = len(_compressors(model))
+    return [round(x / n * GRAIN) / GRAIN for x in total]
+
+
+def evidence(text: bytes, model: ToxicityModel) -> float:
+    """:func:`evidences` of one text."""
+    return evidences([text], model)[0]
 
 
 def score_of(value: float, model: ToxicityModel) -> float:
@@ -219,7 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, max_toxic:
         models[f] = ToxicityModel(base, toxic, 1.0, clean, tuple((c + b, t + b) for c, t, b in others))
     if -1 not in models:
         return ToxicityModel(b"", b"", 0.0)
-    counted = _evidences(texts.join(lab, "doc_id"), models).groupBy("toxic", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Labels that are few by their count go to the texts; many meet them in a shuffle.
+    few = lab.count() * LABEL_BYTES <= BROADCAST_BYTES
+    counted = _evidences(texts.join(F.broadcast(lab) if few else lab, "doc_id"), models).groupBy("toxic", "evidence").agg(F.count(F.lit(1)).alias("n")).collect()
     hit, miss = (np.sort(np.repeat([r.evidence for r in counted if r.toxic is k], [r.n for r in counted if r.toxic is k])) for k in (True, False))
     values = np.unique(np.concatenate([hit, miss]))
     cuts = np.append((values[1:] + values[:-1]) / 2, values[-1:] + 1 / GRAIN)
@@ -231,10 +251,12 @@ def _evidences(docs: DataFrame, models: dict[int, ToxicityModel]) -> DataFrame:
     """toxic, evidence of whole texts, each with the model that has not seen its fold; some kilobytes go with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "text", 4 << 20):
-            use = [models.get(f, models[-1]) for f in b.column("fold").to_pylist()]
-            values = [evidence(t.translate(FOLD), m) for t, m in zip(b.column("text").to_pylist(), use, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(values, pa.float64())], names=["toxic", "evidence"])
+        for b in bounded(batches, "text"):
+            folds = b.column("fold").to_pylist()
+            for f in sorted(set(folds)):
+                part = b.filter(pa.array([x == f for x in folds], pa.bool_()))
+                values = evidences([t.translate(FOLD) for t in part.column("text").to_pylist()], models.get(f, models[-1]))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(values, pa.float64())], names=["toxic", "evidence"])
 
     return docs.select("toxic", "fold", "text").mapInArrow(run, "toxic boolean, evidence double")
 
@@ -248,8 +270,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "text", 4 << 20):
-            s = [score_of(evidence(t.translate(FOLD), model), model) if model.trained else 0.0 for t in b.column("text").to_pylist()]
+        for b in bounded(batches, "text"):
+            texts = [t.translate(FOLD) for t in b.column("text").to_pylist()]
+            s = [score_of(e, model) for e in evidences(texts, model)] if model.trained else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "score", "predicted"]
             )
@@ -267,8 +290,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col, 4 << 20):
-            texts = b.column(b.schema.get_field_index(text_col))
-            yield b.filter(pa.array([not model.trained or score_of(evidence((t.as_py() or "").encode().translate(FOLD), model), model) < 0.5 for t in texts], pa.bool_()))
+        for b in slices(batches, text_col):
+            texts = [(t.as_py() or "").encode().translate(FOLD) for t in b.column(b.schema.get_field_index(text_col))]
+            yield b.filter(pa.array([score_of(e, model) < 0.5 for e in evidences(texts, model)] if model.trained else [True] * len(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
