@@ -93,16 +93,15 @@ def evidences(texts: list[bytes], model: ToxicityModel) -> list[float]:
     A dictionary compresses the windows of all texts in one call.
     """
     w = model.window
+    index: dict[bytes, int] = {}  # windows that repeat are compressed once
     # The last window is as long as the others: what is short hardly compresses with any dictionary.
-    pieces = [[t[i : i + w] for i in range(0, len(t) - w, w)] + [t[-w:]] for t in texts]
-    flat = [p or b" " for own in pieces for p in own]
+    places = [[index.setdefault(p or b" ", len(index)) for p in (*(t[i : i + w] for i in range(0, len(t) - w, w)), t[-w:])] for t in texts]
+    pieces = list(index)
     total = [0.0] * len(texts)
     for ordinary, toxic in _compressors(model):
-        gain = [len(x) - len(y) for x, y in zip(ordinary(flat), toxic(flat), strict=True)] if flat else []
-        at = 0
-        for k, own in enumerate(pieces):
-            total[k] += _pair_evidence(gain[at : at + len(own)])
-            at += len(own)
+        gain = [len(x) - len(y) for x, y in zip(ordinary(pieces), toxic(pieces), strict=True)] if pieces else []
+        for k, own in enumerate(places):
+            total[k] += _pair_evidence([gain[i] for i in own])
     n = len(_compressors(model))
     return [round(x / n * GRAIN) / GRAIN for x in total]
 
@@ -251,7 +250,7 @@ def _evidences(docs: DataFrame, models: dict[int, ToxicityModel]) -> DataFrame:
     """toxic, evidence of whole texts, each with the model that has not seen its fold; some kilobytes go with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "text"):
+        for b in bounded(batches, "text", 4 << 20):
             folds = b.column("fold").to_pylist()
             for f in sorted(set(folds)):
                 part = b.filter(pa.array([x == f for x in folds], pa.bool_()))
@@ -270,7 +269,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, "text"):
+        for b in bounded(batches, "text", 4 << 20):
             texts = [t.translate(FOLD) for t in b.column("text").to_pylist()]
             s = [score_of(e, model) for e in evidences(texts, model)] if model.trained else [0.0] * len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -290,7 +289,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, 4 << 20):
             texts = [(t.as_py() or "").encode().translate(FOLD) for t in b.column(b.schema.get_field_index(text_col))]
             yield b.filter(pa.array([score_of(e, model) < 0.5 for e in evidences(texts, model)] if model.trained else [True] * len(texts), pa.bool_()))
 
