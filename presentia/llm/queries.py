@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presentia.llm import toxicity
+from presentia.llm.hard_negatives import hard_negatives
 from presentia.llm.html_extract import html_extract
 from presentia.llm.imatch import imatch
 from presentia.llm.license_scan import license_scan
@@ -81,6 +82,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth row of ``embeddings``, mined among all rows."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, moved, scale=256)
+
+
 OP1_SQL = """
 with n as (
   select doc_id, length(coalesce(text, '')) as n_cp,
@@ -118,9 +127,30 @@ from f
 """
 
 
+OP11_SQL = """
+with r as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.id as anchor_id, b.id as id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from r a join r b on a.id % 100 = 0 and a.id <> b.id),
+p as (
+  select anchor_id, id as positive_id, score as positive_score
+  from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank,
+       id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints, "op11_hard_negatives": op11_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_mixing": mix_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_mixing": mix_sql(), "op11_hard_negatives": OP11_SQL}
