@@ -16,6 +16,7 @@ from presentia.llm.license_scan import license_scan
 from presentia.llm.minhash import near_duplicates
 from presentia.llm.mixing import mix, mix_sql
 from presentia.llm.substring_dedup import substring_dedup
+from presentia.llm.token_files import token_round_trip
 from presentia.llm.warc import warc_round_trip
 from presentia.llm.bpe import bpe_round_trip
 from presentia.llm.exact_dedup import exact_dedup
@@ -90,6 +91,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0, moved, scale=256)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed token ids of every whole text of ``documents``, written to files and read back."""
+    return token_round_trip(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP1_SQL = """
 with n as (
   select doc_id, length(coalesce(text, '')) as n_cp,
@@ -149,7 +155,7 @@ qualify row_number() over (partition by anchor_id, positive_id order by score de
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints, "op11_hard_negatives": op11_hard_negatives}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints, "op11_hard_negatives": op11_hard_negatives, "op13_token_files": op13_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
