@@ -16,6 +16,7 @@ from presentia.llm.license_scan import license_scan
 from presentia.llm.minhash import near_duplicates
 from presentia.llm.mixing import mix, mix_sql
 from presentia.llm.substring_dedup import substring_dedup
+from presentia.llm.spelling import spelling_groups
 from presentia.llm.token_files import token_round_trip
 from presentia.llm.warc import warc_round_trip
 from presentia.llm.bpe import bpe_round_trip
@@ -91,6 +92,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0, moved, scale=256)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of whole ``documents``; some runs lose a character first."""
+    return spelling_groups(_documents(spark, sf_dir), damage=97)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed token ids of every whole text of ``documents``, written to files and read back."""
     return token_round_trip(spark, _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -154,9 +160,36 @@ qualify row_number() over (partition by anchor_id, positive_id order by score de
 """
 
 
+OP12_SQL = """
+with recursive
+bits as (select b, b as c, 0 as k from range(256) t(b) union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by b) as t from bits where k = 8),
+found as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run from documents),
+runs as (select doc_id, run, count(*) as n, hex(encode(concat(doc_id, ':', run))) as bytes from found group by all),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(cast(length(bytes) / 2 as bigint)), lambda i: cast('0x' || substr(bytes, 2 * i + 1, 2) as bigint))),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+  from runs, crc),
+result as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from result where length(word) >= 5 group by word having sum(n) >= 3),
+places as (select word, n, unnest(range(1, length(word) + 1)) as j from words),
+less as (select word, n, j, substr(word, 1, j - 1) || substr(word, j + 1) as rest from places),
+pairs as (
+  select a.word, b.word as near, b.n as near_n from less a join less b using (j, rest) where a.word <> b.word
+  union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+best as (select word, cast(count(*) as bigint) as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from pairs group by word),
+named as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * w.n then near end as form, case when near_n >= 2 * w.n then near_n end as form_n
+  from words w left join best using (word)),
+chain as (select word, word as at, form as next from named union all select c.word, c.next, m.form from chain c join named m on m.word = c.next)
+select m.word, m.form, c.at as root, m.n, m.n_near, m.form_n from named m join chain c on c.word = m.word and c.next is null
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints, "op11_hard_negatives": op11_hard_negatives, "op13_token_files": op13_token_files}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_warc": op3_warc, "op4_license_scan": op4_license_scan, "op5_html_extraction": op5_html_extraction, "op6_mixing": op6_mixing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_toxicity": op8_toxicity, "op9_byte_level_bpe": op9_byte_level_bpe, "op10_document_fingerprints": op10_document_fingerprints, "op11_hard_negatives": op11_hard_negatives, "op12_spelling_variants": op12_spelling_variants, "op13_token_files": op13_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_mixing": mix_sql(), "op11_hard_negatives": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op6_mixing": mix_sql(), "op11_hard_negatives": OP11_SQL, "op12_spelling_variants": OP12_SQL}
