@@ -46,13 +46,13 @@ FOUND = "anchor_id bigint, positive_id bigint, other_id bigint, score bigint"
 
 
 def inner_products(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors held as doubles: as long, or as Python integers where those are too short."""
+    """Exact inner products of integer vectors held as doubles, cut to what a long holds."""
     if not rows.size:
         return np.zeros(len(rows), np.int64)
     if np.linalg.norm(x) * np.linalg.norm(rows, axis=1).max() < 2**52:
         return (rows @ x).astype(np.int64)
     own = [int(v) for v in x]
-    return np.array([sum(a * int(b) for a, b in zip(own, row, strict=True)) for row in rows.tolist()], object)
+    return np.array([max(-LONG - 1, min(LONG, sum(a * int(b) for a, b in zip(own, row, strict=True)))) for row in rows.tolist()], np.int64)
 
 
 def _matrix(lists: list[pa.Array], width: int) -> np.ndarray:
@@ -128,9 +128,7 @@ class Shard:
 
 def _best(ids: np.ndarray, scores: np.ndarray) -> list[int]:
     """Positions by score, highest first, then by id."""
-    if scores.dtype == object:
-        return sorted(range(len(ids)), key=lambda k: (-scores[k], ids[k]))
-    return np.lexsort((ids, -scores)).tolist()
+    return np.lexsort((ids, ~scores)).tolist()
 
 
 def fill_windows(shard: Shard, rows: np.ndarray, bounds: np.ndarray, x: np.ndarray, windows: list[tuple[int | None, int | None]], size: int, skip: int | None) -> list[list[tuple[int, int]]]:
@@ -222,7 +220,7 @@ def _probe(rows: DataFrame, anchors: DataFrame, shards: int, width: int, scale:
                 filled = fill_windows(shard, chosen, bounds[passed], vectors[k], windows, size, ids[k] if percent is None else None)
                 for j, window in enumerate(filled):
                     positive = None if percent is None else wanted[k][j]["id"]
-                    found += [(ids[k], positive, other, max(-LONG - 1, min(LONG, score))) for other, score in window]
+                    found += [(ids[k], positive, other, score) for other, score in window]
             start = stop
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["anchor_id", "positive_id", "other_id", "score"])

@@ -46,7 +46,7 @@ FILE_IDS = 1 << 26
 #: Ids that are packed or unpacked at a time.
 CHUNK_IDS = 1 << 18
 #: Slices a worker remembers before it starts anew, and the longest that it remembers, in bytes.
-CACHE_SIZE, CACHED_BYTES = 400_000, 64
+CACHE_SIZE, CACHED_BYTES = 150_000, 64
 #: What stands for a class of characters: letter, number, other, white space.
 LETTER, NUMBER, OTHER, SPACE = ord("b"), ord("1"), ord("!"), ord("\t")
 _UNKNOWN = 0xFFFFFFFF
