@@ -161,13 +161,20 @@ class Grams:
         return max(0, *put_in, *changed)
 
     def indexed(self, word: str, shorter: int) -> list[tuple[int, int]]:
-        """The grams of ``word`` that lists of pairs whose shorter word has ``shorter`` characters need."""
+        """(end of the first, start of the last copy) of each gram that lists of pairs with a shorter word of ``shorter`` characters need.
+
+        What an edit leaves of the copies of a gram holds the first of them, before the edit, or the last, behind it.
+        """
         s, q = START + word + END, min(LONGEST, (shorter + 2) // 2)
         cut = self.cut(s, q)
         ranked = sorted((self.counts.get(s[p:e], 0), s[p:e], p, e) for p, e in cut)
-        least = self.affected(s, cut, q) + 1
-        last = ranked[min(least, len(ranked)) - 1][:2]
-        return [(p, e) for n, g, p, e in ranked if (n, g) <= last]
+        last = ranked[min(self.affected(s, cut, q) + 1, len(ranked)) - 1][:2]
+        out: dict[str, tuple[int, int]] = {}
+        for n, g, p, e in ranked:
+            if (n, g) > last:
+                break
+            out[g] = (out[g][0] if g in out else e, p)
+        return list(out.values())
 
 
 @functools.lru_cache(maxsize=1)
@@ -175,6 +182,14 @@ def _grams(key: int, held: object) -> Grams:
     return Grams(held.value)
 
 
+def _hashes(s: str) -> list[int]:
+    """Hashes of all beginnings of ``s``. Equal ones only make candidates, which are verified."""
+    out = [0]
+    for c in s:
+        out.append((out[-1] * 0x9E3779B97F4A7C15 + ord(c) + 1) % ((1 << 61) - 1))
+    return out
+
+
 def gram_lists(words: DataFrame, counts: dict[str, int], least_length: int) -> DataFrame:
     """(key, word, n, base, cut): the lists' entries; ``base`` words have the shorter length of their list.
 
@@ -184,25 +199,26 @@ def gram_lists(words: DataFrame, counts: dict[str, int], least_length: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _grams(id(held), held)
+        names, kinds = ("shorter", "place", "hash", "word", "n", "base", "cut"), (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int32())
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 rows = []
                 for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
                     s = START + word + END
+                    to, back = _hashes(s), _hashes(s[::-1])
                     for shorter in (len(word) - 1, len(word)):
                         if shorter >= least_length:
-                            for p, e in grams.indexed(word, shorter):
+                            for e, p in grams.indexed(word, shorter):
                                 if e < len(s):
-                                    rows.append((f"{shorter}<{p}:{s[:e]}", word, n, shorter == len(word), e))
+                                    rows.append((shorter, e, to[e], word, n, shorter == len(word), e))
                                 if p:
-                                    rows.append((f"{shorter}>{e - p}:{s[p:]}", word, n, shorter == len(word), -p))
+                                    rows.append((shorter, p - len(s), back[len(s) - p], word, n, shorter == len(word), -p))
                 if rows:
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shared", "word", "n", "base", "cut"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
-    entries = words.mapInArrow(run, "shared string, word string, n bigint, base boolean, cut int")
-    out = materialize(entries.select(F.xxhash64("shared").alias("key"), "word", "n", "base", "cut"), "spelling-lists")
+    entries = words.mapInArrow(run, "shorter int, place int, hash bigint, word string, n bigint, base boolean, cut int")
+    out = materialize(entries.select(F.xxhash64("shorter", "place", "hash").alias("key"), "word", "n", "base", "cut"), "spelling-lists")
     held.destroy()
     return out
 
