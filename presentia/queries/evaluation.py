@@ -142,17 +142,17 @@ AUC = "(select sum(a * (below_b + b / 2)) / (max(n_a)::double * max(n_b)) from p
 SC = duck("scored")
 
 
-def report_sql(source: str, name: str) -> str:
-    """CTEs that end in ``name``: the report row of ``source`` at the threshold."""
+def report_sql(source: str, name: str, thr: str = str(THRESHOLD)) -> str:
+    """CTEs that end in ``name``: the report row of ``source`` at the threshold, a number or a scalar subquery."""
     c = curve_sql(source)
     for k in ("hist", "cnt", "pts"):
         c = c.replace(f"{k} as (", f"{name}_{k} as (").replace(f"from {k}", f"from {name}_{k}")
     def at(t: float) -> str:
         return f"(select min(bpcer) from {name}_pts where apcer <= {t})"
 
-    return f"""{c}, {rates_sql(source, str(THRESHOLD), name + "_rates")},
+    return f"""{c}, {rates_sql(source, thr, name + "_rates")},
 {name} as (select *, (worst_apcer + bpcer) / 2 as acer, {EER.replace('from pts', f'from {name}_pts')}.r as eer, {EER.replace('from pts', f'from {name}_pts')}.t as eer_threshold,
-{AUC.replace('from pts', f'from {name}_pts')} as auc, {at(0.01)} as bpcer_at_0_01, {at(0.05)} as bpcer_at_0_05, {at(0.10)} as bpcer_at_0_10, {THRESHOLD}::double as threshold
+{AUC.replace('from pts', f'from {name}_pts')} as auc, {at(0.01)} as bpcer_at_0_01, {at(0.05)} as bpcer_at_0_05, {at(0.10)} as bpcer_at_0_10, {thr}::double as threshold
 from (select {POINT} from {name}_rates))"""
 
 

@@ -13,14 +13,11 @@ from presentia.operators import reports as R
 from presentia.operators import splits as S
 from presentia.plans.materialize import materialize, scratch_path
 from presentia.queries.adapters import adapted, duck, table
-from presentia.queries.evaluation import REPORT, _r, _scored, r9, report_sql
+from presentia.queries.evaluation import EER, REPORT, _r, _scored, curve_sql, r9, report_sql
 from presentia.queries.ingest import _split_sql
 from presentia.queries.serving import SQL as SERVING_SQL
-from presentia.sources.annotations import read_run_summary
 from presentia.streaming import faces as ST
 
-THRESHOLD = 0.45
-
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as samples: label 0 is bona fide, each id a subject."""
@@ -43,15 +40,37 @@ def i1_score_with(spark, sf):
     return M.score_with(_features(spark, sf), _first_half, "v", 64, "score").select("sample_id", F.round("score", 6).alias("score"))
 
 
-def _fitted(spark, sf):
+def _trained(spark: SparkSession, sf: str) -> str:
+    """Trains a scorer on a leak-free split and saves the run; where it is."""
     split = materialize(S.group_split(_features(spark, sf), seed=3), "split")
-    model, records = M.fit_scorer(split.filter("split = 'train'"), split.filter("split = 'val'"))
-    return split, model, records
+    if not S.split_integrity(split).isEmpty():
+        raise ValueError("the split leaks")
+    val = split.filter("split = 'val'")
+    model, records = M.fit_scorer(split.filter("split = 'train'"), val)
+    path = scratch_path(spark, "run")
+    M.save_run(path, model, records, split, M.spoof_scores(model, val))
+    return path
+
+
+def _tested(spark: SparkSession, sf: str, run: M.Run) -> DataFrame:
+    """Scores of the test groups by a saved run, of a split that is made again and verified against the run's fingerprint."""
+    split = materialize(S.group_split(_features(spark, sf), seed=3), "split")
+    return M.spoof_scores(run.model, _verified(split, run))
+
+
+def _verified(split: DataFrame, run: M.Run) -> DataFrame:
+    """The test rows of ``split``; raises if they are not those of the run."""
+    test = split.filter("split = 'test'")
+    found = S.verify_split(run.fingerprint, test, run.split_by).first()
+    if found["status"] != "verified":
+        raise ValueError(f"the split is not the recorded one: {found.asDict()}")
+    return test
 
 
 def i2_fit_scorer(spark, sf):
-    split, model, records = _fitted(spark, sf)
-    return M.spoof_scores(model, split).select("sample_id", "split", "attack_type", "score", F.lit(records[0]["threshold"]).alias("threshold"))
+    run = M.load_run(spark, _trained(spark, sf))
+    split = S.group_split(_features(spark, sf), seed=3)
+    return M.spoof_scores(run.model, split).select("sample_id", "split", "attack_type", "score", F.lit(run.threshold).alias("threshold"))
 
 
 def d24_select_checkpoint(spark, sf):
@@ -59,43 +78,45 @@ def d24_select_checkpoint(spark, sf):
 
 
 def j2_train_and_report(spark, sf):
-    split, model, records = _fitted(spark, sf)
-    if not S.split_integrity(split).isEmpty():
-        raise ValueError("the split leaks")
-    tested = M.spoof_scores(model, split.filter("split = 'test'"))
-    return R.headline(E.evaluate_at(tested, records[0]["threshold"]))
+    run = M.load_run(spark, _trained(spark, sf))
+    return R.headline(E.evaluate_at(_tested(spark, sf, run), run.threshold))
+
+
+def j3_eval_saved_scorer(spark, sf):
+    """The parts of the test report of a saved run, from what the run has stored."""
+    run = M.load_run(spark, _trained(spark, sf))
+    parts = R.test_report(_tested(spark, sf, run).withColumn("conditions", F.create_map().cast("map<string,string>")), run.threshold, "validation EER")
+    return parts["summary"].select("n_bona_fide", "n_attack", "threshold_source", *REPORT)
+
 
+def _recorded(spark: SparkSession, sf: str, seed: int = 7) -> M.Run:
+    """A run over given scores: its threshold is the EER point of the validation groups; saved and read again."""
+    split = materialize(S.group_split(_scored(spark, sf), seed=seed), "split")
+    val = split.filter("split = 'val'")
+    e = E.eer_of(E.curve(val)).first()
+    path = scratch_path(spark, "run")
+    M.save_run(path, None, [{"reg": 0.0, "val_eer": e["eer"], "threshold": e["eer_threshold"], "loss": 0.0}], split, val)
+    return M.load_run(spark, path)
 
-def _held_out(spark: SparkSession, sf: str, seed: int = 7) -> DataFrame:
-    """Scores of the test groups of a split that is made again and verified against its fingerprint."""
+
+def _held_out(spark: SparkSession, sf: str, run: M.Run, seed: int = 7) -> DataFrame:
+    """Scores of the test groups of a split that is made again and verified against the run's fingerprint."""
     scored = _scored(spark, sf)
-    split = materialize(S.group_split(scored, seed=seed), "split")
-    recorded = materialize(S.fingerprint(split, "subject"), "fingerprint")
-    test = split.filter("split = 'test'")
-    if S.verify_split(recorded, test, "subject").first()["status"] != "verified":
-        raise ValueError("the split is not the recorded one")
+    test = _verified(materialize(S.group_split(scored, seed=seed), "split"), run)
     asked = test.select("sample_id")  # the scorer answers for the test samples
     return materialize(E.join_scores(test.drop("score"), scored.join(asked, "sample_id", "left_semi").select("sample_id", "score")), "held-out")
 
 
-def _stored_threshold(spark: SparkSession, sf: str) -> float:
-    path = scratch_path(spark, "summary")
-    spark.sql(f"select to_json(named_struct('run_id', 1L, 'threshold', {THRESHOLD}D, 'split_by', 'subject')) as value").write.text(path)
-    stored = read_run_summary(spark, path).first()
-    if not stored["verifiable"]:
-        raise ValueError("no stored threshold")
-    return stored["threshold"]
-
-
 def j3_eval_held_out(spark, sf):
-    report = R.headline(E.evaluate_at(_held_out(spark, sf), _stored_threshold(spark, sf)))
+    run = _recorded(spark, sf)
+    report = R.headline(E.evaluate_at(_held_out(spark, sf, run), run.threshold))
     return report.select("n_bona_fide", "n_attack", "note", *[r9(c) for c in REPORT])
 
 
 def j4_eval_cross(spark, sf):
-    """The held-out events against all rows of ``lineitem``, at the same threshold."""
-    thr = _stored_threshold(spark, sf)
-    out = E.cross_dataset(E.evaluate_at(_held_out(spark, sf), thr), E.evaluate_at(adapted(spark, sf, "scored_big"), thr))
+    """The held-out events against all rows of ``lineitem``, at the threshold that the run has stored."""
+    run = _recorded(spark, sf)
+    out = E.cross_dataset(E.evaluate_at(_held_out(spark, sf, run), run.threshold), E.evaluate_at(adapted(spark, sf, "scored_big"), run.threshold))
     return out.select("metric", r9("source"), r9("target"), r9("delta"), "direction", "verdict")
 
 
@@ -172,6 +193,9 @@ def h6_stream_capture(spark, sf):
 
 
 SPLIT = _split_sql().replace("manifest", "scored")
+STORED = "(select t from stored)"
+#: The held-out rows and the threshold stored with their run: the EER point of the validation rows.
+HELD = f"{SPLIT}, held as (select * from spl where split = 'test'), val as (select * from spl where split = 'val'), {curve_sql('val')}, stored as (select {EER}.t as t)"
 SQL = {
     # A replayed stream gives what the batch operator gives.
     "h1_stream_trust": SERVING_SQL["c3_recognize"],
@@ -182,8 +206,8 @@ union all select run_id, epoch::bigint, case when misses < 8 and better then epo
 case when misses >= 8 then misses when better then 0 else misses + 1 end, case when misses >= 8 then last else epoch end
 from (select st.*, h.epoch, h.val_eer, h.val_loss, h.val_eer < eer - 1e-9 or (abs(h.val_eer - eer) <= 1e-9 and h.val_loss < loss) as better from st join h on h.run_id = st.run_id and h.epoch = st.seen + 1))
 select run_id, m.b as best_epoch, m.e as best_eer, m.l as stopped_at from (select run_id, arg_max(struct_pack(b := best, e := eer, l := last), seen) as m from st group by run_id)""",
-    "j3_eval_held_out": f"{duck('scored')}, {SPLIT}, held as (select * from spl where split = 'test'), {report_sql('held', 'rep')} select n_bona_fide, n_attack, case when n_bona_fide + n_attack < 200 then 'small sample' else '' end as note, {_r(*REPORT)} from rep",
-    "j4_eval_cross": f"""{duck('scored', 'scored_big')}, {SPLIT}, held as (select * from spl where split = 'test'), {report_sql('held', 'src')}, {report_sql('scored_big', 'tgt')},
+    "j3_eval_held_out": f"{duck('scored')}, {HELD}, {report_sql('held', 'rep', STORED)} select n_bona_fide, n_attack, case when n_bona_fide + n_attack < 200 then 'small sample' else '' end as note, {_r(*REPORT)} from rep",
+    "j4_eval_cross": f"""{duck('scored', 'scored_big')}, {HELD}, {report_sql('held', 'src', STORED)}, {report_sql('scored_big', 'tgt', STORED)},
 l as (select m.metric, m.source, m.target, m.target - m.source as delta from (select unnest([{', '.join(f"struct_pack(metric := '{m}', source := src.{m}, target := tgt.{m})" for m in E.COMPARED)}]) as m from src, tgt)),
 g as (select max(delta) filter (where metric = 'eer') as e, greatest(max(delta) filter (where metric = 'worst_apcer'), max(delta) filter (where metric = 'bpcer')) as o from l)
 select metric, {_r('source', 'target', 'delta')}, case when abs(delta) < 1e-9 then '=' when (delta > 0) = (metric = 'auc') then 'better' else 'worse' end as direction,

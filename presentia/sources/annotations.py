@@ -78,6 +78,6 @@ def read_run_summary(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("run_id", F.when(good, F.col("threshold")).alias("threshold"), F.when(good, F.col("split_by")).alias("split_by"), good.alias("verifiable"))
 
 
-def write_report(report: DataFrame, path: str) -> None:
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Report rows as JSON."""
-    report.select(F.to_json(F.struct(*report.columns)).alias("value")).write.mode("errorifexists").text(path)
+    report.select(F.to_json(F.struct(*report.columns)).alias("value")).write.mode(mode).text(path)

@@ -2,13 +2,17 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from presentia.operators import evaluation as E
 from presentia.operators import frames as R
 from presentia.operators import galleries as G
+from presentia.operators import models as M
 from presentia.operators import reports
+from presentia.operators import splits as S
 from presentia.operators import trust as T
+from presentia.plans.materialize import materialize
 from presentia.queries import evaluation, galleries, jobs, serving
 from presentia.queries.adapters import adapted
 from presentia.streaming import faces as ST
@@ -119,20 +123,48 @@ def brute_eer(kinds, scores):
     return ((attack < best[1]).mean() + (bona >= best[1]).mean()) / 2
 
 
-def test_the_chosen_scorer_has_the_lowest_validation_eer_and_its_report_is_right(spark, sf):
-    split, model, records = jobs._fitted(spark, sf)
-    from presentia.operators import models as M
-
-    val = M.spoof_scores(model, split.filter("split = 'val'")).collect()
+def test_the_chosen_scorer_has_the_lowest_validation_eer_and_its_reports_are_right(spark, sf):
+    # An observed frame gives the session a state that cannot be shipped; models must not carry the session along.
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    run = M.load_run(spark, jobs._trained(spark, sf))
+    split = S.group_split(jobs._features(spark, sf), seed=3)
+    val = M.spoof_scores(run.model, split.filter("split = 'val'")).collect()
     eer = brute_eer([r.attack_type for r in val], [r.score for r in val])
-    assert records[0]["val_eer"] == pytest.approx(eer) == pytest.approx(min(r["val_eer"] for r in records))
-    test = M.spoof_scores(model, split.filter("split = 'test'")).collect()
-    row = jobs.j2_train_and_report(spark, sf).first()
-    thr = records[0]["threshold"]
+    history = run.history.orderBy("place").collect()
+    assert len(history) == 3 and history[0].threshold == run.threshold and run.split_by == "subject"
+    assert history[0].val_eer == pytest.approx(eer) == pytest.approx(min(r.val_eer for r in history))
+    own = run.validation.first()
+    assert own.threshold_source == "validation EER" and own.eer == pytest.approx(eer) and own.n_bona_fide + own.n_attack == len(val)
+    test = M.spoof_scores(run.model, split.filter("split = 'test'")).collect()
     bona = [r.score for r in test if r.attack_type == "bona_fide"]
-    assert row.n_bona_fide == len(bona) and row.bpcer == pytest.approx(sum(s >= thr for s in bona) / len(bona))
-    rates = [np.mean([r.score < thr for r in test if r.attack_type == k]) for k in {r.attack_type for r in test} - {"bona_fide"}]
-    assert row.worst_apcer == pytest.approx(max(rates)) and row.eer == pytest.approx(brute_eer([r.attack_type for r in test], [r.score for r in test]))
+    rates = [np.mean([r.score < run.threshold for r in test if r.attack_type == k]) for k in {r.attack_type for r in test} - {"bona_fide"}]
+    for row in (jobs.j2_train_and_report(spark, sf).first(), jobs.j3_eval_saved_scorer(spark, sf).first()):
+        assert row.threshold == pytest.approx(run.threshold)
+        assert row.n_bona_fide == len(bona) and row.bpcer == pytest.approx(sum(s >= run.threshold for s in bona) / len(bona))
+        assert row.worst_apcer == pytest.approx(max(rates)) and row.eer == pytest.approx(brute_eer([r.attack_type for r in test], [r.score for r in test]))
+    assert jobs.i2_fit_scorer(spark, sf).count() == split.count()
+
+
+def test_runs_are_refused_unless_whole_and_are_never_replaced(spark, sf, tmp_path):
+    scored = materialize(S.group_split(evaluation._scored(spark, sf), seed=7), "split")
+    val, records = scored.filter("split = 'val'"), [{"reg": 0.0, "val_eer": 0.3, "threshold": 0.5, "loss": 0.0}]
+    M.save_run(f"{tmp_path}/a", None, records, scored, val)
+    run = M.load_run(spark, f"{tmp_path}/a")
+    assert run.model is None and run.threshold == 0.5
+    with pytest.raises(ValueError, match="already"):
+        M.save_run(f"{tmp_path}/a", None, records, scored, val)
+    other = S.group_split(evaluation._scored(spark, sf), seed=8)
+    with pytest.raises(ValueError, match="recorded"):
+        jobs._verified(other, run)
+    assert jobs._verified(scored, run).count() > 0
+    with pytest.raises(ValueError, match="no run"):
+        M.load_run(spark, f"{tmp_path}/b")
+    for k, text in enumerate(("{", '{"run_id": 1, "split_by": "subject"}', "")):
+        spark.createDataFrame([(text,)], "value string").write.text(f"{tmp_path}/c{k}/summary")
+        with pytest.raises(ValueError, match="no run"):
+            M.load_run(spark, f"{tmp_path}/c{k}")
 
 
 @pytest.mark.parametrize("limit", [1 << 30, 0])
