@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presentia.plans.materialize import materialize, release
@@ -85,12 +85,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         for d, target in fitted.items():
             out = _fit(out, d, target)
         # A plan that feeds on itself grows with each round: every round is written, and the one before it goes.
-        seen = Observation()
-        out = materialize(out.observe(seen, F.max("moved").alias("most")), f"mix-{r}")
+        out = materialize(out, f"mix-{r}")
         if last is not None:
             release(last)
         last, cur = out, out.select(*DIMS, "tokens", "raked")
-        if r and (seen.get["most"] or 0.0) < STILL:
+        if r and (out.agg(F.max("moved")).first()[0] or 0.0) < STILL:
             break
     for target in fitted.values():
         release(target)
