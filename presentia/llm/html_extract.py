@@ -5,15 +5,18 @@ tags, the characters in links and the element it stands in. The text-to-tag rati
 a Gaussian and split at a threshold between its two clusters. The lines above it are content: they vote for the
 elements around them with their length. From the innermost container that holds nearly all of their text the
 article is found upwards: the enclosing article or main element, else the ancestors as long as what they add is
-mostly no links. Its lines below the threshold are kept too (headings, short paragraphs, lists), but for runs
-of links alone, and, directly below the page's body, for parts without any content line or heading.
-
-Element names, roles, classes and ids are evidence besides: lines in menus, page headers, footers, sidebars,
-notices, adverts, forms and reader comments do not vote and are not returned. This evidence says nothing on the
-page's own frame (html, body, main, article) nor on an element that holds nearly all text of the page.
-
-Time and memory are linear in the page, however deep it is. Pages are independent: one pass without a shuffle, a
-bounded number of bytes at a time.
+mostly no links. Its lines below the threshold are kept too (headings, short paragraphs, lists), but, where no
+article or main element says what belongs to it, for runs of links in parts without any content line, and,
+directly below the page's body, for parts without any content line or heading.
+
+Element names and roles are evidence besides: lines in menus, page headers, footers, sidebars, dialogs and reader
+comments do not vote and are not returned, unless they are nearly all text of the page. Classes, ids and form
+elements are weaker evidence. They are set against the clusters: an element that holds most of the content lines'
+text, or the headline with a good part of it, is no advert, sidebar or notice whatever its name. Nothing of this
+speaks of the page's own frame (html, body, main, article).
+
+Time and memory are linear in the page, however deep it is and whatever is left open in it. Pages are independent:
+one pass without a shuffle, a bounded number of bytes at a time.
 """
 
 from __future__ import annotations
@@ -33,31 +36,40 @@ from presentia.llm.arrow_text import bounded
 CONTAINERS = frozenset("html body main article section div aside nav header footer form table tbody thead tfoot tr td th ul ol dl figure details dialog fieldset center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption address hr caption legend summary option".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object head title select textarea button canvas audio video".split())
-OUTSIDE = frozenset("nav header footer aside form dialog menu".split())
+OUTSIDE = frozenset("nav header footer aside dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of a class or id that mark what is no article, first or last in the name.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead topbar comment comments commentlist respond disqus cookie cookies consent gdpr notification popup modal newsletter subscribe "
-    "subscription paywall social sharing recommended login signup toolbar pagination pager".split()
+    "sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist responses replies disqus "
+    "cookie cookies consent gdpr advert adverts advertisement advertising adsense pagination".split()
 )
+#: Words that topics have too: they mark as a whole name, last in one, or first before a part that names a place or gadget.
+BUSY = frozenset("ad ads banner promo promotion sponsor sponsored notification popup modal newsletter subscribe subscription paywall social sharing recommended login signup toolbar pager respond".split())
 #: Names that mark only as a whole.
 WHOLE = frozenset("widget widgets".split())
 #: Words that content uses too: they mark as a whole name, last in one, or first before a part of GADGETS.
 WEAK = frozenset("header notice notices overlay related share search copyright legal disclaimer skip hidden".split())
 GADGETS = frozenset("bar box button buttons form icons link links list menu popup posts tools widget".split())
+PLACES = frozenset("area block body bottom container content inner item items left right section slot top unit wrap wrapper x".split())
 #: First parts of names that say something about the page, not what the element is.
 STATES = frozenset("no not has have with without is".split())
 #: First parts of the article's own elements; a weak word after them does not mark.
 OWN = frozenset("article post entry content story text body title main section".split())
-COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+COMMENTS = frozenset("comment comments commentlist respond responses replies disqus".split())
+#: What only adverts are called; other marks do not drop a paragraph that is content.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo".split())
 FRAME = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WRITTEN = HEADINGS | frozenset("p blockquote pre".split())
 LAYOUT = frozenset("div section center table details".split())
+LISTS = frozenset("ul ol dl table tbody tr".split())
 #: Lines of links alone, in a row and below the threshold, that are a menu.
 LINK_RUN = 3
+#: The part of the content that an element with the headline holds if it is the article, and any other.
+WITH_HEADLINE, MOST = 0.2, 0.5
 _NAMES = re.compile(r"[a-z]+")
+_UNFINISHED = re.compile(r"""</?[a-zA-Z][\w:-]*(?:\s+[\w:-]+\s*=[^<]*)?\s*""")
 
 
 def _marks(name: str) -> bool:
@@ -68,32 +80,53 @@ def _marks(name: str) -> bool:
     if name in WHOLE:
         return True
     first, last = parts[0], parts[-1]
-    if first in MARKS or last in MARKS:
+    if first in MARKS or last in MARKS or last in BUSY:
+        return True
+    if first in BUSY and (last in GADGETS or last in PLACES or last in WEAK):
         return True
     if first in WEAK and (len(parts) == 1 or last in GADGETS):
         return True
     return last in WEAK and first not in OWN
 
 
-#: What is known of an element: nothing, that it is no article, that it holds reader comments.
-NOTHING, OUTSIDE_PART, COMMENT_PART = 0, 1, 2
+#: What is known of an element: nothing, a name that marks it, that it is no article, that it holds reader comments.
+NOTHING, NAMED, ADVERT, OUTSIDE_PART, COMMENT_PART = range(5)
 
 
 def _evidence(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
     """What element, role, class and id say."""
     if tag in FRAME:
         return NOTHING
-    kind = OUTSIDE_PART if tag in OUTSIDE and not (tag == "header" and in_article) else NOTHING
+    kind = OUTSIDE_PART if tag in OUTSIDE and not (tag == "header" and in_article) else NAMED if tag == "form" else NOTHING
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in ROLES:
-            kind = OUTSIDE_PART
-        elif name in ("class", "id") and value:
+            kind = max(kind, OUTSIDE_PART)
+        elif (name == "class" or name == "id" and tag not in HEADINGS) and value:
             for one in value.lower().split():
                 if _marks(one) and not (tag == "header" and in_article):
-                    kind = max(kind, OUTSIDE_PART if COMMENTS.isdisjoint(_NAMES.findall(one)) else COMMENT_PART)
+                    parts = _NAMES.findall(one)
+                    kind = max(kind, COMMENT_PART if not COMMENTS.isdisjoint(parts) else NAMED if ADVERTS.isdisjoint(parts) else ADVERT)
     return kind
 
 
+def closed(html: str) -> str:
+    """``html`` with what is left open at its end closed, so that the parser never looks for an end that is not there.
+
+    Comments that nothing ends end at once, a tag that breaks off goes, other brackets behind the last tag are text.
+    """
+    at = max(html.rfind("-->") + 3, html.rfind("--!>") + 4, 4)
+    at = 0 if at == 4 and not html.startswith("--!>") else at
+    if "<!--" in html[at:]:
+        html = html[:at] + html[at:].replace("<!--", "<!---->")
+    at = html.rfind(">") + 1
+    tail = html[at:]
+    if "<" in tail:
+        if _UNFINISHED.fullmatch(tail, tail.rfind("<")):
+            tail = tail[: tail.rfind("<")]
+        html = html[:at] + tail.replace("<", "&lt;")
+    return html
+
+
 @dataclass(frozen=True)
 class Line:
     """The text of a block, its inline tags, the element it stands in, its characters in links, and whether it is the headline."""
@@ -247,13 +280,44 @@ def _within(parent: list[int], amounts: Iterable[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _disregarded(page: Lines, share: float) -> list[bool]:
-    """Which elements evidence excludes: none that holds ``share`` of the page's text; for comments, all of it."""
+def _content(lines: list[Line], sigma: float, clusters: bool) -> list[bool]:
+    """Which lines stand above the threshold of the smoothed ratios."""
+    if not lines:
+        return []
+    ratio = _smoothed([len(line.text) / max(1, line.tags) for line in lines], sigma)
+    cut = _threshold(ratio) if clusters else 0.0
+    return [r >= cut for r in ratio]
+
+
+def _outside(page: Lines, share: float) -> list[bool]:
+    """The elements that are no article by their name or role: none that holds ``share`` of the page's text; for comments, all of it."""
     held = _within(page.parent, ((line.node, len(line.text)) for line in page.lines))
     out = [False] * len(page.parent)
     for node in range(1, len(page.parent)):
         kind = page.kind[node]
-        out[node] = out[page.parent[node]] or kind != NOTHING and held[node] < (held[0] if kind == COMMENT_PART else share * held[0])
+        out[node] = out[page.parent[node]] or kind >= OUTSIDE_PART and held[node] < (held[0] if kind == COMMENT_PART else share * held[0])
+    return out
+
+
+def _named(page: Lines, lines: list[Line], content: list[bool]) -> list[bool]:
+    """The elements whose class or id, or being a form, tells that they are no article, as far as the content lines agree.
+
+    They can only disagree about what stands in or around an article or main element, if the page has one.
+    """
+    text = _within(page.parent, ((line.node, len(line.text)) for line, c in zip(lines, content, strict=True) if c and 2 * line.linked < len(line.text)))
+    headlines = _within(page.parent, ((line.node, 1) for line in lines if line.headline))
+    some = _within(page.parent, ((line.node, 1) for line in lines))
+    bodies = _within(page.parent, ((node, 1) for node, tag in enumerate(page.tag) if tag in ("article", "main") and some[node]))
+    inside = [False] * len(page.parent)
+    out = [False] * len(page.parent)
+    for node in range(1, len(page.parent)):
+        above = page.parent[node]
+        inside[node] = inside[above] or page.tag[node] in ("article", "main")
+        marked = page.kind[node] in (NAMED, ADVERT)
+        if marked and text[0] and (inside[node] or bodies[node] or not bodies[0]):
+            least = WITH_HEADLINE if headlines[node] else MOST
+            marked = text[node] < least * text[0] and not (page.kind[node] == NAMED and page.tag[node] in WRITTEN and (text[node] or page.tag[node] in HEADINGS))
+        out[node] = out[above] or marked
     return out
 
 
@@ -277,8 +341,10 @@ def _article(page: Lines, lines: list[Line], at: int) -> int:
 
 
 def _kept(page: Lines, lines: list[Line], content: list[bool], article: int) -> Iterator[str]:
-    """The article's lines, but for runs of links below the threshold, and parts of a body without content or heading."""
+    """The article's lines, but for what no article element vouches for: runs of links apart from content, and parts of a body without content or heading."""
     n = len(page.parent)
+    written = _within(page.parent, ((line.node, 1) for line, c in zip(lines, content, strict=True) if c and 2 * line.linked < len(line.text)))
+    vouched = page.tag[article] in ("article", "main")
     telling = _within(page.parent, ((line.node, 1) for line, c in zip(lines, content, strict=True) if c or line.heading))
     inside = [False] * n
     inside[article] = True
@@ -287,19 +353,28 @@ def _kept(page: Lines, lines: list[Line], content: list[bool], article: int) ->
         if node != article and inside[page.parent[node]]:
             bare = frame and page.tag[page.parent[node]] in ("#page", "html", "body") and page.tag[node] in LAYOUT and not telling[node]
             inside[node] = not bare
-    run: list[str] = []
+    run: list[Line] = []
+
+    def menu() -> bool:
+        if len(run) < LINK_RUN or vouched:
+            return False
+        at = run[0].node
+        while at and (page.tag[at] in LISTS or page.tag[at] in ("li", "dt", "dd", "td", "th", "p")):
+            at = page.parent[at]
+        return page.tag[at] in ("#page", "html", "body") or not written[at]
+
     for line, c in zip(lines, content, strict=True):
         if not inside[line.node]:
             continue
         if not c and not line.heading and 10 * line.linked >= 9 * len(line.text):
-            run.append(line.text)
+            run.append(line)
             continue
-        if len(run) < LINK_RUN:
-            yield from run
+        if not menu():
+            yield from (x.text for x in run)
         run = []
         yield line.text
-    if len(run) < LINK_RUN:
-        yield from run
+    if not menu():
+        yield from (x.text for x in run)
 
 
 def extract_text(html: str, sigma: float = 1.0, share: float = 0.9, evidence: bool = True, clusters: bool = True) -> str:
@@ -308,17 +383,17 @@ def extract_text(html: str, sigma: float = 1.0, share: float = 0.9, evidence: bo
     Without ``evidence`` names, roles, classes and ids are not looked at; without ``clusters`` every line is content.
     """
     page = Lines()
-    page.feed(html)
+    page.feed(closed(html))
     page.close()
     lines = page.lines
     if evidence:
-        excluded = _disregarded(page, share)
+        excluded = _outside(page, share)
+        lines = [line for line in lines if not excluded[line.node]]
+        excluded = _named(page, lines, _content(lines, sigma, clusters))
         lines = [line for line in lines if not excluded[line.node]]
     if not lines:
         return ""
-    ratio = _smoothed([len(line.text) / max(1, line.tags) for line in lines], sigma)
-    cut = _threshold(ratio) if clusters else 0.0
-    content = [r >= cut for r in ratio]
+    content = _content(lines, sigma, clusters)
     votes = _within(page.parent, ((line.node, len(line.text)) for line, c in zip(lines, content, strict=True) if c))
     # Elements with most of the votes lie within each other, the innermost one opened last.
     at = next(node for node in range(len(votes) - 1, -1, -1) if votes[node] >= share * votes[0] and (page.tag[node] in CONTAINERS or not node))
