@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,24 +150,32 @@ def h1_stream_trust(spark, sf):
     return spark.read.parquet(sink).select("face_id", "name", F.round("similarity", 6).alias("similarity"), "is_live", "status")
 
 
-def h2_stream_score_history(spark, sf):
-    stream, _ = _stream(spark, sf)
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """Streams that start inside keep their state in RocksDB."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _collected(spark, ST.stream_score_history(stream, ttl_ms=24 * 3600 * 1000)).withColumn("mean_score", F.round("mean_score", 6))
+        yield
     finally:
         spark.conf.set(key, before)
 
 
+def h2_stream_score_history(spark, sf):
+    stream, _ = _stream(spark, sf)
+    with _rocksdb(spark):
+        return _collected(spark, ST.stream_score_history(stream, ttl_ms=24 * 3600 * 1000)).withColumn("mean_score", F.round("mean_score", 6))
+
+
 def h3_stream_enroll(spark, sf):
     stream, _ = _stream(spark, sf)
     root = scratch_path(spark, "live-gallery")
-    adapted(spark, sf, "gallery").withColumn("ordinal", F.col("ordinal").cast("bigint")).write.parquet(f"{root}/version=0")
+    G.write_gallery(adapted(spark, sf, "gallery"), root, 0)
     probes = adapted(spark, sf, "probes").select(F.col("probe_id").alias("vec_id"), "v")
     named = stream.withColumn("name", F.concat(F.lit("p"), (F.col("vec_id") % 10).cast("string")))
-    ST.stream_enroll(named, probes, root, 64, 0.5, (640, 480), scratch_path(spark, "offsets")).awaitTermination()
+    with _rocksdb(spark):
+        ST.stream_enroll(named, probes, root, 64, 0.5, (640, 480), scratch_path(spark, "offsets")).awaitTermination()
     return G.gallery_summary(G.read_gallery(spark, root, 64))
 
 

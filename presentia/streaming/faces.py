@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from presentia.functions.vectors import finite
 from presentia.operators import galleries as G
-from presentia.operators.frames import HISTORY, LEAST_FACE, MIN_GAP, STRIDE, thin_frames, with_cells
-from presentia.operators.trust import enroll_guard, enroll_reject_reason, recognize
+from presentia.operators.frames import HISTORY, LEAST_FACE, MIN_GAP, STRIDE, with_cells
+from presentia.operators.trust import enroll_reject_reason, is_live, recognize
 from presentia.plans.materialize import materialize
+from presentia.sources import gallery_store as store
 
 
 def read_faces(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -75,35 +78,97 @@ def stream_score_history(faces: DataFrame, ttl_ms: int, n: int = HISTORY) -> Dat
     return keyed.transformWithStateInPandas(_History(n, ttl_ms), schema, "Append", "None")
 
 
-def stream_enroll(faces: DataFrame, embeddings: DataFrame, root: str, dim: int, threshold: float, frame: tuple[int, int], checkpoint: str, min_gap: int = MIN_GAP) -> StreamingQuery:
-    """Usable live faces go through :func:`presentia.operators.galleries.enroll`; each batch makes one gallery version.
+class _Gaps(StatefulProcessor):
+    """Of one camera: the usable faces that are alone in their frame and far enough from the last one accepted of their name.
+
+    State is one frame number for each name.
+    """
+
+    def __init__(self, min_gap: int):
+        self.min_gap = min_gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "name string", "frame_id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        data = pd.concat(list(rows))
+        alone = data.groupby("frame_id")["face_id"].transform("size") == 1
+        data, held, out = data[alone & data["usable"]].sort_values(["frame_id", "face_id"]), {}, []
+        for r in data.itertuples(index=False):
+            if r.name not in held:
+                held[r.name] = self.last.getValue((r.name,))[0] if self.last.containsKey((r.name,)) else None
+            if held[r.name] is None or r.frame_id - held[r.name] >= self.min_gap:
+                held[r.name] = int(r.frame_id)
+                out.append((r.name, key[0], int(r.frame_id), int(r.face_id), int(r.vec_id)))
+        for name in {r[0] for r in out}:
+            self.last.updateValue((name,), (held[name],))
+        yield pd.DataFrame(out, columns=["name", "camera", "frame_id", "face_id", "vec_id"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Enrolled(StatefulProcessor):
+    """Of one name: the vectors that the gallery takes; state is those it has, ``cap`` at most."""
+
+    def __init__(self, cap: int, duplicate: float):
+        self.cap, self.duplicate = cap, duplicate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.vectors = handle.getListState("vectors", "v array<double>")
+
+    def handleInitialState(self, key, old: pd.DataFrame, timer) -> None:
+        """The vectors of the gallery at the start, in order."""
+        self.vectors.put([([float(x) for x in v],) for v in old.sort_values("ordinal")["v"][: self.cap]])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        data = pd.concat(list(rows)).sort_values("face_id")
+        held = [np.array(v, float) for (v,) in self.vectors.get()] if self.vectors.exists() else []
+        units, out = [G.unit_vector(v) for v in held], []
+        for r in data.itertuples(index=False):
+            unit = G.unit_vector(np.array(r.v, float))
+            kept = len(units) < self.cap and (not units or max(float(u @ unit) for u in units) < self.duplicate)
+            if kept:
+                units.append(unit)
+                self.vectors.appendValue(([float(x) for x in r.v],))
+            out.append((key[0], int(r.camera), int(r.frame_id), int(r.face_id), [float(x) for x in r.v], kept))
+        yield pd.DataFrame(out, columns=["name", "camera", "frame_id", "face_id", "v", "kept"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_enroll(
+    faces: DataFrame, embeddings: DataFrame, root: str, dim: int, threshold: float, frame: tuple[int, int], checkpoint: str, min_gap: int = MIN_GAP, cap: int = G.CAP, duplicate: float = G.DUPLICATE
+) -> StreamingQuery:
+    """Usable live faces are enrolled by the rules of :func:`presentia.operators.galleries.enroll`; each batch that brings any makes one gallery version.
 
     ``faces`` has a ``name`` column. A face is usable if its frame (camera, frame_id) has no other, it is live, has an
-    embedding and none of the reasons against it; accepted frames of a name and camera lie ``min_gap`` apart, also
-    across batches: what each batch accepted is written below ``root``. Version and log carry the batch number, so a
-    repeated batch rewrites the same ones.
+    embedding of ``dim`` finite numbers and none of the reasons against it; accepted frames of a name and camera lie
+    ``min_gap`` apart, also across batches. What must be known of the past is keyed state: the last frame of each camera
+    and name, and the vectors of each name, which start as those of the gallery. A batch writes the vectors that it
+    adds and the frames that it accepted (below ``root``-accepted), so it costs what it brings. Versions remember the
+    batch, and a repeated one adds nothing. Needs the RocksDB state store.
     """
+    spark = faces.sparkSession
+    good = enroll_reject_reason(*frame, threshold).isNull() & is_live(F.col("spoof_probability"), threshold) & F.col("vec_id").isNotNull() & (F.trim("name") != "")
+    usable = faces.select("camera", "frame_id", "face_id", F.trim("name").alias("name"), "vec_id", F.coalesce(good, F.lit(False)).alias("usable"))
+    gaps = usable.groupBy("camera").transformWithStateInPandas(_Gaps(min_gap), "name string, camera bigint, frame_id bigint, face_id bigint, vec_id bigint", "Append", "None")
+    known = embeddings.select("vec_id", F.col("v").cast("array<double>").alias("v")).filter((F.size("v") == dim) & finite(F.col("v")))
+    accepted = gaps.join(known, "vec_id").select("name", "camera", "frame_id", "face_id", "v")
+    old = G.read_gallery(spark, root, dim).select("name", "ordinal", F.col("v").cast("array<double>").alias("v"))
+    enrolled = accepted.groupBy("name").transformWithStateInPandas(
+        _Enrolled(cap, duplicate), "name string, camera bigint, frame_id bigint, face_id bigint, v array<double>, kept boolean", "Append", "None", old.groupBy("name")
+    )
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = materialize(batch, "enroll-batch")
-        old = spark.read.parquet(f"{root}/version={number}")
-        alone = enroll_guard(batch, ["camera", "frame_id"], threshold).filter("reason is null").select("camera", "frame_id")
-        usable = batch.filter(enroll_reject_reason(*frame, threshold).isNull()).join(alone, ["camera", "frame_id"], "left_semi")
-        by = ["name", "camera"]
-        if number:
-            log = spark.read.schema("name string, camera bigint, frame_id bigint, batch int").parquet(f"{root}-accepted").filter(F.col("batch") < number)
-            last = log.groupBy(*by).agg(F.max("frame_id").alias("last"))
-            usable = usable.join(last, by, "left").filter(F.col("last").isNull() | (F.col("frame_id") - F.col("last") >= min_gap)).drop("last")
-        usable = materialize(usable, "enroll-usable")
-        chosen = materialize(thin_frames(usable, by, min_gap=min_gap, target=1 << 62), "enroll-chosen")
-        chosen.write.mode("overwrite").parquet(f"{root}-accepted/batch={number}")
-        accepted = usable.join(chosen, [*by, "frame_id"], "left_semi").join(embeddings, "vec_id")
-        kept = G.enroll(old, accepted.select("name", F.col("face_id").alias("arrival"), "v"), dim)
-        new = kept.select("name", (F.col("arrival") + F.lit(1 << 40)).alias("ordinal"), F.col("v").cast("array<float>").alias("v"))
-        old.select("name", F.col("ordinal").cast("bigint").alias("ordinal"), "v").unionByName(new).write.mode("overwrite").parquet(f"{root}/version={number + 1}")
+        batch = materialize(batch, "enroll-batch")  # state moves once
+        batch.select("name", "camera", "frame_id").write.mode("overwrite").parquet(f"{root}-accepted/batch={number}")
+        new = batch.filter("kept").select("name", (F.col("face_id") + F.lit(1 << 40)).alias("ordinal"), "v")
+        store.append(new, root, (store.stream_name(batch.sparkSession, checkpoint), number))
+        store.compact(batch.sparkSession, root, 64)
 
-    return faces.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return enrolled.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def frame_stats(faces: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -15,6 +15,7 @@ from presentia.operators import trust as T
 from presentia.plans.materialize import materialize
 from presentia.queries import evaluation, galleries, jobs, serving
 from presentia.queries.adapters import adapted
+from presentia.sources import gallery_store as store
 from presentia.streaming import faces as ST
 
 
@@ -83,20 +84,62 @@ def test_enrolment_stream_keeps_gaps_across_batches_and_single_live_faces(spark,
             rows.append((number, "a", 0, frame, 0, 0, 200, 200, p, number % dim, 90.0))
             number += 1
     schema = "face_id bigint, name string, camera bigint, frame_id bigint, x1 int, y1 int, x2 int, y2 int, spoof_probability double, vec_id bigint, sharpness double"
-    for part in (rows[:7], rows[7:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    spark.createDataFrame([], "name string, ordinal bigint, v array<float>").write.parquet(f"{tmp_path}/g/version=0")
+    root = f"{tmp_path}/g"
+    G.write_gallery(spark.createDataFrame([("b", 7, eye[0])], "name string, ordinal bigint, v array<float>"), root, 0, threshold=0.5)
     vectors = spark.createDataFrame(list(enumerate(eye)), "vec_id bigint, v array<double>")
-    stream = ST.read_faces(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema)
-    ST.stream_enroll(stream, vectors, f"{tmp_path}/g", dim, 0.5, (640, 480), f"{tmp_path}/ck").awaitTermination()
-    log = [(r.batch, r.frame_id) for r in spark.read.parquet(f"{tmp_path}/g-accepted").collect()]
     want, last = [], None
     for frame, n, p in shots:
         if n == 1 and p is not None and p < 0.5 and (last is None or frame - last >= R.MIN_GAP):
             want.append(frame)
             last = frame
-    assert sorted(f for _, f in log) == want == [0, 15, 27, 60]
-    assert G.read_gallery(spark, f"{tmp_path}/g", dim).count() == 3  # frame 27 shows what frame 0 did
+    # The stream ends and starts again between its batches.
+    for part in (rows[:7], rows[7:9], rows[9:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with jobs._rocksdb(spark):
+            stream = ST.read_faces(spark, f"{tmp_path}/in", spark.createDataFrame(rows, schema).schema)
+            ST.stream_enroll(stream, vectors, root, dim, 0.5, (640, 480), f"{tmp_path}/ck").awaitTermination()
+    log = [(r.batch, r.frame_id) for r in spark.read.parquet(f"{root}-accepted").collect()]
+    assert sorted(f for _, f in log) == want == [0, 15, 27, 60] and len({b for b, _ in log}) > 1
+    assert G.read_gallery(spark, root, dim).filter("name = 'a'").count() == 3  # frame 27 shows what frame 0 did
+    now = store.read(spark, root)
+    assert now.threshold == 0.5 and len(now.entry.parts) == now.version + 1 and now.vectors.count() == 4
+    # A batch that comes again adds nothing.
+    again = store.append(now.vectors, root, (store.stream_name(spark, f"{tmp_path}/ck"), 0))
+    assert again.version == now.version
+
+
+def test_galleries_are_whole_whatever_happens_to_their_writers(spark, tmp_path):
+    root, schema = f"{tmp_path}/g", "name string, ordinal bigint, v array<double>"
+    rows = lambda *names: spark.createDataFrame([(n, k, [1.0, float(k)]) for k, n in enumerate(names)], schema)
+    meta = spark.createDataFrame([("a", "friend", "2020")], store.META)
+    with pytest.raises(ValueError, match="no gallery"):
+        store.read(spark, root)
+    G.write_gallery(rows("a", "b"), root, 1, meta, 0.4)
+    reader = store.read(spark, root)
+    # Torn versions: data without an entry, an entry that was never renamed.
+    rows("torn").write.parquet(f"{root}/data/vectors-torn")
+    (tmp_path / "g" / "_log" / ".half").write_text('{"version": 2, "par')
+    assert store.versions(spark, root) == [1] and store.read(spark, root).vectors.count() == 2
+    # Two writers from one version: the second is refused, and what it has written is not seen.
+    base = store.entry(spark, root)
+    store.replace(rows("a", "b", "c"), root, base=base)
+    with pytest.raises(store.VersionTaken):
+        store.replace(rows("z"), root, base=base)
+    with pytest.raises(store.VersionTaken):
+        G.write_gallery(rows("z"), root, 2)
+    assert {r.name for r in G.read_gallery(spark, root, 2).collect()} == {"a", "b", "c"}
+    # A reader that began before sees its version, and meta and threshold stay with what follows.
+    assert {r.name for r in reader.vectors.collect()} == {"a", "b"} == {r.name for r in G.read_gallery(spark, root, 2, version=1).collect()}
+    now = store.read(spark, root)
+    assert now.threshold == 0.4 and now.meta.collect() == reader.meta.collect()
+    # Appending is tried again on what another writer left; compaction keeps the rows; vacuum what is named.
+    for k in range(4):
+        store.append(rows(f"n{k}"), root)
+    assert len(store.entry(spark, root).parts) == 5 and store.append(rows("x").limit(0), root).version == 6
+    assert len(store.compact(spark, root, 4).parts) == 1 and store.read(spark, root).vectors.count() == 7
+    gone = store.vacuum(spark, root, keep=1)
+    assert "data/vectors-torn" in gone and store.versions(spark, root) == [7] and store.read(spark, root).vectors.count() == 7
+    assert store.read(spark, root).meta.count() == 1
 
 
 def test_enrolment_of_the_table_against_a_plain_fold(spark, sf):
