@@ -211,8 +211,10 @@ def test_runs_are_refused_unless_whole_and_are_never_replaced(spark, sf, tmp_pat
 
 
 @pytest.mark.parametrize("limit", [1 << 30, 0])
-def test_matching_by_broadcast_and_by_blocks_are_the_same(spark, sf, limit, monkeypatch):
-    monkeypatch.setattr(G, "BLOCK", 64)
+def test_matching_by_broadcast_and_by_pivots_are_the_same(spark, sf, limit, monkeypatch):
+    monkeypatch.setattr(G, "PIVOT_ROWS", 20)
+    monkeypatch.setattr(G, "HELD_BYTES", 5000)
+    monkeypatch.setattr(G, "HELD_PROBES", 70)
     out = G.identify(adapted(spark, sf, "probes"), adapted(spark, sf, "gallery"), broadcast_bytes=limit).collect()
     own = sorted(adapted(spark, sf, "gallery").collect(), key=lambda r: r.ordinal)
     m = np.array([r.v for r in own], float)
@@ -224,6 +226,44 @@ def test_matching_by_broadcast_and_by_blocks_are_the_same(spark, sf, limit, monk
         assert r.similarity == pytest.approx(sims.max()) and (r.name == own[int(sims.argmax())].name if sims.max() >= G.THRESHOLD else r.name is None)
 
 
+def clustered(seed, n, dim=16, centres=12, spread=0.05):
+    """Vectors around a few centres, with repeated, zero and tiny ones."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    rows = middle[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))
+    rows[5], rows[6], rows[7] = rows[4], 0.0, 1e-14 * rows[8]
+    return rows
+
+
+def test_pivots_skip_pairs_and_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(G, "PIVOT_ROWS", 16)
+    monkeypatch.setattr(G, "BLOCK", 40)
+    own, asked = clustered(1, 400), clustered(1, 400)[::3] + 0.01
+    gallery = spark.createDataFrame([(f"n{k % 7}", k, v.tolist()) for k, v in enumerate(own)], "name string, ordinal bigint, v array<double>")
+    probes = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(asked)], "probe_id bigint, v array<double>")
+    unit, ask = G._unit(own), G._unit(asked)
+    out = {r.probe_id: r for r in G.identify(probes, gallery, 0.9, broadcast_bytes=0).collect()}
+    sims = ask @ unit.T
+    for k in range(len(asked)):
+        best = np.flatnonzero(np.isclose(sims[k], sims[k].max(), rtol=0, atol=1e-12))[0]
+        assert out[k].similarity == pytest.approx(sims[k].max(), abs=1e-9) and out[k].name == (f"n{best % 7}" if sims[k].max() >= 0.9 else None)
+    assert G.computed_share(probes, gallery) < 0.5
+    for least in (0.95, 0.3, -1.0):
+        got = {(r.a, r.b): r for r in G.pair_similarities(gallery, least).collect()}
+        all_sims = unit @ unit.T
+        want = {(i, j) for i in range(400) for j in range(i + 1, 400) if all_sims[i, j] >= least}
+        edge = {(i, j) for i, j in want ^ set(got) if abs(all_sims[i, j] - least) > 1e-9}
+        assert not edge and all(r.genuine == (a % 7 == b % 7) for (a, b), r in got.items())
+    with pytest.raises(ValueError, match="pairs"):
+        G.pair_similarities(gallery, most_pairs=1000)
+    # One vector that is not finite makes every similarity doubtful, a doubtful probe only its own.
+    bad = gallery.unionByName(spark.createDataFrame([("x", 900, [float("nan")] * 16)], gallery.schema))
+    assert {(r.name, r.similarity) for r in G.identify(probes, bad, 0.9, broadcast_bytes=0).collect()} == {(None, 0.0)}
+    odd = probes.unionByName(spark.createDataFrame([(900, [float("inf")] * 16)], probes.schema))
+    again = {r.probe_id: (r.name, r.similarity) for r in G.identify(odd, gallery, 0.9, broadcast_bytes=0).collect()}
+    assert again.pop(900) == (None, 0.0) and again == {k: (r.name, pytest.approx(r.similarity, abs=1e-12)) for k, r in out.items()}
+
+
 def test_pair_counts_hold_all_pairs_and_blocks_do_not_matter(spark, sf, monkeypatch):
     g = adapted(spark, sf, "gallery_all")
     whole = sorted(map(tuple, G.pair_counts(g).select("genuine", "similarity", "n").collect()))
