@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presentia.plans.materialize import materialize
@@ -148,10 +148,17 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smallest id, of repeated rows one stays, an empty table stays empty. The user's columns travel in one
     struct, so that none of their names is taken.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    found = exact_dedup(docs, id_col, text_col)
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     mine = docs.select(row, docs[id_col].alias("id"), F.sha2(stripped(docs[text_col]).cast("binary"), 256).alias("sha"))
     hit = mine.join(kept, mine["id"].eqNullSafe(kept["kept_id"]) & (mine["sha"] == kept["kept_sha"]), "left_semi")
-    # Rows that repeat both id and text pass the join together; the longest of them is the kept one.
-    order = Window.partitionBy("id", "sha").orderBy(F.length(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).desc())
-    return hit.withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row.*")
+    # Rows that repeat both id and text pass the join together; the longest of them is the kept one. Tasks reduce
+    # theirs before the shuffle, however many there are.
+    several = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("more_id"), F.col("text_sha256").alias("more_sha"))
+    several = materialize(several, "dedup-several")
+    if several.isEmpty():
+        return hit.select("row.*")
+    same = mine["id"].eqNullSafe(several["more_id"]) & (mine["sha"] == several["more_sha"])
+    longest = hit.join(several, same, "left_semi").groupBy("id", "sha").agg(F.max_by("row", F.length(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))).alias("row"))
+    return hit.join(several, same, "left_anti").select("row.*").unionByName(longest.select("row.*"))

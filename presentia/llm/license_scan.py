@@ -7,8 +7,9 @@ template's tokens, it holds one of the template's ``|T| - o + 1`` rarest: only t
 indexed. Blocks with fewer than ``o`` template tokens fall to the length filter, pairs whose first common
 token leaves too few behind it to the positional filter, and the rest are counted exactly.
 
-A block is a run of ``BLOCK`` words, one starting every ``STRIDE`` words of the document, so any passage of
-``BLOCK - STRIDE`` words lies whole in one.
+A block is a run of words, one starting every half of it, so any passage of half a block lies whole in one.
+Templates are classed by their length: those of a class are met by blocks of twice the class's words, ``BLOCK``
+at least, so a template of any length lies whole in a block, and short ones are not met by chance in long blocks.
 """
 
 from __future__ import annotations
@@ -87,10 +88,12 @@ class TemplateIndex:
     tokens: list[frozenset[bytes]] = field(default_factory=list)
     needed: list[int] = field(default_factory=list)
     prefix: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    block: int = BLOCK
+    stride: int = STRIDE
 
     @classmethod
-    def build(cls, frequencies: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> TemplateIndex:
-        out = cls()
+    def build(cls, frequencies: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD, stride: int = STRIDE) -> TemplateIndex:
+        out = cls(block=2 * stride, stride=stride)
         order = sorted(vocabulary(templates), key=lambda w: (frequencies.get(w, 0), w))
         out.rank = {w: k for k, w in enumerate(order)}
         for label, text in templates:
@@ -125,13 +128,27 @@ class TemplateIndex:
                         best = max(best, common / size)
         return found, best
 
-    @staticmethod
-    def _blocks(words: list[bytes], hits: set[bytes]) -> Iterator[set[bytes]]:
+    def _blocks(self, words: list[bytes], hits: set[bytes]) -> Iterator[set[bytes]]:
         """The blocks that hold a prefix token."""
-        starts = sorted({s for i, w in enumerate(words) if w in hits for s in range(max(0, (i - BLOCK) // STRIDE + 1) * STRIDE, i + 1, STRIDE)})
-        last = max(0, -(-(len(words) - BLOCK) // STRIDE)) * STRIDE  # the first block that reaches the end
+        block, stride = self.block, self.stride
+        starts = sorted({s for i, w in enumerate(words) if w in hits for s in range(max(0, (i - block) // stride + 1) * stride, i + 1, stride)})
+        last = max(0, -(-(len(words) - block) // stride)) * stride  # the first block that reaches the end
         for s in sorted({min(s, last) for s in starts}):
-            yield set(words[s : s + BLOCK])
+            yield set(words[s : s + block])
+
+
+def stride_for(template: str) -> int:
+    """The class of a template: its words, up to the next power of two, ``STRIDE`` at least."""
+    return max(STRIDE, 1 << (len(template.split()) - 1).bit_length())
+
+
+def indexes(frequencies: dict[bytes, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[TemplateIndex]:
+    """An index for each class of lengths; templates without words meet nothing."""
+    classes = defaultdict(list)
+    for label, text in templates:
+        if text.split():
+            classes[stride_for(text)].append((label, text))
+    return [TemplateIndex.build(frequencies, own, threshold, stride) for stride, own in sorted(classes.items())]
 
 
 def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
@@ -156,10 +173,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``labels`` has the base labels and those of all templates met; both are distinct, sorted and joined by
     commas. ``score`` is 1 where a base phrase stands, else the best containment at or above the
     threshold, else 0. Null counts as empty: no words, no labels. Very long texts are scanned to their end, block
-    by block; of several places the smallest and the largest are named. Repeated rows give repeated results, an
+    by block; templates may be of any length, their words in lower case; of several places the smallest and the largest are named. Repeated rows give repeated results, an
     empty table gives none. Other columns, whatever their names, are not read.
     """
-    index = docs.sparkSession.sparkContext.broadcast(TemplateIndex.build(token_frequencies(docs, text_col, templates), templates, threshold))
+    index = docs.sparkSession.sparkContext.broadcast(indexes(token_frequencies(docs, text_col, templates), templates, threshold))
     schema = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
     names = [c.split()[0] for c in schema.split(", ")]
@@ -167,7 +184,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def scan(text: bytes) -> tuple:
         words = words_of(text)
         places, base = base_places(words)
-        own, best = index.value.matches(words)
+        met = [part.matches(words) for part in index.value]
+        own, best = set().union(*(x for x, _ in met)), max((y for _, y in met), default=0.0)
         first, last = (min(places), max(places)) if places else (None, None)
         return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | own)), 1.0 if places else best
 
