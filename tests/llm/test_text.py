@@ -86,6 +86,19 @@ def test_license_scan_against_brute_force(spark):
         expected = brute_license(t)
         assert out[i][:-1] == expected[:-1] and out[i][-1] == pytest.approx(expected[-1]), i
     assert license_scan.license_scan(with_clashing_columns(awkward(spark))).count() == 10
+
+
+def test_license_templates_of_any_length_are_found_wherever_they_stand(spark):
+    words = [f"term{k}" for k in range(700)]
+    templates = [(f"t{n}", " ".join(words[:n] if n < 500 else words[::-1][:n])) for n in (5, 33, 60, 100, 600)] + [("none", "")]
+    rows = [(n * 1000 + at, "other words " * at + t + " and more" * 50) for (name, t), n in zip(templates[:5], (5, 33, 60, 100, 600), strict=True) for at in range(0, 64, 3)]
+    out = {r.doc_id: r for r in license_scan.license_scan(docs(spark, rows), templates=templates).collect()}
+    assert all(f"t{k // 1000}" in out[k].labels.split(",") and out[k].score == 1.0 for k, _ in rows)
+    spread = " ".join(w + " and" * 40 for w in words[:5])  # all words of a short template, far apart
+    assert license_scan.license_scan(docs(spark, [(1, spread)]), templates=templates).first().labels == ""
+
+
+def test_license_scan_of_an_empty_table(spark):
     assert license_scan.license_scan(awkward(spark).limit(0)).count() == 0
 
 
