@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presentia.functions import annotation as A
+from presentia.plans.materialize import materialize
+from presentia.sources.annotations import write_manifest
 
 
 def decode(annotations: DataFrame) -> DataFrame:
-    """path, vec -> path, subject, attack_type, session, conditions with attributes, label_error."""
+    """path, vec -> path, subject, attack_type, session, conditions with attributes, label_error; a ``problem`` of reading goes along."""
     return annotations.select(
+        *(["problem"] if "problem" in annotations.columns else []),
         "path",
         A.subject_from_path(F.col("path")).alias("subject"),
         A.attack_type(F.col("vec")).alias("attack_type"),
@@ -21,13 +24,15 @@ def decode(annotations: DataFrame) -> DataFrame:
 
 
 def reasons(decoded: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """``decoded`` with ``reason``: bad_path, missing_file or the label error, in that order; null for good rows."""
+    """``decoded`` with ``reason``: the problem of reading, bad_path, missing_file or the label error, in that order; null for good rows."""
     missing = F.lit(False)
     if listing is not None:
         decoded = decoded.join(listing.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left")
         missing = F.col("_there").isNull()
     reason = F.when(F.col("subject").isNull(), "bad_path").when(missing, "missing_file").otherwise(F.col("label_error"))
-    return decoded.withColumn("reason", reason).drop("_there", "label_error")
+    if "problem" in decoded.columns:
+        reason = F.coalesce("problem", reason)
+    return decoded.withColumn("reason", reason).drop("_there", "label_error", "problem")
 
 
 def quarantine(reasoned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +48,17 @@ def require_some(good: DataFrame) -> DataFrame:
     return good
 
 
+def import_annotations(annotations: DataFrame, path: str, listing: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Decodes annotations, writes the good samples as a manifest at ``path`` and returns the counts of the others by reason.
+
+    With ``limit``, whole subjects only, as long as all earlier ones have fewer samples. Raises if none is good.
+    """
+    good, counts = quarantine(materialize(reasons(decode(annotations), listing), "reasoned"))
+    good = require_some(good)
+    write_manifest(good if limit is None else limit_whole_subjects(good, limit), path)
+    return counts
+
+
 def require(df: DataFrame, predicate: Column, message: str) -> DataFrame:
     """``df`` itself; raises with the number of rows that break the predicate (null counts as broken)."""
     broken = df.agg(F.count_if(~F.coalesce(predicate, F.lit(False)))).first()[0]

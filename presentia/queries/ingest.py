@@ -34,6 +34,19 @@ def a1_read_annotations(spark, sf):
     return src.read_annotations(spark, path, lines=True).select("path", F.size("vec").alias("n"), F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
 
 
+def a1_read_annotation_object(spark, sf):
+    """The same as one JSON object in one file, read by byte ranges."""
+    path = scratch_path(spark, "annotations")
+    entry = F.concat(F.to_json(F.struct("path")), F.lit(":"), F.to_json("vec"))
+    # {"path":"a"}:[1] becomes "a":[1]; the first line opens the object and the last one closes it.
+    rows = _annotations(spark, sf).select("path", F.regexp_replace(entry, r'^\{"path":(.*)\}:\[', "$1:[").alias("entry"))
+    ends = rows.agg(F.min("path").alias("lo"), F.max("path").alias("hi")).first()
+    lines = F.concat(F.when(F.col("path") == ends["lo"], "{").otherwise(""), "entry", F.when(F.col("path") == ends["hi"], "}").otherwise(","))
+    rows.coalesce(1).sortWithinPartitions("path").select(lines.alias("value")).write.text(path)
+    out = src.read_annotations(spark, path)
+    return out.select("path", F.size("vec").alias("n"), F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
+
+
 def a2_read_manifest(spark, sf):
     path = scratch_path(spark, "manifest")
     # One sample in three has no session: the reader fills it in.
@@ -68,13 +81,13 @@ def a7_verify_checksums(spark, sf):
     path = scratch_path(spark, "artifacts")
     parts = adapted(spark, sf, "listing").withColumn("k", F.floor(F.expr(f"{NUMBER}") / 1000))  # files grow in number, not in size
     parts.repartition("k").sortWithinPartitions("k", "path").write.partitionBy("k").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.endswith("path", F.lit(".txt"))).select(F.regexp_extract("path", "k=([0-9]+)", 1).alias("name"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.endswith("path", F.lit(".txt"))).select(F.regexp_extract("path", "k=([0-9]+)", 1).alias("name"), "path")
     # What is expected: the right digest, for one name in five a wrong one, for one in five none; one name has no file.
     text = parts.groupBy(F.col("k").cast("string").alias("name")).agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("t"))
     k = F.col("name").cast("int") % 5
     expected = text.select("name", F.when(k == 1, F.lit("0" * 64)).when(k != 2, F.sha2(F.concat("t", F.lit("\n")).cast("binary"), 256)).alias("sha256"))
     gone = text.agg(F.lit("gone").alias("name"), F.sha2(F.max("t").cast("binary"), 256).alias("sha256"))
-    return src.verify_checksums(files, expected.unionByName(gone))
+    return src.verify_checksums(src.file_digests(files), expected.unionByName(gone))
 
 
 def a8_read_run_summary(spark, sf):
@@ -199,8 +212,8 @@ def f3_top_offenders(spark, sf):
 
 def j1_import_annotations(spark, sf):
     path = scratch_path(spark, "imported")
-    good = Q.require_some(Q.quarantine(_reasoned(spark, sf))[0])
-    src.write_manifest(good, path)
+    a = _annotations(spark, sf)
+    Q.import_annotations(a, path, a.select("path").filter(LISTED))
     return src.read_manifest(spark, path).select("path", "subject", "attack_type", "session", F.size("conditions").alias("n_conditions"))
 
 
@@ -241,6 +254,7 @@ def _split_sql(name: str = "spl", seed: int = 7, key: str = "subject") -> str:
 N_COND = f"(case when vec[44] <> 0 then 1 + (({ILL}) is not null)::int + (({ENV}) is not null)::int else 0 end)"
 SQL = {
     "a1_read_annotations": f"{AN} select path, len(vec)::int as n, array_to_string(vec, ',') as vec from annotations",
+    "a1_read_annotation_object": f"{AN} select path, len(vec)::int as n, array_to_string(vec, ',') as vec from annotations",
     "a2_read_manifest": f"{MA} select path, attack_type, subject, case when {NUMBER} % 3 > 0 then session else 'default' end as session, instrument, 0::int as n_conditions from manifest",
     "a7_verify_checksums": f"{duck('listing')} select distinct cast({NUMBER} // 1000 as varchar) as name, case {NUMBER} // 1000 % 5 when 1 then 'differs' when 2 then 'unchecked' else 'ok' end as status from listing union all select 'gone', 'missing'",
     "d14_split_integrity": f"{MA}, {_split_sql()}, lk as (select *, case when cast(substr(group_key, 2) as int) % 10 = 0 and session = 'd1' then 'test' else split end as s2 from spl), l2 as (select * from lk where s2 <> 'val' or attack_type = 'bona_fide') select 'leaked_group' as kind, group_key as detail from l2 group by group_key having count(distinct s2) > 1 union all select 'single_class', s2 from l2 group by s2 having count(distinct (attack_type <> 'bona_fide')::int) < 2",

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presentia.sources.json_entries import read_entries
+
 SAMPLE = "path string, attack_type string, subject string, session string, instrument string, conditions map<string,string>"
 SUMMARY = "run_id bigint, threshold double, split_by string, _corrupt_record string"
 
 
 def read_annotations(spark: SparkSession, path: str, lines: bool = False, partitions: int | None = None) -> DataFrame:
-    """(path, vec) of an annotation file: one JSON object of path -> vector, or JSON lines of {path, vec}.
+    """(path, vec, problem) of annotation files: one JSON object of path -> vector each, or JSON lines of {path, vec}.
 
-    One object is one row until it is exploded, so a corpus is better kept as lines, which are split. An
-    object that does not parse or is empty raises.
+    Both are read in parallel by byte ranges, an object of any size too; see :mod:`presentia.sources.json_entries`.
+    ``problem`` is null, or bad_entry where a line or an entry does not parse. An object that is none, does not end
+    or is empty raises.
     """
     if lines:
-        return spark.read.schema("path string, vec array<int>").json(path)
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<int>>").alias("m"))
-    if raw.filter(F.col("m").isNull() | (F.size("m") == 0)).count():
-        raise ValueError(f"{path} holds no annotations")
-    rows = raw.select(F.explode("m").alias("path", "vec"))
+        rows = spark.read.schema("path string, vec array<int>, _line string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").json(path)
+        bad = F.col("_line").isNotNull() | F.col("path").isNull() | F.col("vec").isNull()
+        return rows.select("path", "vec", F.when(bad, "bad_entry").alias("problem"))
+    rows = read_entries(spark, path)
     return rows.repartition(partitions) if partitions else rows
 
 
@@ -63,11 +70,44 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
-def verify_checksums(files: DataFrame, expected: DataFrame, most: int = 1 << 31) -> DataFrame:
-    """name, status: ok, differs, missing, unchecked (no expected digest) or too_large, from (name, content) and (name, sha256)."""
-    digest = files.select("name", F.length("content").alias("n"), F.sha2("content", 256).alias("found"))
-    both = expected.join(digest, "name", "left")
-    status = F.when(F.col("sha256").isNull(), "unchecked").when(F.col("found").isNull(), "missing").when(F.col("n") >= most, "too_large").when(F.col("sha256") == F.col("found"), "ok").otherwise("differs")
+def file_digests(files: DataFrame, chunk: int = 8 << 20) -> DataFrame:
+    """name, sha256 of files of any size from (name, path): tasks stream them in chunks, no content becomes a row.
+
+    A file that is gone has a null digest. Paths are URIs of file systems that Arrow knows (file, hdfs, s3, gs, abfs).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, path in zip(b.column("name").to_pylist(), b.column("path").to_pylist(), strict=True):
+                digest: str | None = None
+                try:
+                    filesystem, where = fs.FileSystem.from_uri(arrow_uri(path))
+                    with filesystem.open_input_stream(where, compression=None) as stream:
+                        found = hashlib.sha256()
+                        while data := stream.read(chunk):
+                            found.update(data)
+                        digest = found.hexdigest()
+                except FileNotFoundError:
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([digest], pa.string())], names=["name", "sha256"])
+
+    # Files may be large: each is a piece of work of its own.
+    return files.select("name", "path").repartition(max(1, min(files.count(), 4096))).mapInArrow(run, "name string, sha256 string")
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop URI as Arrow spells it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return f"file://{path}"
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return f"{scheme}://{rest}" if scheme == "file" and not rest.startswith("//") else f"{scheme}:{rest}"
+
+
+def verify_checksums(digests: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, status: ok, differs, missing or unchecked (no expected digest), from two tables (name, sha256); see :func:`file_digests`."""
+    both = expected.join(digests.select("name", F.col("sha256").alias("found")), "name", "left")
+    status = F.when(F.col("sha256").isNull(), "unchecked").when(F.col("found").isNull(), "missing").when(F.col("sha256") == F.col("found"), "ok").otherwise("differs")
     return both.select("name", status.alias("status"))
 
 
