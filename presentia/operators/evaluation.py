@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presentia.plans.materialize import materialize
+from presentia.plans.materialize import materialize, partitions_for
 
 BONA_FIDE = "bona_fide"
 # The kinds of presentation.
@@ -71,21 +71,39 @@ def operating_point(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return point.withColumn("acer", (F.col("worst_apcer") + F.col("bpcer")) / 2)
 
 
-def prefix_counts(labelled: DataFrame, value: str, positive: Column, by: Sequence[str] = (), buckets: int = 64, weight: Column | None = None) -> DataFrame:
+#: Rows of a histogram whose running counts one window takes.
+WINDOW_ROWS = 1 << 18
+
+
+def prefix_counts(labelled: DataFrame, value: str, positive: Column, by: Sequence[str] = (), weight: Column | None = None, most: int | None = None, window_rows: int | None = None) -> DataFrame:
     """by, value, a, b, below_a, below_b, n_a, n_b: how many of each class stand at and below each distinct value.
 
     ``positive`` splits the rows into classes a and b; a row counts ``weight`` times. The histogram is written, so
-    ``labelled`` is evaluated once, and the cut points are literals: a recomputed task cannot move a row.
+    ``labelled`` is evaluated once, unless it is known to have ``most`` rows and these fit in one window. A larger
+    histogram is cut into value ranges that grow in number with its rows; counts run inside a range, and a window
+    over the ranges' totals, a row each, carries over what stands before it.
     """
+    window_rows = WINDOW_ROWS if window_rows is None else window_rows
     one = F.lit(1) if weight is None else weight
     sums = [F.coalesce(F.sum(F.when(c, one)), F.lit(0)).cast("long").alias(n) for n, c in (("a", positive), ("b", ~positive))]
-    hist = materialize(labelled.groupBy(*by, F.col(value).alias("value")).agg(*sums), "histogram")
-    cuts = sorted(set(hist.approxQuantile("value", [k / buckets for k in range(1, buckets)], 0.001))) if buckets > 1 else []
-    hist = hist.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0))
-    keys = [*by, "bucket"]
-    # A few rows for each group: its buckets.
+    hist = labelled.groupBy(*by, F.col(value).alias("value")).agg(*sums)
+    if most is None or most > window_rows:
+        hist = materialize(hist, "histogram")
+        most = hist.count()
+    keys, ranges = list(by), partitions_for(most, window_rows)
+    if ranges > 1:
+        # Written with the number of its range, so that no later task can see another one.
+        hist = materialize(hist.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()), "ranges")
+        keys.append("range")
+    inside = Window.partitionBy(*(keys or [F.lit(0)]))
+    below = inside.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    if ranges == 1:
+        return hist.select(
+            *by, "value", "a", "b", F.coalesce(F.sum("a").over(below), F.lit(0)).alias("below_a"), F.coalesce(F.sum("b").over(below), F.lit(0)).alias("below_b"),
+            F.sum("a").over(inside).alias("n_a"), F.sum("b").over(inside).alias("n_b"),
+        )
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    earlier = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = hist.groupBy(*keys).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     offsets = totals.select(
         *keys,
@@ -94,12 +112,10 @@ def prefix_counts(labelled: DataFrame, value: str, positive: Column, by: Sequenc
         F.sum("ta").over(group).alias("n_a"),
         F.sum("tb").over(group).alias("n_b"),
     )
-    inside = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    out = hist.join(offsets, keys)
-    return out.select(
+    return hist.join(offsets, keys).select(
         *by, "value", "a", "b",
-        (F.col("oa") + F.coalesce(F.sum("a").over(inside), F.lit(0))).alias("below_a"),
-        (F.col("ob") + F.coalesce(F.sum("b").over(inside), F.lit(0))).alias("below_b"),
+        (F.col("oa") + F.coalesce(F.sum("a").over(below), F.lit(0))).alias("below_a"),
+        (F.col("ob") + F.coalesce(F.sum("b").over(below), F.lit(0))).alias("below_b"),
         "n_a", "n_b",
     )
 
@@ -111,7 +127,8 @@ def type_histogram(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """:func:`prefix_counts` of the scores (or of their :func:`type_histogram`) with APCER and BPCER at each distinct score."""
-    counts = prefix_counts(scored, "score", is_attack(F.col("attack_type")), by, weight=F.col("n") if "n" in scored.columns else None)
+    written = "n" in scored.columns
+    counts = prefix_counts(scored, "score", is_attack(F.col("attack_type")), by, F.col("n") if written else None, scored.count() if written else None)
     return counts.withColumns(
         {
             "apcer": F.when(F.col("n_a") > 0, F.col("below_a") / F.col("n_a")).otherwise(0.0),
@@ -179,6 +196,20 @@ def require_both_classes(points: DataFrame, by: Sequence[str] = ()) -> DataFrame
     return points
 
 
+def figures_of(points: DataFrame, targets: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, eer, eer_threshold, auc and bpcer_at_<target> from :func:`curve`, in one pass over it."""
+    if not all(0 <= t <= 1 for t in targets):
+        raise ValueError("a target APCER lies in [0, 1]")
+    gap = F.abs(F.col("apcer") - F.col("bpcer"))
+    area = F.sum(F.col("a") * (F.col("below_b") + F.col("b") / 2)) / (F.max("n_a").cast("double") * F.max("n_b"))
+    lowest = [(F.lit(0.0) if t >= 1 else F.min(F.when(F.col("apcer") <= t, F.col("bpcer")))).alias(f"bpcer_at_{t:.2f}".replace(".", "_")) for t in targets]
+    out = points.groupBy(*by).agg(
+        F.min(F.struct(gap.alias("gap"), F.col("value").alias("t"), ((F.col("apcer") + F.col("bpcer")) / 2).alias("rate"))).alias("m"),
+        F.when((F.max("n_a") > 0) & (F.max("n_b") > 0), area).alias("auc"), *lowest,
+    )
+    return out.select(*by, F.col("m.rate").alias("eer"), F.col("m.t").alias("eer_threshold"), *[c for c in out.columns if c not in (*by, "m")])
+
+
 def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float] = TARGETS, thresholds: Sequence[float] | None = None) -> DataFrame:
     """One row for each group: counts, EER, AUC, BPCER at the targets, and the points at the thresholds.
 
@@ -187,19 +218,15 @@ def evaluate(scored: DataFrame, by: Sequence[str] = (), targets: Sequence[float]
     read once; every figure comes from their written histogram.
     """
     hist = type_histogram(scored, by)
-    points = require_both_classes(materialize(curve(hist, by), "curve"), by)  # read by every figure below
-    out = _with(eer_of(points, by), auc_of(points, by), by)
-    for t in targets:
-        at = bpcer_at_apcer_of(points, t, by).select(*by, F.col("bpcer").alias(f"bpcer_at_{t:.2f}".replace(".", "_")))
-        out = _with(out, at, by)
+    figures = figures_of(require_both_classes(materialize(curve(hist, by), "curve"), by), targets, by)
     wanted = F.array(F.round("eer_threshold", 6), F.lit(0.5)) if thresholds is None else F.array(*[F.lit(float(t)) for t in thresholds])
-    chosen = eer_of(points, by).select(*by, F.explode(F.array_sort(F.array_distinct(wanted))).alias("threshold"))
+    chosen = figures.select(*by, F.explode(F.array_sort(F.array_distinct(wanted))).alias("threshold"))
     ops = operating_point(_rates_at(hist, chosen, by), [*by, "threshold"])
     packed = ops.groupBy(*by).agg(
         F.max("n_bona_fide").alias("n_bona_fide"), F.max("n_attack").alias("n_attack"),
         F.array_sort(F.collect_list(F.struct("threshold", "bpcer", "worst_apcer", "mean_apcer", "acer"))).alias("points"),
     )
-    return _with(out, packed, by)
+    return _with(figures, packed, by)
 
 
 def evaluate_at(scored: DataFrame, threshold: float, by: Sequence[str] = (), targets: Sequence[float] = TARGETS) -> DataFrame:
@@ -208,12 +235,8 @@ def evaluate_at(scored: DataFrame, threshold: float, by: Sequence[str] = (), tar
     :func:`presentia.operators.reports.test_report` adds types, conditions and fairness.
     """
     hist = type_histogram(scored, by)
-    points = materialize(curve(hist, by), "curve")  # read by every figure below
     here = hist.select(*by).distinct().withColumn("threshold", F.lit(float(threshold))) if by else hist.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold"))
-    out = _with(operating_point(_rates_at(hist, here, by), by), _with(eer_of(points, by), auc_of(points, by), by), by)
-    for t in targets:
-        at = bpcer_at_apcer_of(points, t, by).select(*by, F.col("bpcer").alias(f"bpcer_at_{t:.2f}".replace(".", "_")))
-        out = _with(out, at, by)
+    out = _with(operating_point(_rates_at(hist, here, by), by), figures_of(curve(hist, by), targets, by), by)
     return out.withColumn("threshold", F.lit(float(threshold)))
 
 

@@ -92,8 +92,12 @@ TICKS = 1 << 18
 def with_ticks(rows: DataFrame, by: str, order: list[str], width: int = TICKS) -> DataFrame:
     """Adds tick: the place of a row of ``by`` in the order, from 1. The first column of the order is a whole number.
 
-    Rows are numbered inside buckets of that number; a window over the few buckets gives each its offset.
+    Rows are numbered inside buckets of that number; a window over the few buckets gives each its offset. What all
+    lies in one bucket needs none.
     """
+    lo, hi = rows.agg(F.min(order[0]), F.max(order[0])).first()
+    if lo is None or hi // width == lo // width:
+        return rows.withColumn("tick", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
     bucketed = rows.withColumn("bucket_", F.floor(F.col(order[0]) / width))
     counts = bucketed.groupBy(by, "bucket_").agg(F.count(F.lit(1)).alias("rows_"))
     before = Window.partitionBy(by).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)

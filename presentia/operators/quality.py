@@ -67,12 +67,13 @@ def require(df: DataFrame, predicate: Column, message: str) -> DataFrame:
     return df
 
 
-def limit_whole_subjects(samples: DataFrame, limit: int, buckets: int = 64) -> DataFrame:
+def limit_whole_subjects(samples: DataFrame, limit: int, buckets: int | None = None) -> DataFrame:
     """Subjects in numeric order as long as all earlier ones together have fewer rows than ``limit``.
 
-    Running counts are kept inside buckets of subject number with an offset for each bucket, so no window
-    spans all subjects.
+    Running counts are kept inside buckets of subject number, as many as shuffles have partitions, with an offset
+    for each, so no window spans all subjects.
     """
+    buckets = buckets or max(64, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if limit <= 0:
         raise ValueError("the limit must be positive")
     counts = samples.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).withColumn("number", F.col("subject").cast("decimal(38,0)").cast("double"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from presentia.functions.annotation import group_key, label
 
 
-def shuffled_groups(samples: DataFrame, by: str, seed: int, buckets: int = 64) -> DataFrame:
+def shuffled_groups(samples: DataFrame, by: str, seed: int, buckets: int | None = None) -> DataFrame:
     """group_key, position (from 0) of the distinct groups in the order of a keyed hash.
 
-    Positions come from offsets of hash ranges, so that no window spans all groups.
+    Positions come from offsets of hash ranges, as many as shuffles have partitions, so that no window spans all groups.
     """
+    buckets = buckets or max(64, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = samples.select(group_key(by).alias("group_key")).distinct()
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), "group_key"))
     groups = groups.withColumn("h", h).withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / (4294967296 / buckets)))

@@ -1,5 +1,6 @@
 """Literal cases worked by hand, and invariance of the curves."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,20 @@ def test_small_buckets_have_no_rate_and_fairness_needs_two_groups(spark):
     assert strata == {"dark": (10, 5, None), "back": (30, 0, 0.0)}
     audit = E.fairness_audit(E.fairness_groups(df, 0.5)).first()
     assert audit.rated == 1 and audit.ratio is None and audit.flagged is None
+
+
+@pytest.mark.parametrize("window", [1, 7, 1000])
+def test_running_counts_do_not_depend_on_the_ranges(spark, window):
+    rng = np.random.default_rng(window)
+    rows = [(f"g{rng.integers(0, 3)}", float(rng.integers(0, 40)) / 8, bool(rng.integers(0, 2)), int(rng.integers(1, 4))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, v double, p boolean, w int")
+    for by in ([], ["g"]):
+        out = E.prefix_counts(df, "v", F.col("p"), by, F.col("w"), window_rows=window).collect()
+        groups = {tuple(r[: len(by)]) for r in rows} if by else {()}
+        assert len(out) == sum(len({r[1] for r in rows if tuple(r[: len(by)]) == k}) for k in groups)
+        for r in out:
+            own = [x for x in rows if tuple(x[: len(by)]) == tuple(r[c] for c in by)]
+            count = lambda kind, test, own=own: sum(x[3] for x in own if x[2] is kind and test(x[1]))
+            v = r.value
+            assert (r.a, r.b, r.n_a, r.n_b) == (count(True, lambda x: x == v), count(False, lambda x: x == v), count(True, lambda x: True), count(False, lambda x: True))
+            assert (r.below_a, r.below_b) == (count(True, lambda x: x < v), count(False, lambda x: x < v))
