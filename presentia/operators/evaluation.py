@@ -234,12 +234,38 @@ def evaluate_at(scored: DataFrame, threshold: float, by: Sequence[str] = (), tar
 
     :func:`presentia.operators.reports.test_report` adds types, conditions and fairness.
     """
-    hist = type_histogram(scored, by)
+    return _report_at(type_histogram(scored, by), threshold, by, targets)
+
+
+def _report_at(hist: DataFrame, threshold: float, by: Sequence[str], targets: Sequence[float]) -> DataFrame:
+    """:func:`evaluate_at` of a written histogram."""
     here = hist.select(*by).distinct().withColumn("threshold", F.lit(float(threshold))) if by else hist.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold"))
     out = _with(operating_point(_rates_at(hist, here, by), by), figures_of(curve(hist, by), targets, by), by)
     return out.withColumn("threshold", F.lit(float(threshold)))
 
 
+def slice_name(columns: Sequence[str]) -> Column:
+    """The slice of a row by some columns: ``session=d0,device=null``; ``all`` by none."""
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns]
+    return F.concat_ws(",", *parts) if parts else F.lit("all")
+
+
+def evaluate_slices(scored: DataFrame, sets: Sequence[Sequence[str]], threshold: float, targets: Sequence[float] = TARGETS) -> DataFrame:
+    """:func:`evaluate_at` for every slice of every set of columns (grouping sets), in one row each: ``slice`` and the report.
+
+    The scores are counted once by all columns; the counts, not the scores, are expanded over the sets, and the
+    curves of all slices are one job. A null value is a slice like others. A slice without attacks has APCER 0, one
+    without bona fide BPCER 0, and neither has an AUC.
+    """
+    if not sets:
+        raise ValueError("a set of columns is needed; an empty one stands for all rows")
+    columns = sorted({c for s in sets for c in s})
+    counts = scored.groupBy(*columns, "attack_type", "score").agg(F.count(F.lit(1)).alias("n"))
+    wide = counts.select("attack_type", "score", "n", F.explode(F.array_distinct(F.array(*[slice_name(s) for s in sets]))).alias("slice"))
+    hist = materialize(wide.groupBy("slice", "attack_type", "score").agg(F.sum("n").alias("n")), "slices")
+    return _report_at(hist, threshold, ["slice"], targets)
+
+
 def stratify(scored: DataFrame, threshold: float, min_n: int = MIN_BUCKET, by: Sequence[str] = ()) -> DataFrame:
     """by, axis, value, n, missed, apcer: attacks by capture condition; apcer is null under ``min_n``, ``attr:`` keys are skipped."""
     cond = scored.filter(is_attack(F.col("attack_type"))).select(*by, "score", F.explode("conditions").alias("axis", "value")).filter(~F.col("axis").startswith("attr:"))

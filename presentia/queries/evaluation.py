@@ -73,6 +73,12 @@ def d9_evaluate_test(spark, sf):
     return R.headline(E.evaluate_at(_scored(spark, sf), THRESHOLD)).select("n_bona_fide", "n_attack", "note", *[r9(c) for c in REPORT])
 
 
+def d9_evaluate_slices(spark, sf):
+    """Reports of all rows, of sessions, of people with and without glasses, and of both together."""
+    out = E.evaluate_slices(_scored(spark, sf), [[], ["session"], ["attr_eyeglasses"], ["session", "attr_eyeglasses"]], THRESHOLD)
+    return out.select("slice", "n_bona_fide", "n_attack", *[r9(c) for c in REPORT])
+
+
 def d10_stratify(spark, sf):
     return E.stratify(_scored(spark, sf), THRESHOLD).select("axis", "value", "n", "missed", r9("apcer"))
 
@@ -179,6 +185,12 @@ rates as (select s.dataset, threshold, attack_type, count(*) as n, avg((case whe
 pt as (select dataset, threshold, {POINT} from rates group by dataset, threshold)
 select dataset, n_bona_fide, n_attack, round(m.r, 9) as eer, round(m.t, 9) as eer_threshold, {_r('auc', 'bpcer_at_0_01', 'bpcer_at_0_05', 'bpcer_at_0_10', 'threshold', 'bpcer', 'worst_apcer', 'mean_apcer')}, round((worst_apcer + bpcer) / 2, 9) as acer from e join pt using (dataset)""",
     "d9_evaluate_test": f"{SC}, {report_sql('scored', 'rep')} select n_bona_fide, n_attack, case when n_bona_fide + n_attack < 200 then 'small sample' else '' end as note, {_r(*REPORT)} from rep",
+    "d9_evaluate_slices": f"""{SC}, sl as (select attack_type, score, sum(n) as n, concat_ws(',', case when grouping(session) = 0 then 'session=' || session end, case when grouping(attr_eyeglasses) = 0 then 'attr_eyeglasses=' || attr_eyeglasses end) as key
+from (select session, attr_eyeglasses, attack_type, score, count(*) as n from scored group by all) group by grouping sets ((attack_type, score), (session, attack_type, score), (attr_eyeglasses, attack_type, score), (session, attr_eyeglasses, attack_type, score))),
+sr as (select case when key = '' then 'all' else key end as slice, attack_type, score from sl, range(cast(n as bigint))),
+{curve_sql('sr', 'slice')}, {rates_sql('sr', str(THRESHOLD), by='slice')}, op as (select slice, {POINT} from rates group by slice),
+fg as (select slice, min(struct_pack(g := abs(apcer - bpcer), t := value, r := (apcer + bpcer) / 2)) as m, sum(a * (below_b + b / 2)) / (max(n_a)::double * max(n_b)) as auc, min(bpcer) filter (where apcer <= 0.01) as bpcer_at_0_01, min(bpcer) filter (where apcer <= 0.05) as bpcer_at_0_05, min(bpcer) filter (where apcer <= 0.10) as bpcer_at_0_10 from pts group by slice)
+select slice, n_bona_fide, n_attack, {_r('bpcer', 'worst_apcer', 'mean_apcer')}, round((worst_apcer + bpcer) / 2, 9) as acer, round(m.r, 9) as eer, round(m.t, 9) as eer_threshold, {_r('auc', 'bpcer_at_0_01', 'bpcer_at_0_05', 'bpcer_at_0_10')}, {THRESHOLD}::double as threshold from op join fg using (slice)""",
     "d10_stratify": f"{SC}, {COND} select axis, value, n, missed, {_r('apcer')} from str",
     "d11_fairness_groups": f"{SC}, {FAIR} select attribute, value, n, rejected, {_r('bpcer')} from fr",
     "d11_fairness_audit": f"{SC}, {FAIR} select attribute, rated, {_r('worst', 'best', 'ratio', 'gap')}, flagged from au",

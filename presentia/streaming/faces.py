@@ -6,13 +6,14 @@ What has no event time in a camera loop gets one here: a watermark decides how l
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from presentia.functions.vectors import finite
@@ -190,13 +191,50 @@ def presence(faces: DataFrame, gap: str = "6 hours", late: str = "6 hours") -> D
 
 
 def stream_capture(faces: DataFrame, sink: str, checkpoint: str, target: int = 100, stride: int = STRIDE, least: int = LEAST_FACE) -> StreamingQuery:
-    """Appends usable frames to the manifest at ``sink`` until it holds ``target``; each batch fills up what is missing."""
+    """Appends usable frames to the manifest at ``sink`` until it holds ``target``; each batch fills up what is missing.
+
+    A batch leaves how many there are after it in one row below ``sink``-progress, so the next one reads that row and
+    not the manifest; a repeated batch replaces its frames and its row.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = "camera bigint, frame_id bigint, face_id bigint, batch int"
-        have = spark.read.schema(schema).option("recursiveFileLookup", False).parquet(sink).filter(F.col("batch") < number).count() if number else 0
+        have = spark.read.schema("captured bigint").parquet(f"{sink}-progress/batch={number - 1}").first()["captured"] if number else 0
         usable = batch.filter((F.col("frame_id") % stride == 0) & (F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= least))
-        usable.orderBy("frame_id", "camera").limit(max(0, target - have)).select("camera", "frame_id", "face_id").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        new = usable.orderBy("frame_id", "camera").limit(max(0, target - have)).select("camera", "frame_id", "face_id")
+        new.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        added = spark.read.schema(new.schema).parquet(f"{sink}/batch={number}").count()
+        spark.range(1).select(F.lit(have + added).cast("bigint").alias("captured")).write.mode("overwrite").parquet(f"{sink}-progress/batch={number}")
 
     return faces.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+PROGRESS = "query_id string, batch bigint, rows_in bigint, rows_late bigint, watermark string"
+
+
+class ProgressLog(StreamingQueryListener):
+    """Makes data of what streams tell: for each batch its rows, those that came later than the watermark allows, and the watermark.
+
+    ``spark.streams.addListener(log)`` before a stream starts; :meth:`rows` after it. Only the last ``keep`` batches are held.
+    """
+
+    def __init__(self, keep: int = 10_000):
+        self._held: deque[tuple] = deque(maxlen=keep)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self._held.append((str(p.id), p.batchId, p.numInputRows, late, p.eventTime.get("watermark")))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def rows(self, spark: SparkSession, query_id: str | None = None) -> DataFrame:
+        """query_id, batch, rows_in, rows_late, watermark."""
+        return spark.createDataFrame([r for r in self._held if query_id in (None, r[0])], PROGRESS)

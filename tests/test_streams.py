@@ -1,5 +1,8 @@
 """Streams held against batch operators and against plain Python; models and enrolment against brute force."""
 
+import time
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation
@@ -44,21 +47,49 @@ def test_history_stream_equals_a_plain_fold(spark, sf):
     assert got == want
 
 
+def watermark_of(spark, sf, late_hours):
+    """What the last watermark is after all of the replayed files: the newest time of all batches less the lateness."""
+    newest = max(r.ts for r in faces_of(spark, sf))
+    return newest - timedelta(hours=late_hours)
+
+
 def test_closed_sessions_of_the_presence_stream_are_those_of_the_batch(spark, sf):
     key = lambda r: (r.camera, r.cell_x, r.cell_y, str(r.start), str(r.end), r.faces)
     stream = sorted(map(key, jobs.h5_stream_presence(spark, sf).collect()))
     batch = ST.presence(adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp"))).collect()
-    newest = max(r.ts for r in faces_of(spark, sf))
-    closed = sorted(key(r) for r in batch if (newest - r.end).total_seconds() > 12 * 3600)
-    # A session that straddles the last watermark is still open; nothing else is missing, and nothing is added.
-    assert set(stream) <= set(map(key, batch)) and len(stream) == len(set(stream)) and len(set(stream) & set(closed)) > 0.6 * len(closed)
+    # Files come in order of time, so no row is late: every session that ends by the last watermark is there, once, and no other.
+    mark = watermark_of(spark, sf, 6)
+    assert stream == sorted(key(r) for r in batch if r.end <= mark)
 
 
 def test_closed_windows_of_the_statistics_stream_are_those_of_the_batch(spark, sf):
     key = lambda r: (r.camera, r.start, r.end, r.faces, round(r.detect_ms, 6), round(r.liveness_ms, 6))
-    stream = {key(r) for r in jobs.h4_stream_frame_stats(spark, sf).collect()}
-    batch = {key(r) for r in ST.frame_stats(adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
-    assert stream <= batch and len(stream) > 0.5 * len(batch)
+    stream = sorted(key(r) for r in jobs.h4_stream_frame_stats(spark, sf).collect())
+    batch = ST.frame_stats(adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp"))).collect()
+    mark = watermark_of(spark, sf, 1)
+    assert stream == sorted(key(r) for r in batch if r.end <= mark)
+
+
+def test_late_rows_show_in_the_progress_of_a_stream(spark, tmp_path):
+    schema = "face_id bigint, camera bigint, ts timestamp, detect_ms double, liveness_ms double, recognize_ms double"
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    # Two rows of the third file are ten hours late; what is late is judged by the watermark of the batch before.
+    for hours in ([0, 1, 10], [11], [12, 0, 1]):
+        spark.createDataFrame([(k, 0, at(h), 1.0, 1.0, 1.0) for k, h in enumerate(hours)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    log = ST.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        stream = ST.frame_stats(ST.read_faces(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema))
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 20
+        while time.time() < until and sum(r.rows_in for r in log.rows(spark, query.id).collect()) < 7:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    rows = log.rows(spark, query.id).orderBy("batch").collect()
+    assert sum(r.rows_in for r in rows) == 7 and sum(r.rows_late for r in rows) == 2
+    assert [r.rows_in for r in rows if r.rows_late] == [3] and all(r.watermark for r in rows)
 
 
 def test_capture_stream_fills_up_to_its_target_in_order(spark, tmp_path):
@@ -71,6 +102,8 @@ def test_capture_stream_fills_up_to_its_target_in_order(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     usable = [r[2] for r in rows if r[2] % 3 == 0 and r[5] >= 80]
     assert len(got) == 12 and {r.frame_id for r in got} <= set(usable) and len({r.frame_id for r in got}) == 12
+    counts = {r.batch: r.captured for r in spark.read.parquet(f"{tmp_path}/out-progress").collect()}
+    assert counts[max(counts)] == 12 and sorted(counts.values()) == [counts[k] for k in sorted(counts)]
 
 
 def test_enrolment_stream_keeps_gaps_across_batches_and_single_live_faces(spark, tmp_path):
