@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,28 +10,101 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NMS_IOU = 0.4
+#: Kept boxes of an image that are compared one by one.
+FEW_BOXES = 32
 CELL, HISTORY = 120, 120
 STRIDE, LEAST_FACE, MIN_GAP, TARGET = 3, 80, 12, 8
 
 
-def _overlap(a: Column, b: Column) -> Column:
-    """Intersection over union of boxes whose pixels count inclusively."""
-    def area(x: Column) -> Column:
-        return (x["x2"] - x["x1"] + 1) * (x["y2"] - x["y1"] + 1)
+class Kept:
+    """The boxes kept in an image, found again by where they are and how large.
 
-    w = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + 1, F.lit(0))
-    h = F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + 1, F.lit(0))
-    inter = (w * h).cast("double")
-    return inter / (area(a) + area(b) - inter)
+    Boxes that overlap by more than ``iou`` have sides of a ratio over ``iou`` and centres less than a side apart. A
+    box lies in the cell of its centre, in a grid of its level: levels grow by ``1 / iou`` and a cell has the longest
+    side of its level, so what can suppress a box is in the cells around it on three levels.
+    """
+
+    def __init__(self, iou: float):
+        self.iou, self.scale = iou, -math.log(iou) if 0 < iou < 1 else 0.0
+        self.few: list[tuple] = []  # as long as there are few, and boxes that have no size
+        self.cells: dict[tuple[int, int, int], list[tuple]] | None = None
+
+    def _place(self, box: tuple) -> tuple[int, float, float]:
+        x1, y1, x2, y2 = box
+        return math.floor(math.log(max(x2 - x1, y2 - y1) + 1) / self.scale), (x1 + x2) / 2, (y1 + y2) / 2
+
+    def _side(self, level: int) -> float:
+        return math.exp(self.scale * (level + 1))
+
+    def _cell(self, box: tuple) -> tuple[int, int, int]:
+        level, x, y = self._place(box)
+        return level, math.floor(x / self._side(level)), math.floor(y / self._side(level))
+
+    def _hits(self, box: tuple, others: list[tuple]) -> bool:
+        x1, y1, x2, y2 = box
+        own = (x2 - x1 + 1) * (y2 - y1 + 1)
+        for a1, b1, a2, b2 in others:
+            w, h = min(x2, a2) - max(x1, a1) + 1, min(y2, b2) - max(y1, b1) + 1
+            inter = w * h if w > 0 and h > 0 else 0
+            union = own + (a2 - a1 + 1) * (b2 - b1 + 1) - inter
+            if union and inter / union > self.iou:
+                return True
+        return False
+
+    def takes(self, box: tuple) -> bool:
+        """Whether no kept box suppresses ``box``; it is kept then. A box that lacks a corner is kept and suppresses none."""
+        if None in box:
+            return True
+        if self._hits(box, self.few):
+            return False
+        sized = self.scale and box[2] >= box[0] and box[3] >= box[1]
+        if self.cells is not None:
+            if not sized:
+                if any(self._hits(box, c) for c in self.cells.values()):
+                    return False
+            else:
+                level, x, y = self._place(box)
+                own = self._side(level)
+                for k in (level, level + 1, level - 1):
+                    side = self._side(k)
+                    reach, cx, cy = math.ceil(max(own, side) / side), math.floor(x / side), math.floor(y / side)
+                    for i in range(cx - reach, cx + reach + 1):
+                        for j in range(cy - reach, cy + reach + 1):
+                            if (there := self.cells.get((k, i, j))) and self._hits(box, there):
+                                return False
+        if self.cells is None or not sized:
+            self.few.append(box)
+        else:
+            self.cells.setdefault(self._cell(box), []).append(box)
+        if self.cells is None and self.scale and len(self.few) > FEW_BOXES:
+            self.cells, odd = {}, []
+            for b in self.few:
+                if b[2] >= b[0] and b[3] >= b[1]:
+                    self.cells.setdefault(self._cell(b), []).append(b)
+                else:
+                    odd.append(b)
+            self.few = odd
+        return True
 
 
 def nms(cands: DataFrame, iou: float = NMS_IOU) -> DataFrame:
-    """Greedy non-maximum suppression in each image: by score, candidate id on ties. Candidates of one image are few."""
-    one = F.struct((-F.col("score")).alias("order"), "cand_id", "x1", "y1", "x2", "y2", "score")
-    listed = cands.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("cs"))
-    empty = F.filter("cs", lambda x: F.lit(False))
-    kept = F.aggregate("cs", empty, lambda acc, x: F.when(F.exists(acc, lambda k: _overlap(k, x) > iou), acc).otherwise(F.array_append(acc, x)))
-    return listed.select("image_id", F.inline(kept)).drop("order")
+    """Greedy non-maximum suppression in each image: by score, candidate id on ties.
+
+    The candidates of an image stream through one task in that order; what is held are the boxes kept, in a grid.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, kept = None, Kept(iou)
+        for b in batches:
+            mask = []
+            for at, *box in zip(*(b.column(c).to_pylist() for c in ("image_id", "x1", "y1", "x2", "y2")), strict=True):
+                if at != image:
+                    image, kept = at, Kept(iou)
+                mask.append(kept.takes(tuple(box)))
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    rows = cands.select("image_id", "cand_id", "x1", "y1", "x2", "y2", "score")
+    return rows.repartition("image_id").sortWithinPartitions("image_id", F.desc_nulls_first("score"), "cand_id").mapInArrow(run, rows.schema)
 
 
 def largest_face(faces: DataFrame, by: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Small cases of ingest, splits, galleries, geometry and gates."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,43 @@ def test_checkpoint_stops_after_patience(spark):
 def test_augmentation_does_not_depend_on_partitions(spark):
     one, many = (sorted(map(tuple, geo.augmentation_plan(samples(spark).repartition(n), 2, 9).collect()), key=str) for n in (1, 5))
     assert one == many and len(one) == 96
+
+
+def plain_nms(boxes, iou):
+    """By comparing with all that is kept."""
+    kept = []
+    for box in boxes:
+        x1, y1, x2, y2 = box
+        hit = False
+        for a1, b1, a2, b2 in kept:
+            inter = max(0, min(x2, a2) - max(x1, a1) + 1) * max(0, min(y2, b2) - max(y1, b1) + 1)
+            hit = hit or inter / ((x2 - x1 + 1) * (y2 - y1 + 1) + (a2 - a1 + 1) * (b2 - b1 + 1) - inter) > iou
+        if not hit:
+            kept.append(box)
+    return kept
+
+
+@pytest.mark.parametrize("iou", [0.05, 0.4, 0.8])
+def test_suppression_by_a_grid_equals_plain_comparison(iou):
+    rng = np.random.default_rng(int(iou * 100))
+    for low, high, spread in ((0, 2, 40), (1, 60, 300), (1, 2000, 3000)):
+        corner, size = rng.integers(0, spread, (500, 2)), rng.integers(low, high, (500, 2))
+        boxes = [(int(x), int(y), int(x + w), int(y + h)) for (x, y), (w, h) in zip(corner, size, strict=True)]
+        kept = R.Kept(iou)
+        assert [b for b in boxes if kept.takes(b)] == plain_nms(boxes, iou) and (kept.cells is not None or spread == 40)
+
+
+def test_suppression_in_an_image_of_many_candidates(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr("1L as image_id", "id as cand_id", "cast(pmod(id * 7919, 20000) as int) as x1", "cast(pmod(id * 104729, 20000) as int) as y1", "double(pmod(id * 31, 1000)) as score")
+    rows = rows.selectExpr("image_id", "cand_id", "x1", "y1", "cast(x1 + 60 + cand_id % 50 as int) as x2", "cast(y1 + 60 + cand_id % 70 as int) as y2", "score")
+    extra = spark.createDataFrame([(2, 1, None, 0, 5, 5, 1.0), (2, 2, 0, 0, 5, 5, None), (2, 3, 0, 0, 5, 5, 0.5), (None, 4, 0, 0, 5, 5, 0.5)], "image_id bigint, cand_id bigint, x1 int, y1 int, x2 int, y2 int, score double")
+    out = R.nms(rows.unionByName(extra)).collect()
+    assert sorted(r.cand_id for r in out if r.image_id == 2) == [1, 2] and [r.cand_id for r in out if r.image_id is None] == [4]
+    kept = [r for r in out if r.image_id == 1]
+    part = [r for r in kept if r.x1 < 1500 and r.y1 < 1500]  # what a corner of the image keeps depends on its surroundings alone
+    near = sorted((r for r in rows.filter("x1 < 1500 and y1 < 1500").collect()), key=lambda r: (-r.score, r.cand_id))
+    assert 0 < len(part) < len(near)
+    inner = lambda rs: {tuple(r[2:6]) for r in rs if r.x2 < 1000 and r.y2 < 1000}
+    plain = set(plain_nms([tuple(r[2:6]) for r in near], R.NMS_IOU))
+    assert {b for b in plain if b[2] < 1000 and b[3] < 1000} == inner(part)
