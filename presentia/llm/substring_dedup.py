@@ -38,8 +38,8 @@ from presentia.plans.materialize import materialize, partitions_for, release
 WINDOW, GRAM = 13, 6
 #: Words of distinct segments in a shard.
 SHARD_WORDS = 1_000_000
-#: Distinct segments of one anchor from which its anchors are made finer, and how often at most.
-HOT_SEGMENTS, LEVELS = 1000, 8
+#: Distinct segments of one anchor from which its anchors are made finer, as long as that leaves at most this share of them together.
+HOT_SEGMENTS, SHRINKING = 1000, 0.9
 #: Every how many positions the suffix array is kept.
 SAMPLE = 8
 
@@ -301,19 +301,20 @@ def _reports(contents: DataFrame, n_words: int, window: int) -> DataFrame:
     return plain.mapInArrow(run, "anchor bigint, body bigint, hits array<int>").select("anchor", "body", F.explode("hits").alias("hit"))
 
 
-def _finer_reports(contents: DataFrame, window: int, gram: int, level: int) -> DataFrame:
-    """The same for segments of hot anchors: documents of their own, whose anchors are finer."""
+def _finer_reports(contents: DataFrame, window: int, gram: int, level: int, most: int) -> DataFrame:
+    """The same for segments of hot anchors, ``most`` of one: documents of their own, whose anchors are finer."""
     own = contents.select("anchor", "body", F.col("first_doc").alias("doc_id"), F.xxhash64("anchor", "body").alias("tid"), F.col("content").alias("text")).dropDuplicates(["anchor", "body"])
     own = materialize(own, "sub-hot")
-    spans = covered_windows(own.select("doc_id", "tid", "text"), window, gram, level)
+    spans = covered_windows(own.select("doc_id", "tid", "text"), window, gram, level, most)
     windows = spans.select("doc_id", "tid", F.explode("spans").alias("s")).select("doc_id", "tid", F.explode(F.sequence(F.col("s.start"), F.col("s.start") + F.col("s.n") - 1)).alias("hit"))
     return own.select("anchor", "body", "doc_id", "tid").join(windows, ["doc_id", "tid"]).select("anchor", "body", "hit").distinct()
 
 
-def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, level: int = 0) -> DataFrame:
+def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, level: int = 0, most: int = 1 << 62) -> DataFrame:
     """(doc_id, tid, spans array<struct<start, n>>): the repeated windows of each document that has any; written.
 
-    ``docs``: doc_id, tid, text. A span is a run of n windows that starts at word ``start``.
+    ``docs``: doc_id, tid, text. A span is a run of n windows that starts at word ``start``. ``most`` distinct segments
+    shared an anchor on the level before; the levels end where no anchor is hot, or where finer ones part no segments.
     """
     anchors = materialize(_anchors(docs, window, gram, level), "sub-anchors")
     repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
@@ -323,13 +324,13 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, lev
     distinct = segments.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "tid", "start", "n")).alias("s"))
     distinct = materialize(distinct.select("anchor", "body", "s.doc_id", "s.tid", "s.start", "s.n"), "sub-distinct")
     # A single distinct segment has no other to match: its copies are covered, its first one is not.
-    shared = distinct.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > HOT_SEGMENTS).alias("hot") if level < LEVELS else F.lit(False).alias("hot"))
+    shared = distinct.groupBy("anchor").count().filter("count > 1").select("anchor", F.col("count").alias("mates"), ((F.col("count") > HOT_SEGMENTS) & (F.col("count") <= SHRINKING * most)).alias("hot"))
     wanted = materialize(distinct.join(shared, "anchor"), "sub-wanted")
-    n_words, any_hot = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (window - 1))), F.lit(0)), F.coalesce(F.max("hot"), F.lit(False))).first()
+    n_words, hottest = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + (window - 1))), F.lit(0)), F.max(F.when(F.col("hot"), F.col("mates")))).first()
     contents = materialize(_contents(docs, wanted, window), "sub-contents")
     reports = materialize(_reports(contents.filter("not hot"), n_words, window), "sub-reports")
-    if any_hot:
-        reports = reports.unionByName(materialize(_finer_reports(contents.filter("hot"), window, gram, level + 1), "sub-finer"))
+    if hottest:
+        reports = reports.unionByName(materialize(_finer_reports(contents.filter("hot"), window, gram, level + 1, hottest), "sub-finer"))
     release(contents)
     firsts = distinct.select("anchor", "body", F.col("doc_id").alias("first_doc"))
     here = segments.join(firsts, ["anchor", "body"])
