@@ -199,7 +199,7 @@ class Encoder:
         cutter = said["pre_tokenizer"] or {}
         plain = said["normalizer"] is None and said["post_processor"] is None and said["truncation"] is None and said["padding"] is None
         self.sliced = plain and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
-        self._slices = _Slices(self.tokenizer)
+        self._slices = _Slices(self.tokenizer) if self.sliced else {}
         self._stands_for = np.full(0x110000, _UNKNOWN, np.uint32)
         self._stands_for[:128] = np.arange(128)
 
