@@ -5,7 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presentia.operators import evaluation as E
@@ -17,6 +17,8 @@ from presentia.plans.materialize import materialize, scratch_path
 from presentia.queries.adapters import adapted, duck, table
 from presentia.queries.evaluation import EER, REPORT, _r, _scored, curve_sql, r9, report_sql
 from presentia.queries.ingest import _split_sql
+from presentia.queries.galleries import enrolled_sql
+from presentia.queries.serving import REJECT
 from presentia.queries.serving import SQL as SERVING_SQL
 from presentia.streaming import faces as ST
 
@@ -123,11 +125,12 @@ def j4_eval_cross(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Faces as a stream of four files that arrive in time order, and the same as a table."""
+    """Faces as a stream of four files that arrive in time order, each with a quarter of the time span, and the same as a table."""
     path = scratch_path(spark, "faces")
     faces = adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("camera", F.col("camera").cast("bigint"))
     at = F.unix_micros("ts")
-    cuts = [None, *faces.select(at.alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.001), None]
+    first, last = faces.agg(F.min(at), F.max(at)).first()
+    cuts = [None, *([] if first is None else [first + (last - first) * k // 4 for k in (1, 2, 3)]), None]
     for lo, hi in zip(cuts, cuts[1:], strict=False):  # one after another: a file stream reads by arrival
         part = faces.filter((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi))))
         part.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
@@ -165,7 +168,7 @@ def _rocksdb(spark: SparkSession):
 def h2_stream_score_history(spark, sf):
     stream, _ = _stream(spark, sf)
     with _rocksdb(spark):
-        return _collected(spark, ST.stream_score_history(stream, ttl_ms=24 * 3600 * 1000)).withColumn("mean_score", F.round("mean_score", 6))
+        return _collected(spark, ST.stream_score_history(stream, ttl_ms=24 * 3600 * 1000)).withColumn("mean_score", F.round("mean_score", 10))
 
 
 def h3_stream_enroll(spark, sf):
@@ -180,19 +183,22 @@ def h3_stream_enroll(spark, sf):
 
 
 def h4_stream_frame_stats(spark, sf):
-    return _collected(spark, ST.frame_stats(_stream(spark, sf)[0]))
+    out = _collected(spark, ST.frame_stats(_stream(spark, sf)[0]))
+    return out.select("camera", *_stamped(), "faces", F.round("detect_ms", 10).alias("detect_ms"), F.round("liveness_ms", 10).alias("liveness_ms"), "recognize_ms")
 
 
-def h5_stream_presence(spark, sf):
-    return _collected(spark, ST.presence(_stream(spark, sf)[0]))
+def _stamped() -> list[Column]:
+    """start and end as text."""
+    return [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")]
 
 
-STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+def h5_stream_presence(spark, sf):
+    return _collected(spark, ST.presence(_stream(spark, sf)[0])).select("camera", "cell_x", "cell_y", *_stamped(), "faces")
 
 
 def h5_presence_batch(spark, sf):
     faces = adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp"))
-    return ST.presence(faces).select("camera", "cell_x", "cell_y", F.date_format("start", STAMP).alias("start"), F.date_format("end", STAMP).alias("end"), "faces")
+    return ST.presence(faces).select("camera", "cell_x", "cell_y", *_stamped(), "faces")
 
 
 def h6_stream_capture(spark, sf):
@@ -206,6 +212,24 @@ SPLIT = _split_sql().replace("manifest", "scored")
 STORED = "(select t from stored)"
 #: The held-out rows and the threshold stored with their run: the EER point of the validation rows.
 HELD = f"{SPLIT}, held as (select * from spl where split = 'test'), val as (select * from spl where split = 'val'), {curve_sql('val')}, stored as (select {EER}.t as t)"
+CELLS = "floor((x1 + x2) / 2 / 120)::int as cell_x, floor((y1 + y2) / 2 / 120)::int as cell_y"
+STAMPED = "strftime({start}, '%Y-%m-%d %H:%M:%S.%f') as start, strftime({end}, '%Y-%m-%d %H:%M:%S.%f') as \"end\""
+#: Faces with the number of the batch in which their file arrives.
+ARRIVED = f"""{duck('faces')}, sp as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from faces),
+ar as (select f.*, {' + '.join(f'(epoch_us(ts) >= lo + (hi - lo) * {k} // 4)::int' for k in (1, 2, 3))} as batch from faces f, sp)"""
+#: What a stream has closed when it ends: its watermark follows the newest row.
+CLOSED = "epoch_ms({end}) <= (select epoch_ms(max(ts)) from faces) - {hours} * 3600000"
+SESSIONS = f"""{duck('faces')}, c as (select *, {CELLS} from faces), n as (select *, coalesce((ts > lag(ts) over w + interval 6 hour)::int, 1) as fresh from c window w as (partition by camera, cell_x, cell_y order by ts, face_id)),
+s as (select *, sum(fresh) over (partition by camera, cell_x, cell_y order by ts, face_id rows unbounded preceding) as k from n),
+se as (select camera, cell_x, cell_y, min(ts) as start, max(ts) + interval 6 hour as until, count(*) as faces from s group by camera, cell_x, cell_y, k)"""
+#: Rows that the enrolment stream accepts: alone in their frame, usable, 12 frames after the last of their camera and name.
+ACCEPTED = f"""us as materialized (select *, row_number() over (partition by camera, name order by batch, frame_id, face_id) as rn
+from (select *, count(*) over (partition by batch, camera, frame_id) as alone, 'p' || (vec_id % 10) as name from ar) where alone = 1 and spoof_probability < 0.5 and vec_id is not null and ({REJECT.format(w=640, h=480)}) is null),
+ac as (select distinct camera, name, 0::bigint as k, null::bigint as last, false as took, 0 as batch, 0::bigint as face_id, 0::bigint as vec_id from us
+union all select a.camera, a.name, u.rn, case when coalesce(u.frame_id - a.last >= 12, true) then u.frame_id else a.last end, coalesce(u.frame_id - a.last >= 12, true), u.batch, u.face_id, u.vec_id
+from ac a join us u on u.camera = a.camera and u.name = a.name and u.rn = a.k + 1)"""
+#: Of rows with one vector only the first can be taken: the others are its copies, or copies of what it is a copy of.
+NEW_FRAMES = "select a.name, row_number() over (order by a.batch, a.face_id) as arrival, p.v from (select * from ac where took qualify row_number() over (partition by name, vec_id order by batch, face_id) = 1) a join probes p on p.probe_id = a.vec_id"
 SQL = {
     # A replayed stream gives what the batch operator gives.
     "h1_stream_trust": SERVING_SQL["c3_recognize"],
@@ -222,6 +246,17 @@ l as (select m.metric, m.source, m.target, m.target - m.source as delta from (se
 g as (select max(delta) filter (where metric = 'eer') as e, greatest(max(delta) filter (where metric = 'worst_apcer'), max(delta) filter (where metric = 'bpcer')) as o from l)
 select metric, {_r('source', 'target', 'delta')}, case when abs(delta) < 1e-9 then '=' when (delta > 0) = (metric = 'auc') then 'better' else 'worse' end as direction,
 case when e > 0.10 then 'discrimination_collapse' when o > 0.10 then 'threshold_did_not_transfer' when e > 0.03 or o > 0.03 then 'moderate' else 'small' end as verdict from l, g""",
-    "h5_presence_batch": f"{duck('faces')}, c as (select *, floor((x1 + x2) / 2 / 120)::int as cell_x, floor((y1 + y2) / 2 / 120)::int as cell_y from faces), n as (select *, coalesce((ts > lag(ts) over w + interval 6 hour)::int, 1) as fresh from c window w as (partition by camera, cell_x, cell_y order by ts, face_id)), s as (select *, sum(fresh) over (partition by camera, cell_x, cell_y order by ts, face_id rows unbounded preceding) as k from n) select camera, cell_x, cell_y, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start, strftime(max(ts) + interval 6 hour, '%Y-%m-%d %H:%M:%S.%f') as \"end\", count(*) as faces from s group by camera, cell_x, cell_y, k",
+    "h2_stream_score_history": f"""{ARRIVED}, tk as (select *, {CELLS}, epoch_ms(ts) as ms from ar where spoof_probability is not null),
+gp as (select *, coalesce((ms - lag(ms) over (partition by camera, cell_x, cell_y order by batch, ms, face_id) > 86400000)::int, 0) as restart from tk),
+rn as (select *, sum(restart) over (partition by camera, cell_x, cell_y order by batch, ms, face_id rows unbounded preceding) as run from gp)
+select camera, cell_x, cell_y, face_id, count(*) over w as n, round(avg(spoof_probability) over w, 10) as mean_score from rn window w as (partition by camera, cell_x, cell_y, run order by batch, ms, face_id rows between 119 preceding and current row)""",
+    "h3_stream_enroll": f"""{ARRIVED.replace('with ', 'with recursive ', 1)}, {duck('gallery', 'probes').removeprefix('with ')}, {ACCEPTED}, {enrolled_sql(NEW_FRAMES)},
+tt as (select name, count(*) as n from gallery group by name union all select name, max(kept) from st group by name) select name, sum(n)::bigint as samples from tt group by name having sum(n) > 0""",
+    "h4_stream_frame_stats": f"""{duck('faces')}, w as (select *, time_bucket(interval 1 hour, ts) as start from faces)
+select camera, {STAMPED.format(start='start', end='start + interval 1 hour')}, count(*) as faces, round(avg(detect_ms), 10) as detect_ms, round(avg(liveness_ms), 10) as liveness_ms, quantile_disc(recognize_ms, 0.5) as recognize_ms
+from w where {CLOSED.format(end='start + interval 1 hour', hours=1)} group by camera, w.start""",
+    "h5_stream_presence": f"{SESSIONS} select camera, cell_x, cell_y, {STAMPED.format(start='start', end='until')}, faces from se where {CLOSED.format(end='until', hours=6)}",
+    "h5_presence_batch": f"{SESSIONS} select camera, cell_x, cell_y, {STAMPED.format(start='start', end='until')}, faces from se",
+    "h6_stream_capture": f"{ARRIVED}, c as (select *, row_number() over (order by batch, frame_id, camera) as k from ar where frame_id % 3 = 0 and least(x2 - x1, y2 - y1) >= 80) select camera, frame_id, face_id from c where k <= 500",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[:1] in "dhij" and k[1:2].isdigit()}

@@ -120,8 +120,8 @@ def b22_enroll_reject_reason(spark, sf):
 
 
 def _shots(spark, sf):
-    """Several faces fall into one shot now and then; every seventh has no embedding."""
-    return _faces(spark, sf).withColumn("shot", F.floor(F.col("frame_id") * 2 / 3)).withColumn("vec_id", F.when(F.col("face_id") % 7 > 0, F.col("vec_id")))
+    """A shot is six frames of all cameras, so often several of one; every seventh has no embedding."""
+    return _faces(spark, sf).withColumn("shot", F.floor(F.col("frame_id") / 6)).withColumn("vec_id", F.when(F.col("face_id") % 7 > 0, F.col("vec_id")))
 
 
 def b23_enroll_guard(spark, sf):
@@ -137,7 +137,7 @@ def c3_recognize(spark, sf):
 
 
 def d21_frame_summary(spark, sf):
-    faces = _recognized(spark, sf).withColumn("shot", F.floor(F.col("frame_id") / 3))
+    faces = _recognized(spark, sf).withColumn("shot", F.floor(F.col("frame_id") / 12))
     return T.frame_summary(faces, ["camera", "shot"]).select("camera", "shot", "faces", "trusted", "spoofs", F.round("total_ms", 6).alias("total_ms"), F.round("fps", 6).alias("fps"))
 
 
@@ -212,9 +212,9 @@ SQL = {
     "b20_liveness_verdict": f"{FA} select face_id, spoof_probability < 0.5 as is_live, case when spoof_probability < 0.5 then 'REAL' when spoof_probability >= 0.5 then 'SPOOF' end as verdict from faces",
     "b21_trust_status": f"{FA}, s as (select face_id, case when spoof_probability >= 0.5 then 'SPOOF' when spoof_probability is null then 'UNVERIFIED' when vec_id % 3 = 0 then 'TRUSTED' else 'UNKNOWN' end as status from faces) select face_id, status, case status {_HINT} end as hint from s",
     "b22_enroll_reject_reason": f"{FA} select face_id, {REJECT.format(w=500, h=350)} as reason from faces",
-    "b23_enroll_guard": f"{FA}, g as (select camera, floor(frame_id * 2 / 3)::bigint as shot, count(*) as faces, max(spoof_probability) as p, max(case when face_id % 7 > 0 then vec_id end) as vec_id from faces group by all) select camera, shot, faces, case when faces > 1 then 'several_faces' when p is null or p >= 0.5 then 'not_live' when vec_id is null then 'no_embedding' end as reason from g",
+    "b23_enroll_guard": f"{FA}, g as (select camera, floor(frame_id / 6)::bigint as shot, count(*) as faces, max(spoof_probability) as p, max(case when face_id % 7 > 0 then vec_id end) as vec_id from faces group by all) select camera, shot, faces, case when faces > 1 then 'several_faces' when p is null or p >= 0.5 then 'not_live' when vec_id is null then 'no_embedding' end as reason from g",
     "c3_recognize": f"{RS}, {RECOG} select face_id, name, similarity, is_live, status from rg",
-    "d21_frame_summary": f"{RS}, {RECOG}, s as (select camera, floor(frame_id / 3)::bigint as shot, count(*) as faces, count(*) filter (where status = 'TRUSTED') as trusted, count(*) filter (where status = 'SPOOF') as spoofs, max(detect_ms + liveness_ms + recognize_ms) as ms from rg group by all) select camera, shot, faces, trusted, spoofs, round(ms, 6) as total_ms, round(case when ms > 0 then 1000 / ms else 0 end, 6) as fps from s",
+    "d21_frame_summary": f"{RS}, {RECOG}, s as (select camera, floor(frame_id / 12)::bigint as shot, count(*) as faces, count(*) filter (where status = 'TRUSTED') as trusted, count(*) filter (where status = 'SPOOF') as spoofs, max(detect_ms + liveness_ms + recognize_ms) as ms from rg group by all) select camera, shot, faces, trusted, spoofs, round(ms, 6) as total_ms, round(case when ms > 0 then 1000 / ms else 0 end, 6) as fps from s",
     "j6_identify_batch_job": f"{RS}, {RECOG} select camera, status, count(*) as faces, count(name) as named from rg group by camera, status",
     "e7_drop_warmup": f"{LA} select stage, batch, run from (select *, row_number() over (partition by stage, batch order by run) as n from latency) where n > 30",
     "d19_latency_stats": f"{LA}, {LAT} select stage, batch, n, {', '.join(f'round({k}, 6) as {k}' for k in ('median', 'p95', 'min', 'max', 'mean'))}, round(case when median > 0 then 1000 / median else 0 end, 6) as fps, round(median / batch, 9) as per_item from ls",

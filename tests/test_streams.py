@@ -47,6 +47,10 @@ def test_history_stream_equals_a_plain_fold(spark, sf):
     assert got == want
 
 
+def stamp(at) -> str:
+    return at if isinstance(at, str) else f"{at:%Y-%m-%d %H:%M:%S.%f}"
+
+
 def watermark_of(spark, sf, late_hours):
     """What the last watermark is after all of the replayed files: the newest time of all batches less the lateness."""
     newest = max(r.ts for r in faces_of(spark, sf))
@@ -54,7 +58,7 @@ def watermark_of(spark, sf, late_hours):
 
 
 def test_closed_sessions_of_the_presence_stream_are_those_of_the_batch(spark, sf):
-    key = lambda r: (r.camera, r.cell_x, r.cell_y, str(r.start), str(r.end), r.faces)
+    key = lambda r: (r.camera, r.cell_x, r.cell_y, stamp(r.start), stamp(r.end), r.faces)
     stream = sorted(map(key, jobs.h5_stream_presence(spark, sf).collect()))
     batch = ST.presence(adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp"))).collect()
     # Files come in order of time, so no row is late: every session that ends by the last watermark is there, once, and no other.
@@ -63,7 +67,7 @@ def test_closed_sessions_of_the_presence_stream_are_those_of_the_batch(spark, sf
 
 
 def test_closed_windows_of_the_statistics_stream_are_those_of_the_batch(spark, sf):
-    key = lambda r: (r.camera, r.start, r.end, r.faces, round(r.detect_ms, 6), round(r.liveness_ms, 6))
+    key = lambda r: (r.camera, stamp(r.start), stamp(r.end), r.faces, round(r.detect_ms, 6), round(r.liveness_ms, 6))
     stream = sorted(key(r) for r in jobs.h4_stream_frame_stats(spark, sf).collect())
     batch = ST.frame_stats(adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp"))).collect()
     mark = watermark_of(spark, sf, 1)
