@@ -44,7 +44,7 @@ CONTRAST, PAIR_SHARE = 20, 0.05
 #: Bytes of a class's dictionary, of the ordinary content behind both, and of a training sample.
 OWN_BYTES, BASE_BYTES, OWN_PIECE, BASE_PIECE = 1024, 16384, 64, 256
 #: Pairs of dictionaries.
-PAIRS = 4
+PAIRS = 2
 #: What a window must exceed to count in the mean, the windows added to it, and its weight beside the largest ones.
 MARGIN, MEAN_PRIOR, MEAN_WEIGHT = 0.5, 10, 20.0
 #: Bytes of a label in a broadcast, and of the labels that are broadcast.
@@ -63,7 +63,7 @@ class ToxicityModel:
     clean: bytes = b""
     further: tuple[tuple[bytes, bytes], ...] = ()
     window: int = 64
-    level: int = 6
+    level: int = 12
 
     @property
     def trained(self) -> bool:
