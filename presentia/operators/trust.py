@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presentia.operators.evaluation import prefix_counts
 from presentia.operators.galleries import THRESHOLD, identify
+from presentia.plans.materialize import materialize
 
 DEFAULT_THRESHOLD = 0.5
 LEAST_ENROLL_FACE, LEAST_SHARPNESS = 110, 40.0
@@ -62,21 +63,25 @@ def enroll_guard(faces: DataFrame, by: Sequence[str], threshold: float, require_
 
 
 def recognize(faces: DataFrame, embeddings: DataFrame, gallery: DataFrame, threshold: float, match: float = THRESHOLD, identify_spoofs: bool = False, require_liveness: bool = True) -> DataFrame:
-    """Every face with name and similarity; only faces that pass the gate reach the matching.
+    """Every face with name and similarity; only embeddings of faces that pass the gate reach the matching.
 
     Rejected faces have a null identity. With an empty gallery every identity is null. ``faces`` must have a
-    spoof_probability column unless ``require_liveness`` is off; then none is verified.
+    spoof_probability column unless ``require_liveness`` is off; then none is verified. An embedding is matched once,
+    however many faces have it; what it was found to be is written and joined to the faces by ``vec_id``, so no vector
+    is copied to a face and small results are broadcast without a shuffle of the faces.
     """
     if "spoof_probability" not in faces.columns:
         if require_liveness:
             raise ValueError("a gate needs a liveness column")
         faces = faces.withColumn("spoof_probability", F.lit(None).cast("double"))
     live = is_live(F.col("spoof_probability"), threshold)
-    passing = faces if identify_spoofs else faces.filter(live.isNull() | live)
-    probes = passing.join(embeddings, "vec_id").select(F.col("face_id").alias("probe_id"), "v")
-    found = identify(probes, gallery, match)
-    named = found.select(F.col("probe_id").alias("face_id"), F.when(~F.col("database_empty"), F.col("name")).alias("name"), F.when(~F.col("database_empty"), F.col("similarity")).alias("similarity"))
-    return faces.join(named, "face_id", "left").withColumn("is_live", live).withColumn("status", trust_status(F.col("is_live"), F.col("name")))
+    passes = F.lit(identify_spoofs) | live.isNull() | live
+    asked = faces.filter(passes).select("vec_id").distinct()
+    probes = embeddings.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("probe_id"), "v")
+    found = materialize(identify(probes, gallery, match).filter(~F.col("database_empty")), "recognized")
+    named = found.select(F.col("probe_id").alias("vec_id"), F.col("name").alias("name_"), F.col("similarity").alias("similarity_"))
+    out = faces.join(named, "vec_id", "left").select(*[faces[c] for c in faces.columns], F.when(passes, F.col("name_")).alias("name"), F.when(passes, F.col("similarity_")).alias("similarity"))
+    return out.withColumn("is_live", live).withColumn("status", trust_status(F.col("is_live"), F.col("name")))
 
 
 def frame_summary(faces: DataFrame, by: Sequence[str]) -> DataFrame:
