@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from presentia.operators import galleries as G
 from presentia.operators import trust as T
 
 
@@ -28,3 +29,14 @@ def test_an_embedding_is_matched_once_however_many_faces_have_it(spark, monkeypa
         assert r.name == ({0: "a", 1: "b"}.get(r.vec_id) if known else None)
         assert r.similarity == (pytest.approx(1.0 if r.vec_id < 2 else 0.0) if known else None)
         assert r.status == ("SPOOF" if r.face_id % 2 else "TRUSTED" if r.name else "UNKNOWN")
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_similarities_that_round_alike_go_to_the_smallest_ordinal(spark, limit, monkeypatch):
+    monkeypatch.setattr(G, "PIVOT_ROWS", 2)
+    close = [("first", 3, [1.0, 1e-4]), ("later", 7, [1.0, 0.0]), ("far", 1, [0.0, 1.0]), ("other", 2, [-1.0, 0.0])]
+    gallery = spark.createDataFrame(close, "name string, ordinal bigint, v array<double>")
+    # The cosine of the third is 0.3599996, which is 0.36 in six places.
+    probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-0.3599996, -(1 - 0.3599996**2) ** 0.5])], "probe_id bigint, v array<double>")
+    out = {r.probe_id: (r.name, r.similarity) for r in G.identify(probes, gallery, broadcast_bytes=limit).collect()}
+    assert out[1] == ("first", pytest.approx(1.0)) and out[2] == ("far", pytest.approx(1.0)) and out[3] == ("other", pytest.approx(0.36, abs=1e-6))
