@@ -124,18 +124,32 @@ def j4_eval_cross(spark, sf):
     return out.select("metric", r9("source"), r9("target"), r9("delta"), "direction", "verdict")
 
 
+#: Rows of a replayed file, about.
+FILE_ROWS = 250_000
+
+
 def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Faces as a stream of four files that arrive in time order, each with a quarter of the time span, and the same as a table."""
+    """Faces as a stream of four arrivals in time order, each a quarter of the time span, and the same as a table.
+
+    Each arrival has equally many files, which tasks write side by side, and a batch of the stream takes as many.
+    """
     path = scratch_path(spark, "faces")
     faces = adapted(spark, sf, "faces").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("camera", F.col("camera").cast("bigint"))
     at = F.unix_micros("ts")
     first, last = faces.agg(F.min(at), F.max(at)).first()
     cuts = [None, *([] if first is None else [first + (last - first) * k // 4 for k in (1, 2, 3)]), None]
-    for lo, hi in zip(cuts, cuts[1:], strict=False):  # one after another: a file stream reads by arrival
-        part = faces.filter((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi))))
-        part.coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
+    parts = [faces.filter((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi)))) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    rows = faces.agg(*[F.count_if((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi)))) for lo, hi in zip(cuts, cuts[1:], strict=False)]).first()
+    files = max(1, -(-max(rows) // FILE_ROWS))
+    if min(rows) < 1000 * files:  # too few rows to be sure of one for each file
+        files = 1
+    for part in parts:  # one after another: a file stream reads by arrival
+        dealt = part.coalesce(1) if files == 1 else part.repartition(files)
+        dealt.sortWithinPartitions("ts").write.mode("append").parquet(path)
     still = spark.read.schema(faces.schema).parquet(path)
-    return ST.read_faces(spark, path, still.schema), still
+    if files > 1 and len(still.inputFiles()) != files * len(parts):
+        raise ValueError("an arrival has a file too few")
+    return ST.read_faces(spark, path, still.schema, files), still
 
 
 def _collected(spark: SparkSession, out: DataFrame) -> DataFrame:
