@@ -1,10 +1,19 @@
 """Steps whose cost has to follow what they are given."""
 
+import json
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from presentia.operators import galleries as G
 from presentia.operators import trust as T
+from presentia.queries import galleries, ingest, jobs
+from presentia.queries.adapters import adapted
+from presentia.streaming import faces as ST
 
 
 def vector(k, dim=8):
@@ -40,3 +49,113 @@ def test_similarities_that_round_alike_go_to_the_smallest_ordinal(spark, limit,
     probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [-0.3599996, -(1 - 0.3599996**2) ** 0.5])], "probe_id bigint, v array<double>")
     out = {r.probe_id: (r.name, r.similarity) for r in G.identify(probes, gallery, broadcast_bytes=limit).collect()}
     assert out[1] == ("first", pytest.approx(1.0)) and out[2] == ("far", pytest.approx(1.0)) and out[3] == ("other", pytest.approx(0.36, abs=1e-6))
+
+
+def test_arrivals_of_several_files_are_one_batch_each(spark, sf, monkeypatch):
+    one = sorted(map(tuple, jobs.h6_stream_capture(spark, sf).collect()))
+    monkeypatch.setattr(jobs, "FILE_ROWS", 100)
+    counted = adapted(spark, sf, "faces").count()
+    monkeypatch.setattr(jobs, "LEAST_FILE_ROWS", 1)
+    stream, still = jobs._stream(spark, sf)
+    assert still.count() == counted and len(still.inputFiles()) > 8
+    sizes = []
+    q = stream.writeStream.foreachBatch(lambda b, k: sizes.append(b.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    ts = sorted(r.ts for r in still.select(F.unix_micros("ts").alias("ts")).collect())
+    cuts = [ts[0] + (ts[-1] - ts[0]) * k // 4 for k in (1, 2, 3)]
+    assert sizes == [sum(sum(t >= c for c in cuts) == k for t in ts) for k in range(4)]
+    assert sorted(map(tuple, jobs.h6_stream_capture(spark, sf).collect())) == one
+
+
+def test_a_name_that_is_full_carries_no_vectors(spark):
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+    state = ST._Enrolled(2, 0.98)
+    state.vectors = Held()
+    rows = pd.DataFrame([(1, k, k, vector(k % 4)) for k in range(6)], columns=["camera", "frame_id", "face_id", "v"])
+    (out,) = state.handleInputRows(("a",), iter([rows]), None)
+    assert out["kept"].tolist() == [True, True, False, False, False, False] and out["v"].notna().tolist() == out["kept"].tolist()
+
+
+@pytest.mark.parametrize("few", [1, 1 << 30])
+def test_ends_of_pairs_equal_all_pairs(spark, monkeypatch, few):
+    """Copies, equal ordinals and ends that single precision cannot tell apart."""
+    monkeypatch.setattr(G, "FEW_GENUINE", few)
+    monkeypatch.setattr(G, "BLOCK", 50)
+    monkeypatch.setattr(G, "COUNTED", 16)
+    monkeypatch.setattr(G, "AT_ONCE", 16)
+    monkeypatch.setattr(G, "TILE", 16)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(160, 6))
+    v[40:60] = v[:20] + 1e-9 * rng.normal(size=(20, 6))
+    v[60:64] = v[70]
+    ids, names = np.arange(160), rng.integers(0, 5, 160)
+    ids[100:110] = ids[:10]
+    rows = [(f"n{names[k]}", int(ids[k]), v[k].tolist()) for k in range(160)]
+    gallery = spark.createDataFrame(rows, "name string, ordinal bigint, v array<double>")
+    unit = G._unit(v)
+    sims = unit @ unit.T
+    i, j = np.nonzero(ids[:, None] < ids[None, :])
+    same, s = names[i] == names[j], sims[i, j]
+    for made in (G.pair_ends, G.pair_counts):
+        row = G.pair_stats(made(gallery)).first()
+        assert (row.n_genuine, row.n_impostor) == (same.sum(), (~same).sum())
+        want = (s[same].mean(), s[same].min(), s[~same].mean(), s[~same].max())
+        assert (row.mean_genuine, row.min_genuine, row.mean_impostor, row.max_impostor) == pytest.approx(want, abs=1e-13)
+
+
+def test_a_separable_gallery_needs_no_counts(spark, monkeypatch):
+    rows = [("a", k, [1.0, 0.01 * k]) for k in range(3)] + [("b", 3 + k, [0.01 * k, 1.0]) for k in range(3)]
+    gallery = spark.createDataFrame(rows, "name string, ordinal bigint, v array<double>")
+    mixed = gallery.unionByName(spark.createDataFrame([("a", 9, [0.5, 1.0])], gallery.schema))
+    want = G.calibrate_threshold(G.pair_counts(mixed)).first()
+    assert G.calibrate_gallery(mixed).first() == want and not want.separable
+    plain = G.calibrate_threshold(G.pair_counts(gallery)).first()
+    monkeypatch.setattr(G, "pair_counts", None)
+    row = G.calibrate_gallery(gallery).first()
+    assert row.separable and (row.gap, row.threshold, row.errors) == (pytest.approx(plain.gap), pytest.approx(plain.threshold), 0)
+
+
+def test_a_row_is_copied_to_a_bounded_number_of_blocks():
+    assert [-(-n // G._block_rows(n)) for n in (1, 5000, 65_536, 205_128, 1_048_576)] == [1, 2, 16, 16, 16]
+
+
+@pytest.mark.parametrize("query", [galleries.d18_calibrate_threshold, galleries.j5_calibrate_gallery])
+def test_the_gap_of_a_query_is_one_of_rounded_similarities(spark, query, monkeypatch):
+    turn = lambda c: [c, (1 - c * c) ** 0.5]
+    # Genuine: 0.1000004, impostors at most 0.9000006 and less: unrounded the gap is -0.8000002, rounded -0.800001.
+    rows = [("a", 1, turn(0.1000004)), ("a", 2, [1.0, 0.0]), ("b", 3, turn(0.9000006))]
+    monkeypatch.setattr(galleries, "_whole", lambda *_: spark.createDataFrame(rows, "name string, ordinal bigint, v array<double>"))
+    assert query(spark, "").first().gap == pytest.approx(-0.800001, abs=1e-9)
+
+
+@pytest.mark.parametrize("sizes", [(), (0,), (1,), (2, 0, 3), (1, 1), (0, 4)])
+def test_one_object_is_written_from_entries_in_any_order(sizes):
+    entries = [f'"p{k}":[{k}]' for k in range(sum(sizes))][::-1]
+    cuts = np.cumsum([0, *sizes])
+    batches = [pa.RecordBatch.from_arrays([pa.array(entries[a:b], pa.string())], names=["value"]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    text = "\n".join(v for b in ingest._one_object(iter(batches)) for v in b.column("value").to_pylist())
+    assert json.loads(text) == {f"p{k}": [k] for k in range(sum(sizes))}
+
+
+def test_an_annotation_object_is_written_without_a_sort(spark, sf, monkeypatch):
+    plans, text = [], DataFrameWriter.text
+
+    def seen(writer, *args, **kwargs):
+        plans.append(writer._df._jdf.queryExecution().optimizedPlan().toString())
+        return text(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "text", seen)
+    assert ingest.a1_read_annotation_object(spark, sf).count() == adapted(spark, sf, "annotations").count()
+    assert len(plans) == 1 and "Sort" not in plans[0]
