@@ -124,8 +124,8 @@ def j4_eval_cross(spark, sf):
     return out.select("metric", r9("source"), r9("target"), r9("delta"), "direction", "verdict")
 
 
-#: Rows of a replayed file, about.
-FILE_ROWS = 250_000
+#: Rows of a replayed file, about, and so many of the smallest arrival that each of its files gets some.
+FILE_ROWS, LEAST_FILE_ROWS = 250_000, 1000
 
 
 def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +141,7 @@ def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     parts = [faces.filter((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi)))) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     rows = faces.agg(*[F.count_if((F.lit(lo is None) | (at >= F.lit(lo))) & (F.lit(hi is None) | (at < F.lit(hi)))) for lo, hi in zip(cuts, cuts[1:], strict=False)]).first()
     files = max(1, -(-max(rows) // FILE_ROWS))
-    if min(rows) < 1000 * files:  # too few rows to be sure of one for each file
+    if min(rows) < LEAST_FILE_ROWS * files:  # too few rows to be sure of one for each file
         files = 1
     for part in parts:  # one after another: a file stream reads by arrival
         dealt = part.coalesce(1) if files == 1 else part.repartition(files)

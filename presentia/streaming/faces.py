@@ -110,7 +110,7 @@ class _Gaps(StatefulProcessor):
 
 
 class _Enrolled(StatefulProcessor):
-    """Of one name: the vectors that the gallery takes; state is those it has, ``cap`` at most."""
+    """Of one name: the accepted frames, with their vectors where the gallery takes them; state is those it has, ``cap`` at most."""
 
     def __init__(self, cap: int, duplicate: float):
         self.cap, self.duplicate = cap, duplicate
@@ -127,12 +127,14 @@ class _Enrolled(StatefulProcessor):
         held = [np.array(v, float) for (v,) in self.vectors.get()] if self.vectors.exists() else []
         units, out = [G.unit_vector(v) for v in held], []
         for r in data.itertuples(index=False):
-            unit = G.unit_vector(np.array(r.v, float))
-            kept = len(units) < self.cap and (not units or max(float(u @ unit) for u in units) < self.duplicate)
+            kept = False
+            if len(units) < self.cap:  # a full name only passes its frames on
+                unit = G.unit_vector(np.array(r.v, float))
+                kept = not units or max(float(u @ unit) for u in units) < self.duplicate
             if kept:
                 units.append(unit)
                 self.vectors.appendValue(([float(x) for x in r.v],))
-            out.append((key[0], int(r.camera), int(r.frame_id), int(r.face_id), [float(x) for x in r.v], kept))
+            out.append((key[0], int(r.camera), int(r.frame_id), int(r.face_id), [float(x) for x in r.v] if kept else None, kept))
         yield pd.DataFrame(out, columns=["name", "camera", "frame_id", "face_id", "v", "kept"])
 
     def close(self) -> None:
@@ -153,7 +155,8 @@ def stream_enroll(
     """
     spark = faces.sparkSession
     good = enroll_reject_reason(*frame, threshold).isNull() & is_live(F.col("spoof_probability"), threshold) & F.col("vec_id").isNotNull() & (F.trim("name") != "")
-    usable = faces.select("camera", "frame_id", "face_id", F.trim("name").alias("name"), "vec_id", F.coalesce(good, F.lit(False)).alias("usable"))
+    good = F.coalesce(good, F.lit(False))
+    usable = faces.select("camera", "frame_id", "face_id", F.when(good, F.trim("name")).alias("name"), F.when(good, F.col("vec_id")).alias("vec_id"), good.alias("usable"))
     gaps = usable.groupBy("camera").transformWithStateInPandas(_Gaps(min_gap), "name string, camera bigint, frame_id bigint, face_id bigint, vec_id bigint", "Append", "None")
     known = embeddings.select("vec_id", F.col("v").cast("array<double>").alias("v")).filter((F.size("v") == dim) & finite(F.col("v")))
     accepted = gaps.join(known, "vec_id").select("name", "camera", "frame_id", "face_id", "v")
