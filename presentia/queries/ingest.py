@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +37,32 @@ def a1_read_annotations(spark, sf):
     return src.read_annotations(spark, path, lines=True).select("path", F.size("vec").alias("n"), F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
 
 
+def _one_object(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries that end in a comma as the lines of one object, in the order they come; the last loses its comma. Holds one batch."""
+    held = None
+
+    def lines(*texts: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+    yield lines("{")
+    for b in batches:
+        if b.num_rows:
+            if held is not None:
+                yield held
+            held = b
+    if held is not None:
+        yield held.slice(0, held.num_rows - 1)
+        yield lines(held.column("value")[held.num_rows - 1].as_py()[:-1])
+    yield lines("}")
+
+
 def a1_read_annotation_object(spark, sf):
     """The same as one JSON object in one file, read by byte ranges."""
     path = scratch_path(spark, "annotations")
     entry = F.concat(F.to_json(F.struct("path")), F.lit(":"), F.to_json("vec"))
-    # {"path":"a"}:[1] becomes "a":[1]; the first line opens the object and the last one closes it.
-    rows = _annotations(spark, sf).select("path", F.regexp_replace(entry, r'^\{"path":(.*)\}:\[', "$1:[").alias("entry"))
-    ends = rows.agg(F.min("path").alias("lo"), F.max("path").alias("hi")).first()
-    lines = F.concat(F.when(F.col("path") == ends["lo"], "{").otherwise(""), "entry", F.when(F.col("path") == ends["hi"], "}").otherwise(","))
-    rows.coalesce(1).sortWithinPartitions("path").select(lines.alias("value")).write.text(path)
+    # {"path":"a"}:[1] becomes "a":[1],
+    rows = _annotations(spark, sf).select(F.regexp_replace(entry, r'^\{"path":(.*)\}:\[(.*)$', "$1:[$2,").alias("value"))
+    rows.repartition(1).mapInArrow(_one_object, "value string").write.text(path)
     out = src.read_annotations(spark, path)
     return out.select("path", F.size("vec").alias("n"), F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
 
