@@ -115,6 +115,45 @@ def test_ends_of_pairs_equal_all_pairs(spark, monkeypatch, few):
         assert (row.mean_genuine, row.min_genuine, row.mean_impostor, row.max_impostor) == pytest.approx(want, abs=1e-13)
 
 
+def test_rows_of_rounded_pairs_are_short_in_column_files(spark, tmp_path):
+    """Six places have a million steps: as they come, a similarity takes all of its 8 bytes and a row over 9."""
+    rng = np.random.default_rng(5)
+    rows = [(f"n{k % 9}", k, v.tolist()) for k, v in enumerate(rng.normal(size=(4800, 64)).astype(np.float32))]
+    gallery = spark.createDataFrame(rows, "name string, ordinal bigint, v array<float>")
+    G.pair_similarities(gallery, digits=6).write.parquet(str(tmp_path / "pairs"))
+    n = 4800 * 4799 // 2
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == n
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 6 * n
+
+
+@pytest.mark.parametrize(("run", "digits"), [(1, 6), (4000, 6), (1 << 20, 3), (1 << 20, 15)])
+def test_runs_of_pairs_hold_all_pairs(spark, monkeypatch, run, digits):
+    """Equal ordinals, similarities that round to -0.0 and such that are not finite."""
+    for name, value in (("SORTED", run), ("EMITTED", 64), ("BLOCK", 50), ("AT_ONCE", 16)):
+        monkeypatch.setattr(G, name, value)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(160, 6))
+    v[:20, 3:], v[20:40, :3], v[20:40, 3:] = 0.0, -1e-9, np.abs(v[20:40, 3:])
+    v[:20] = np.abs(v[:20])
+    v[70], v[71] = np.nan, 0.0
+    ids = rng.permutation(160) - 80
+    ids[100:110] = ids[:10]
+    names = rng.integers(0, 5, 160)
+    gallery = spark.createDataFrame([(f"n{names[k]}", int(ids[k]), v[k].tolist()) for k in range(160)], "name string, ordinal bigint, v array<double>")
+    with np.errstate(all="ignore"):
+        unit = G._unit(v)
+        sims = unit @ unit.T
+    i, j = np.nonzero(ids[:, None] < ids[None, :])
+    s = sims[i, j]
+    steps = np.copysign(np.floor(np.abs(s) * 10.0**digits + 0.5) / 10.0**digits, s)
+    want = sorted((int(ids[a]), int(ids[b]), bool(names[a] == names[b]), repr(round(float(x), 12))) for a, b, x in zip(i, j, steps, strict=True))
+    got = [(r.a, r.b, r.genuine, repr(round(r.similarity, 12))) for r in G.pair_similarities(gallery, digits=digits).collect()]
+    assert sorted(got) == want
+    assert digits > 3 or any(x[3] == "-0.0" for x in want) and any(x[3] == "nan" for x in want)
+    linked = {(r.a, r.b) for r in G.pair_similarities(gallery, 0.5, digits=digits).collect()}
+    assert linked == {(int(ids[a]), int(ids[b])) for a, b, x in zip(i, j, s, strict=True) if x >= 0.5}
+
+
 def test_a_separable_gallery_needs_no_counts(spark, monkeypatch):
     rows = [("a", k, [1.0, 0.01 * k]) for k in range(3)] + [("b", 3 + k, [0.01 * k, 1.0]) for k in range(3)]
     gallery = spark.createDataFrame(rows, "name string, ordinal bigint, v array<double>")
